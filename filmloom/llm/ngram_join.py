@@ -1,11 +1,13 @@
 """N-gram Jaccard join over a token-group matrix.
 
 A document's set is its distinct n-word shingles, as 64-bit hashes. Equal sets are one class. A class's shingles have a
-global order, least expected first: by the corpus counts of a shingle's words (kept in a table of fixed size), then by
-hash. Two sets of sizes a, b with Jaccard similarity t share o = t (a + b) / (1 + t) shingles or more, so their first
+global order: shingles that recur within a partition last, by their count, the others first by the corpus counts of
+their words, least expected first, then by hash. Both counts are kept in tables of a fixed size. The order decides how
+much work there is, never what is found. Two sets of sizes a, b with Jaccard similarity t share o = t (a + b) / (1 + t) shingles or more, so their first
 a - ceil(t a) + l shingles share l or more; that is a class's prefix, with l growing with its size.
 
-1. Partition: every class is compared with the smallest class on each of its prefix shingles; pairs that share enough
+1. Partition: every class is compared with the most central class (most of its prefix shared) on each of its prefix
+   shingles; pairs that share enough
    are verified, and the components of the links are the groups. That is linear in the prefixes, however large a group.
 2. Matrix: a group's token union is the set of its members' prefix shingles, stored as rows (token, group). A class
    meets the other groups on its prefix; the number of tokens it shares with the union bounds what it can share with any
@@ -27,25 +29,29 @@ from pyspark.sql import functions as F
 from filmloom.llm._shared import components, forget, written
 from filmloom.llm._text import SPACE, Words, mix, shingles, words
 
-#: Size of the table of word counts; it is the same for every corpus.
-BUCKETS = 1 << 17
+#: Sizes of the tables of word and shingle counts, the same for every corpus; how often a shingle recurs in a partition to count.
+BUCKETS, SHINGLE_BUCKETS, RECURS = 1 << 17, 1 << 22, 5
 
 
-def _word_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences of all words of ``text``, added up by hash in BUCKETS counters."""
+def _order_tables(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per word bucket the occurrences of its words, per shingle bucket those of shingles that recur in a partition."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, recur = np.zeros(BUCKETS, np.int64), np.zeros(SHINGLE_BUCKETS, np.int32)
         for b in batches:
             for w in words(b.column("text"), SPACE):
                 total += np.bincount((w.hash % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+                _, h, _ = shingles(w, n)
+                u, k = np.unique((h % np.uint64(SHINGLE_BUCKETS)).astype(np.int64), return_counts=True)
+                recur[u] += k.astype(np.int32)
+        at, more = np.flatnonzero(total), np.flatnonzero(recur >= RECURS)
+        for keys, counts in ((at, total[at]), (more + BUCKETS, recur[more].astype(np.int64))):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["bucket", "n"])
 
     got = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+    out = np.zeros(BUCKETS + SHINGLE_BUCKETS, np.float32)
+    out[got["bucket"].to_numpy()] = np.log2(got["n"].to_numpy() + 1)
+    return out[:BUCKETS], out[BUCKETS:].astype(np.float16)
 
 
 def _need(n: np.ndarray, t: float) -> np.ndarray:
@@ -68,12 +74,12 @@ def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[new], h[new], at[new]
 
 
-def signatures(texts: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFrame:
+def signatures(texts: DataFrame, tables: tuple[np.ndarray, np.ndarray], n: int, t: float) -> DataFrame:
     """Per row: _id, n_shingles, s1 and s2 (a set's fingerprint), prefix."""
-    weight = texts.sparkSession.sparkContext.broadcast(np.log2(counts + 1).astype(np.float32))
+    weight = texts.sparkSession.sparkContext.broadcast(tables)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lw = weight.value
+        lw, often = weight.value
         for b in batches:
             ids = b.column("_id")
             for w in words(b.column("text"), SPACE):
@@ -85,6 +91,7 @@ def signatures(texts: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFr
                 for k in range(n):
                     ok = at + k < w.first[doc + 1]
                     cost[ok] += rare[at[ok] + k]
+                cost += 1000 * often[(h % np.uint64(SHINGLE_BUCKETS)).astype(np.int64)].astype(np.float32)
                 first = np.concatenate([[0], np.cumsum(size)])
                 s1, s2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
                 has = size > 0
@@ -134,22 +141,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     t = percent / 100
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text")).where(F.col("_id").isNotNull())
-    sig = written(signatures(texts, _word_counts(texts), n, t), "signatures")
+    sig = written(signatures(texts, _order_tables(texts, n), n, t), "signatures")
     some = sig.where("n_shingles > 0")
     # classes of equal sets
     cls = some.groupBy("s1", "s2", "n_shingles").agg(F.min("_id").alias("c"))
     cls = written(cls, "classes")
     reps = some.join(cls.select(F.col("c").alias("_id"), "s1", "s2", "c"), ["_id", "s1", "s2"]).dropDuplicates(["c", "s1", "s2"])
     tokens = reps.select("c", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
-    # 1. partition: tokens of more than one class, and the smallest class on each
-    shared = tokens.groupBy("token").agg(F.min("c").alias("lead"), F.count("*").alias("m")).where("m > 1").select("token", "lead")
+    # 1. partition: tokens of more than one class, and on each the class with the largest part of its prefix shared
+    shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     met = written(tokens.join(shared, "token"), "shared-tokens")
     sizes = met.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("k"))
     # whatever its partner's size, a class needs so many shared tokens
     able = sizes.where(F.col("k") >= F.floor(F.ceil(F.col("n") * t - 1e-9) / 50) + 1).select("c", "n")
     wanted = able.select(F.col("c").alias("_id")).distinct()
     sets = written(_full_sets(texts.join(wanted, "_id", "left_semi"), n), "sets")
-    lead = met.where("c <> lead").groupBy("c", "lead", "n").agg(F.count("*").alias("k"))
+    central = met.join(sizes.select("c", (-F.col("k") / F.col("n")).alias("alone")), "c")
+    leads = central.groupBy("token").agg(F.min(F.struct("alone", "c")).alias("lead")).select("token", F.col("lead.c").alias("lead"))
+    lead = met.join(leads, "token").where("c <> lead").groupBy("c", "lead", "n").agg(F.count("*").alias("k"))
     lead = lead.join(able.select(F.col("c").alias("lead"), F.col("n").alias("m")), "lead").where(_enough(F.col("k"), F.col("n"), F.col("m"), t))
     links = written(_verified(lead.select(F.col("c").alias("a"), F.col("lead").alias("b")), sets, percent, 100), "links")
     group = components(links)
