@@ -267,7 +267,7 @@ def frame_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "varints",
     """WITH v AS (SELECT event_id, event_id * 97 AS v FROM events)
 SELECT event_id, CASE WHEN v < 128 THEN '' WHEN v < 16384 THEN printf('%02X', (v >> 7) + 128) WHEN v < 2097152 THEN printf('%02X%02X', (v >> 14) + 128, ((v >> 7) & 127) + 128)
-  ELSE printf('%02X%02X%02X', (v >> 21) + 128, ((v >> 14) & 127) + 128, ((v >> 7) & 127) + 128) END || printf('%02X', v & 127) AS browtes FROM v""",
+  ELSE printf('%02X%02X%02X', (v >> 21) + 128, ((v >> 14) & 127) + 128, ((v >> 7) & 127) + 128) END || printf('%02X', v & 127) AS bytes FROM v""",
 )
 def varints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable-length integers of a muxed stream."""
