@@ -39,9 +39,11 @@ class Lexicon:
         self.whole, self.stems = set(whole), set(stems)
         self.trie: list[dict[str, int]] = [{}]
         self.ends: list[bool] = [False]
-        # a word within one edit of a term keeps the term's first two or last two letters, at a length at most one off
-        self.near: set[tuple[str, str, int]] = set()
+        # a word within one edit of a term keeps the term's first half in front or its second half at the end
+        self.near: dict[int, tuple[set[int], set[str], set[int], set[str]]] = {}
         for term in whole:
+            if len(term) < FUZZY_FROM:
+                continue
             at = 0
             for c in term:
                 if c not in self.trie[at]:
@@ -50,36 +52,52 @@ class Lexicon:
                     self.ends.append(False)
                 at = self.trie[at][c]
             self.ends[at] = True
-            if len(term) >= FUZZY_FROM:
-                for n in range(len(term) - EDITS, len(term) + EDITS + 1):
-                    self.near |= {("a", term[:2], n), ("z", term[-2:], n)}
+            half = len(term) // 2
+            for n in range(len(term) - EDITS, len(term) + EDITS + 1):
+                fronts, front, backs, back = self.near.setdefault(n, (set(), set(), set(), set()))
+                fronts.add(half)
+                front.add(term[:half])
+                backs.add(len(term) - half)
+                back.add(term[half:])
         self.cache: dict[int, int] = {}
 
     def fuzzy(self, word: str) -> bool:
-        """Whether the word's Levenshtein automaton and the trie accept a common string of five letters or more."""
-        todo = [(0, 0, tuple(range(len(word) + 1)))]
+        """Whether the word's Levenshtein automaton and the trie accept a common string: both are walked side by side."""
+        n, todo, seen = len(word), [(0, 0, 0)], set()
         while todo:
-            node, depth, row = todo.pop()
-            if self.ends[node] and depth >= FUZZY_FROM and row[-1] <= EDITS:
+            state = todo.pop()
+            if state in seen:
+                continue
+            seen.add(state)
+            node, i, edits = state
+            if i == n and self.ends[node]:
                 return True
-            for c, child in self.trie[node].items():
-                new = [row[0] + 1]
-                for j, w in enumerate(word, 1):
-                    new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c)))
-                if min(new) <= EDITS:
-                    todo.append((child, depth + 1, tuple(new)))
+            kids = self.trie[node]
+            if i < n and word[i] in kids:
+                todo.append((kids[word[i]], i + 1, edits))
+            if edits < EDITS:
+                if i < n:
+                    todo.append((node, i + 1, edits + 1))
+                for child in kids.values():
+                    todo.append((child, i, edits + 1))
+                    if i < n:
+                        todo.append((child, i + 1, edits + 1))
         return False
 
+    def _near(self, word: str) -> bool:
+        got = self.near.get(len(word))
+        if got is None:
+            return False
+        fronts, front, backs, back = got
+        return any(word[:k] in front for k in fronts) or any(word[-k:] in back for k in backs)
+
     def kind(self, word: str) -> int:
         """0 no match, 1 a term, 2 a stem's word, 3 a misspelled term."""
         if word in self.whole:
             return 1
         if any(len(word) > n and word[:n] in self.stems for n in STEMS):
             return 2
-        n = len(word)
-        if (("a", word[:2], n) in self.near or ("z", word[-2:], n) in self.near) and self.fuzzy(word):
-            return 3
-        return 0
+        return 3 if self._near(word) and self.fuzzy(word) else 0
 
     def features(self, col: pa.Array) -> np.ndarray:
         out = np.zeros((len(col), N_FEATURES))
