@@ -12,7 +12,9 @@ a - ceil(t a) + l shingles share l or more; that is a class's prefix, with l gro
 2. Matrix: a group's token union is the set of its members' prefix shingles, stored as rows (token, group). A class
    meets the other groups on its prefix; the number of tokens it shares with the union bounds what it can share with any
    member, so only groups that reach the bound, at a size within reach, are opened.
-3. Opened groups: the class is compared with the members of the group that themselves share enough, and verified.
+3. Opened groups: every set has a bitmap with the parity of its shingles per bit, so two bitmaps differ in at most as
+   many bits as the sets do in shingles. The class is joined with the group's members on the group, under the condition
+   that sizes and bitmaps allow the similarity, and what passes is verified.
 
 Groups are opened only where the class is not of the group already, so no pairs within a group are made.
 """
@@ -113,15 +115,28 @@ def signatures(texts: DataFrame, tables: tuple[np.ndarray, np.ndarray], n: int,
 
 
 def _full_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(c, set, bits): all shingles, and per bit of 1024 the parity of those that fall on it."""
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in words(b.column("text"), SPACE):
                 rows = w.rows.stop - w.rows.start
                 doc, h, _ = _sets(w, n)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(w.rows.start, rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["c", "set"])
+                odd = np.bincount(doc * 1024 + (h >> np.uint64(54)).astype(np.int64), minlength=rows * 1024).astype(np.uint8) & 1
+                bits = np.packbits(odd).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_id").slice(w.rows.start, rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * rows + 1, 16, dtype=np.int32)), pa.array(bits))],
+                    ["c", "set", "bits"],
+                )
+
+    return texts.mapInArrow(full, "c bigint, set array<bigint>, bits array<bigint>")
+
 
-    return texts.mapInArrow(full, "c bigint, set array<bigint>")
+def _may_link(x: str, y: str, n: Column, m: Column, t: float) -> Column:
+    """Whether bitmaps ``x`` and ``y`` differ in no more bits than linked sets of n and m shingles may."""
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(16)), F.lit(0))
+    return apart <= n + m - 2 * F.ceil((n + m) * (t / (1 + t)) - 1e-9)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -174,15 +189,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     bound = ask.join(union, "token").where((F.col("g") > F.col("h")) & reach).groupBy("c", "n", "g", "h").agg(F.count("*").alias("k"), F.min("least").alias("least"))
     opened = bound.where(_enough(F.col("k"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * t - 1e-9)), t)).select("c", "n", "h")
     opened = written(opened, "opened")
-    # 3. members of opened groups that share enough with the class
-    mine = met.join(opened.select("c").distinct(), "c", "left_semi")
-    theirs = met.join(opened.select(F.col("h").alias("g")).distinct(), "g", "left_semi").join(several, "token", "left_semi")
-    theirs = theirs.select("token", F.col("c").alias("d"), F.col("n").alias("m"), F.col("g").alias("h"))
-    pairs = (
-        mine.join(opened.select("c", "h"), "c").join(theirs, ["token", "h"])
-        .where((F.col("m") >= F.ceil(F.col("n") * t - 1e-9)) & (F.col("n") >= F.ceil(F.col("m") * t - 1e-9)))
-        .groupBy("c", "d", "n", "m").agg(F.count("*").alias("k"))
-        .where(_enough(F.col("k"), F.col("n"), F.col("m"), t))
+    # 3. members of opened groups whose size and bitmap allow a link
+    bits = sets.select("c", "bits")
+    asking = opened.join(bits, "c").withColumnRenamed("bits", "x")
+    members = met.select("c", "n", "g").distinct().join(bits, "c").select(F.col("g").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    pairs = asking.join(members, "h").where(
+        (F.col("m") >= F.ceil(F.col("n") * t - 1e-9)) & (F.col("n") >= F.ceil(F.col("m") * t - 1e-9)) & _may_link("x", "y", F.col("n"), F.col("m"), t)
     )
     more = _verified(pairs.select(F.col("c").alias("a"), F.col("d").alias("b")), sets, percent, 100)
     roots = components(links.union(more))
