@@ -20,3 +20,24 @@ def varint_hex(v: Column) -> Column:
 def signed_to_unsigned(v: Column) -> Column:
     """v > 0 to 2v - 1, others to -2v."""
     return F.when(v > 0, 2 * v - 1).otherwise(-2 * v)
+
+
+_REVERSED = "".join(chr(int(f"{v:08b}"[::-1], 2)) for v in range(256))
+
+
+def crc32_msb(payload: Column) -> Column:
+    """CRC-32 with the highest bit first, started at 0 and not inverted, of a binary column.
+
+    Spark's own crc32 is the mirrored form with inverted start and end. Mirroring every byte, cancelling the start and
+    end by those of as many zero bytes, and mirroring the result gives this one without a loop over bytes.
+    """
+    every = "".join(map(chr, range(256)))
+    mirrored = F.encode(F.translate(F.decode(payload, "ISO-8859-1"), every, _REVERSED), "ISO-8859-1")
+    zeros = F.encode(F.repeat(F.lit("\0"), F.octet_length(payload)), "ISO-8859-1")
+    both = F.crc32(mirrored).bitwiseXOR(F.crc32(zeros))
+    return F.conv(F.reverse(F.lpad(F.bin(both), 32, "0")), 2, 10).cast("bigint")
+
+
+def bytes_of_bits(bits: Column, n: int) -> Column:
+    """A string of 8 n binary digits, the last bit written first, as upper-case hex of bytes written lowest first."""
+    return F.concat(*[F.lpad(F.conv(F.substring(bits, 8 * (n - 1 - i) + 1, 8), 2, 16), 2, "0") for i in range(n)])

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def vectors(spark: SparkSession, radius: int) -> DataFrame:
-    """(ord, dx, dy): every vector within ``radius`` but the null one, in raster order; a table of fixed size."""
+    """(ord, dx, dy): every vector within ``radius`` but the null one, ring by ring and in a ring by row; a table of fixed size.
+
+    Vectors longer than three pixels have one code length, so they come after the rings, by row.
+    """
     rows = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if (dx, dy) != (0, 0)]
+    rows.sort(key=lambda v: (min(4, max(abs(v[0]), abs(v[1]))), v[1], v[0]))
     return spark.createDataFrame([(i, dx, dy) for i, (dx, dy) in enumerate(rows)], "ord bigint, dx bigint, dy bigint")
 
 
@@ -27,3 +31,9 @@ def best_vectors(frames: DataFrame, radius: int = 3, side: int = 8, block: int =
     cost = asked.join(source, ["frame_no", "sx", "sy"]).groupBy("frame_no", "bx", "brow", "ord", "dx", "dy").agg(F.sum(F.abs(F.col("luma") - F.col("prev"))).alias("err"))
     best = cost.groupBy("frame_no", "bx", "brow").agg(F.min(F.struct("err", "ord", "dx", "dy")).alias("b"))
     return best.select("frame_no", "bx", "brow", "b.err", "b.ord", "b.dx", "b.dy")
+
+
+def vector_bits(dx, dy, block: int = 4):
+    """Bits of a temporal vector: opcode, family and index, by the ring it lies in."""
+    ring = F.greatest(F.abs(dx), F.abs(dy))
+    return (F.when(ring <= 1, 5).when(ring == 2, 6).when(ring == 3, 7).otherwise(10) + (2 if block == 4 else 1)).cast("bigint")

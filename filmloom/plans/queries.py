@@ -42,7 +42,7 @@ def frame_delta_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MOTION_SQL = f"""WITH {FRAMES_SQL},
-v AS (SELECT row_number() OVER (ORDER BY dy, dx) - 1 AS ord, dx, dy FROM (SELECT unnest(range(-3, 4)) AS dx) a, (SELECT unnest(range(-3, 4)) AS dy) b WHERE dx <> 0 OR dy <> 0),
+v AS (SELECT row_number() OVER (ORDER BY greatest(abs(dx), abs(dy)), dy, dx) - 1 AS ord, dx, dy FROM (SELECT unnest(range(-3, 4)) AS dx) a, (SELECT unnest(range(-3, 4)) AS dy) b WHERE dx <> 0 OR dy <> 0),
 m AS (SELECT c.frame_no, c.x // 4 AS bx, c.y // 4 AS brow, ord, dx, dy, CAST(sum(abs(c.luma - p.luma)) AS BIGINT) AS err
   FROM frames c CROSS JOIN v JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x + dx AND p.y = c.y + dy
   WHERE (c.x // 4) * 4 + dx >= 0 AND (c.x // 4) * 4 + dx + 4 <= 8 AND (c.y // 4) * 4 + dy >= 0 AND (c.y // 4) * 4 + dy + 4 <= 8
