@@ -176,33 +176,54 @@ def test_mixing(docs, nothing):
     assert training_order(mixed(nothing)).count() == 0
 
 
-def test_lm(docs, nothing):
+@pytest.mark.parametrize("arc", [1 << 20, 400])
+def test_lm(docs, nothing, arc):
     from pyspark.sql import functions as F
 
     from filmloom.llm.lm import fit, held_out, scores
 
     d = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model, counts = fit(d.where("not held_out").select("text"))
-    c = Counter()
-    for i, t, *_ in ROWS:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c.update([*space_words(t), None])
+    fitted = fit(d.where("not held_out").select("text"), arc)
+    train = [["<", *space_words(t), None] for i, t, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(x for t in train for x in t[1:])
     n, v = sum(c.values()), len(c)
-    got = scores(d, model, counts).collect()
+    known = {x for x in c if x is None or c[x] * arc >= n} | {"<"}
+    floor = max(2, -(-n // arc))
+    total = c | Counter({"<": len(train)})
+    two = Counter((a, b) for t in train for a, b in zip(t, t[1:]) if {a, b} <= known)
+    two = {k: m for k, m in two.items() if m >= 2}
+    hot = {k: m for k, m in two.items() if m >= floor}
+    three = Counter(x for t in train for x in zip(t, t[1:], t[2:]) if x[:2] in hot and x[2] in known)
+    three = {k: m for k, m in three.items() if m >= floor}
+    assert (len(hot) < len(two)) == (arc == 400)
+    left, left2 = Counter(), Counter()
+    for (a, _), m in two.items():
+        left[a] += (m - 0.75) / total[a]
+    for (a, b, _), m in three.items():
+        left2[a, b] += (m - 0.75) / hot[a, b]
+
+    def one(x):
+        return (c[x] + 0.5) / (n + 0.5 * (v + 1))
+
+    def pair(a, b):
+        if a not in known:
+            return one(b)
+        return ((two[a, b] - 0.75) / total[a] if (a, b) in two else 0) + (1 - left[a]) * one(b)
+
+    def triple(a, b, x):
+        if (a, b) not in hot:
+            return pair(b, x)
+        return ((three[a, b, x] - 0.75) / hot[a, b] if (a, b, x) in three else 0) + (1 - left2[a, b]) * pair(b, x)
+
+    got = scores(d, *fitted).collect()
     assert len(got) == len(ROWS)
     for r in got:
         w = [*space_words(TEXTS[r.doc_id]), None]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert r.score < 0
-    # each state's arcs, with what backs off, sum to one
-    uni = 10 ** np.concatenate([model.unigram(model.counts[model.ctx >= 0]), [model.unigram(model.end_count)]])
-    for a in range(min(20, model.n_ctx)):
-        own = model.pairs >> 18 == a
-        seen = model.pairs[own] & ((1 << 18) - 1)
-        assert math.isclose((10 ** model.pair_p[own]).sum() + 10 ** model.word_left[a] * (1 - uni[seen].sum()), 1, rel_tol=1e-9)
-    empty, none = fit(nothing.select("text"))
-    assert scores(nothing, empty, none).count() == 0
+        assert math.isclose(r.base_score, sum(math.log10(one(x)) for x in w), rel_tol=1e-9)
+        s = ["", "<", *w]
+        assert math.isclose(r.score, sum(math.log10(triple(*s[k : k + 3])) for k in range(len(w))), rel_tol=1e-9)
+    assert scores(nothing, *fit(nothing.select("text"))).count() == 0
 
 
 def test_vptree(spark):
