@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once; bounds memory to a few hundred bytes for each of them.
-STEP = 1 << 20
+STEP = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACES = np.zeros(256, bool)
