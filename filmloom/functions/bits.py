@@ -22,7 +22,8 @@ def signed_to_unsigned(v: Column) -> Column:
     return F.when(v > 0, 2 * v - 1).otherwise(-2 * v)
 
 
-_REVERSED = "".join(chr(int(f"{v:08b}"[::-1], 2)) for v in range(256))
+# byte 0 is its own mirror image, and translate would delete it
+_REVERSED = "".join(chr(int(f"{v:08b}"[::-1], 2)) for v in range(1, 256))
 
 
 def crc32_msb(payload: Column) -> Column:
@@ -31,7 +32,7 @@ def crc32_msb(payload: Column) -> Column:
     Spark's own crc32 is the mirrored form with inverted start and end. Mirroring every byte, cancelling the start and
     end by those of as many zero bytes, and mirroring the result gives this one without a loop over bytes.
     """
-    every = "".join(map(chr, range(256)))
+    every = "".join(map(chr, range(1, 256)))
     mirrored = F.encode(F.translate(F.decode(payload, "ISO-8859-1"), every, _REVERSED), "ISO-8859-1")
     zeros = F.encode(F.repeat(F.lit("\0"), F.octet_length(payload)), "ISO-8859-1")
     both = F.crc32(mirrored).bitwiseXOR(F.crc32(zeros))

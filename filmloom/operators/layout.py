@@ -49,7 +49,8 @@ def parse_headers(files: DataFrame, content: str = "content") -> DataFrame:
         "channels_label": label(12), "sound_precision": num(13), "precision_label": label(13), "frames_per_chunk": num(14), "last_chunk": num(15), "even_bytes": num(16), "odd_bytes": num(17),
         "catalogue_offset": num(18), "sprite_offset": num(19), "sprite_bytes": num(20), "key_offset": keys,
     }
-    h = files.withColumn("_ls", ls).withColumn("head", F.struct(*[c.alias(n) for n, c in fields.items()]))
+    # generators of one row keep the lines and fields from being computed again wherever they are used
+    h = files.select("*", F.explode(F.array(ls)).alias("_ls")).select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))).alias("head"))
     size = F.octet_length(content)
     unread = F.array_contains(F.array(*[F.col(f"head.{n}").isNull() for n in fields]), True)
     flat = (F.col("head.video_codec") != 0) & ((F.col("head.width") == 0) | (F.col("head.height") == 0))
@@ -66,3 +67,53 @@ def read_movies(files: DataFrame, content: str = "content", id_col: str = "path"
     cat = h.select(id_col, F.octet_length(content).alias("_size"), F.array_join(F.slice(F.split(text, "\n"), F.lit(1), F.col("head.last_chunk").cast("int") + 1), "\n").alias("_catalogue"))
     inside = F.col("ok") & (F.col("file_offset") + F.col("video_bytes") + F.col("sound_bytes") <= F.col("_size"))
     return parse_catalogue(cat, id_col, "_catalogue").join(cat.select(id_col, "_size"), id_col).withColumn("ok", F.coalesce(inside, F.lit(False))).drop("_size")
+
+
+#: Bytes of a sector, and of the room for a catalogue's line.
+SECTOR, ENTRY = 2048, 64
+
+
+def render_header(fields: dict[str, Column]) -> Column:
+    """The 21 lines of a movie's header as a string; fields are those of ``parse_headers``, without labels; absent ones are 0 or empty.
+
+    A movie without picture format has no picture size; a negative key offset stands for no keys.
+    """
+    get = lambda n: F.coalesce(fields.get(n, F.lit(None)).cast("string"), F.lit("0"))
+    text = lambda n: F.coalesce(fields.get(n, F.lit(None)).cast("string"), F.lit(""))
+    side = lambda n: F.when(get("video_codec") == "0", F.lit("0")).otherwise(get(n))
+    keys = F.coalesce(fields.get("key_offset", F.lit(None)).cast("bigint"), F.lit(-1).cast("bigint"))
+    lines = [
+        F.lit("ARMovie"), text("title"), text("copyright"), text("author"), F.concat(get("video_codec"), F.lit(" video format")), F.concat(side("width"), F.lit(" pixels")),
+        F.concat(side("height"), F.lit(" pixels")), F.concat(get("pixel_depth"), F.lit(" bits per pixel")), F.concat(get("frames_per_second"), F.lit(" frames per second")),
+        F.concat(get("sound_codec"), F.lit(" sound format")), F.concat(get("sound_rate"), F.lit(" Hz samples")), F.concat(get("sound_channels"), F.lit(" channels")),
+        F.concat(get("sound_precision"), F.lit(" bits per sample")), F.concat(get("frames_per_chunk"), F.lit(" frames per chunk")), F.concat(get("last_chunk"), F.lit(" number of chunks")),
+        F.concat(get("even_bytes"), F.lit(" even chunk size")), F.concat(get("odd_bytes"), F.lit(" odd chunk size")), F.concat(get("catalogue_offset"), F.lit(" catalogue offset")),
+        F.concat(get("sprite_offset"), F.lit(" offset to sprite")), F.concat(get("sprite_bytes"), F.lit(" size of sprite")),
+        F.when(keys >= 0, F.concat(keys.cast("string"), F.lit(" offset to keys"))).otherwise(F.lit("-1 (no keys)")),
+    ]
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
+
+def assemble_movies(chunks: DataFrame, id_col: str, order: str, payload: str, fields: dict[str, Column]) -> DataFrame:
+    """(id, content): a movie file of each id, its chunks in order, each on a sector of its own behind header and catalogue.
+
+    The catalogue gets room for the longest possible line of every chunk, so offsets follow from sizes alone and need no
+    iteration. A movie is one file and is put together in one row; rows of different movies are independent.
+    """
+    zeros = lambda n: F.encode(F.repeat(F.lit("\0"), n.cast("int")), "ISO-8859-1")
+    up = lambda n: F.ceil(n / SECTOR) * SECTOR
+    all_of = Window.partitionBy(id_col)
+    c = chunks.select(id_col, F.col(order).alias("_o"), F.coalesce(F.col(payload), F.encode(F.lit(""), "UTF-8")).alias("_p")).withColumn("_n", F.octet_length("_p").cast("bigint"))
+    c = c.withColumn("_room", up(F.count("*").over(all_of) * ENTRY)).withColumn("_sector", up(F.col("_n")).cast("bigint"))
+    c = c.withColumn("_off", SECTOR + F.col("_room") + before("_sector", [id_col], ["_o"])).withColumn("_even", (F.row_number().over(all_of.orderBy("_o")) - 1) % 2 == 0)
+    c = c.withColumn("_line", F.concat(F.col("_off").cast("bigint").cast("string"), F.lit(","), F.col("_n").cast("string"), F.lit(";0\n"))).withColumn("_body", F.concat("_p", zeros(F.col("_sector") - F.col("_n"))))
+    largest = lambda even: F.coalesce(F.max(F.when((F.col("_even") == even) & (F.col("_n") > 0), F.col("_n") + 1)), F.lit(0))
+    m = c.groupBy(id_col).agg(
+        F.expr("listagg(_line, '') WITHIN GROUP (ORDER BY _o)").alias("_catalogue"), F.expr("listagg(_body, X'') WITHIN GROUP (ORDER BY _o)").alias("_data"),
+        (F.count("*") - 1).alias("_last"), F.max("_room").alias("_room"), largest(True).alias("_e"), largest(False).alias("_d"),
+    )
+    own = {"last_chunk": F.col("_last"), "even_bytes": F.col("_e"), "odd_bytes": F.col("_d"), "catalogue_offset": F.lit(SECTOR)}
+    head = F.encode(render_header(fields | own), "ISO-8859-1")
+    catalogue = F.encode("_catalogue", "ISO-8859-1")
+    m = m.withColumn("_h", head).withColumn("_c", catalogue)
+    return m.select(id_col, F.concat("_h", zeros(SECTOR - F.octet_length("_h")), "_c", zeros(F.col("_room") - F.octet_length("_c")), F.col("_data")).alias("content"))

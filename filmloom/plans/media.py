@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filmloom.functions import audio, bits, colour
-from filmloom.operators.layout import before, parse_catalogue
+from filmloom.operators.layout import ENTRY, SECTOR, assemble_movies, before, parse_catalogue, parse_headers, read_movies
 from filmloom.operators.motion import vector_bits
 from filmloom.operators.quality import THRESHOLDS, first_level, rate_level, running_xor
 from filmloom.plans.queries import CHUNKS_SQL, FRAMES_SQL, MOTION_SQL, PCM_SQL, RGB_SQL, block_motion_search, chunk_layout, copy_quality_profile, frames, luma_residuals, pcm, rgb
@@ -347,11 +347,68 @@ def chunk_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples dealt to chunks of equal time; chunk i takes samples from round(i t) up to round((i + 1) t).
 
     The chunk comes from a division and a correction by one, so samples and chunks are not joined on a range.
+    Samples are numbered in blocks of 2^20 ids; only the blocks' counts are summed in one place.
     """
-    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / CHUNK).alias("block"))
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / (1 << 20)).alias("block"))
     base = e.groupBy("block").agg(F.count("*").alias("n")).select("block", before("n", [], ["block"]).alias("base"))
     k = e.join(base, "block").select((F.col("base") + F.row_number().over(Window.partitionBy("block").orderBy("event_id")) - 1).alias("k"))
     start = lambda i: F.floor(i * _SECONDS * _RATE + 0.5)
     guess = F.floor(F.col("k") / (_SECONDS * _RATE))
     k = k.withColumn("i", guess).withColumn("i", F.when(F.col("k") < start(F.col("i")), F.col("i") - 1).when(F.col("k") >= start(F.col("i") + 1), F.col("i") + 1).otherwise(F.col("i")))
     return k.groupBy(F.col("i").alias("chunk_no")).agg(F.count("*").alias("samples"), F.min("k").alias("first_sample"))
+
+
+_FILES_SQL = f"""z AS (SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS sz, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT *, {SECTOR} + (n * {ENTRY} + {SECTOR - 1}) // {SECTOR} * {SECTOR} + coalesce(sum((sz + {SECTOR - 1}) // {SECTOR} * {SECTOR}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_no FROM z)"""
+
+
+def movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, content): every conversation as a movie file whose chunks are its turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode("text", "UTF-8").alias("payload"))
+    fields = {"title": F.concat(F.lit("movie "), F.col("conv_id").cast("string")), "video_codec": F.lit(19), "width": F.lit(160), "height": F.lit(128), "pixel_depth": F.lit(16), "frames_per_second": F.lit("12.5"), "frames_per_chunk": F.lit(1)}
+    return assemble_movies(c, "conv_id", "turn", "payload", fields)
+
+
+@query("movie_chunks", f"WITH {_FILES_SQL} SELECT conv_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(off AS BIGINT) AS file_offset, sz AS video_bytes, CAST(0 AS BIGINT) AS sound_bytes, CAST(1 AS BIGINT) AS sound_tracks, true AS ok FROM c")
+def movie_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues of movie files, put together from conversations and read again; each entry checked against its file."""
+    return read_movies(movie_files(spark, sf_dir), "content", "conv_id")
+
+
+@query(
+    "movie_headers",
+    f"WITH {_FILES_SQL} SELECT conv_id, 'movie ' || conv_id AS title, CAST(max(n) - 1 AS BIGINT) AS last_chunk, CAST(coalesce(max(sz + 1) FILTER (chunk_no % 2 = 0 AND sz > 0), 0) AS BIGINT) AS even_bytes, CAST(coalesce(max(sz + 1) FILTER (chunk_no % 2 = 1 AND sz > 0), 0) AS BIGINT) AS odd_bytes, CAST({SECTOR} AS BIGINT) AS catalogue_offset, CAST(max(off + (sz + {SECTOR - 1}) // {SECTOR} * {SECTOR}) AS BIGINT) AS size, 'ok' AS status FROM c GROUP BY conv_id",
+)
+def movie_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the same files."""
+    h = parse_headers(movie_files(spark, sf_dir))
+    return h.select("conv_id", "head.title", "head.last_chunk", "head.even_bytes", "head.odd_bytes", "head.catalogue_offset", F.octet_length("content").cast("bigint").alias("size"), "status")
+
+
+#: Pictures of one streamed movie.
+REEL = 64
+
+
+@query(
+    "streamed_deltas",
+    f"WITH {FRAMES_SQL} SELECT c.frame_no // {REEL} AS movie, c.frame_no, CAST(sum((c.luma - p.luma) * (c.luma - p.luma)) AS BIGINT) AS sse, CAST(max(abs(c.luma - p.luma)) AS BIGINT) AS max_err FROM frames c JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x AND p.y = c.y AND p.frame_no // {REEL} = c.frame_no // {REEL} GROUP BY ALL",
+)
+def streamed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picture differences by a streaming query with state per movie, run over all that is there and then read."""
+    import tempfile
+    import uuid
+
+    from filmloom.streaming.deltas import OUT, frame_deltas
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="filmloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    run = f"{base.rstrip('/')}/deltas-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "embeddings").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")
+    luma = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(63), F.floor((v.cast("double") + 1.0) * 32.0))).cast("int"))
+    pictures = e.select(F.floor(F.col("vec_id") / REEL).cast("bigint").alias("movie"), F.col("vec_id").cast("bigint").alias("frame_no"), luma.alias("luma"))
+    frame_deltas(pictures).writeStream.outputMode("append").format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{run}/out")

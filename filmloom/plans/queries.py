@@ -238,11 +238,11 @@ def chunk_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames dealt to chunks of one second at 12.5 frames a second: chunk i ends at frame floor((i + 1) 12.5).
 
-    The frame's rank comes from a distributed count of the frames before it, in blocks of 4096 ids.
+    The frame's rank comes from a distributed count of the frames before it, in blocks of 2^20 ids.
     """
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4096).alias("block"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / (1 << 20)).alias("block"))
     blocks = e.groupBy("block").agg(F.count("*").alias("n"))
     base = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     f = e.join(base, "block").select((F.col("base") + F.row_number().over(Window.partitionBy("block").orderBy("vec_id")) - 1).alias("f"))
