@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filmloom.functions import audio, bits, colour
 from filmloom.operators.layout import ENTRY, SECTOR, assemble_movies, before, parse_catalogue, parse_headers, read_movies
-from filmloom.operators.motion import vector_bits
+from filmloom.operators.motion import vector_bits, vector_code
 from filmloom.operators.quality import THRESHOLDS, first_level, rate_level, running_xor
 from filmloom.plans.queries import CHUNKS_SQL, FRAMES_SQL, MOTION_SQL, PCM_SQL, RGB_SQL, block_motion_search, chunk_layout, copy_quality_profile, frames, luma_residuals, pcm, rgb
 from filmloom.plans.registry import ORACLES, query, table
@@ -412,3 +412,83 @@ def streamed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     pictures = e.select(F.floor(F.col("vec_id") / REEL).cast("bigint").alias("movie"), F.col("vec_id").cast("bigint").alias("frame_no"), luma.alias("luma"))
     frame_deltas(pictures).writeStream.outputMode("append").format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{run}/out")
+
+
+@query(
+    "motion_codes",
+    MOTION_SQL + """, r AS (SELECT *, greatest(abs(dx), abs(dy)) AS r FROM best)
+SELECT frame_no, bx, brow, CAST(CASE r WHEN 1 THEN 4 * ord WHEN 2 THEN 2 + 4 * (ord - 8) ELSE 1 + 4 * (ord - 24 + 8) END AS BIGINT) AS code, CAST(CASE r WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 7 END AS BIGINT) AS bits FROM r""",
+)
+def motion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code and its length of every block's best vector."""
+    code, length = vector_code(F.col("ord"), F.col("dx"), F.col("dy"))
+    return block_motion_search(spark, sf_dir).select("frame_no", "bx", "brow", code.alias("code"), length.alias("bits"))
+
+
+@query(
+    "first_difference",
+    f"""WITH {FRAMES_SQL}, d AS (SELECT c.frame_no, c.y * 8 + c.x AS pos, c.luma, p.luma AS prev FROM frames c JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x AND p.y = c.y WHERE abs(c.luma - p.luma) > 8)
+SELECT frame_no, CAST(count(*) AS BIGINT) AS pixels, CAST(min(pos) AS BIGINT) AS first_at, arg_min(luma, pos) AS luma, arg_min(prev, pos) AS prev FROM d GROUP BY frame_no""",
+)
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per picture the number of pixels that differ by more than eight from the one before it, and the first of them."""
+    f = frames(spark, sf_dir)
+    p = f.select((F.col("frame_no") + 1).alias("frame_no"), "x", "y", F.col("luma").alias("prev"))
+    d = f.join(p, ["frame_no", "x", "y"]).where(F.abs(F.col("luma") - F.col("prev")) > 8)
+    g = d.groupBy("frame_no").agg(F.count("*").alias("pixels"), F.min(F.struct((F.col("y") * 8 + F.col("x")).alias("first_at"), "luma", "prev")).alias("m"))
+    return g.select("frame_no", "pixels", "m.first_at", "m.luma", "m.prev")
+
+
+@query(
+    "fixed_size_frames",
+    """WITH c AS (SELECT conv_id, turn, strlen(text) // 64 AS n, strlen(text) % 64 = 0 AS whole FROM conversations),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM c)
+SELECT conv_id, turn, CAST(lo + k AS BIGINT) AS frame_no, CAST(k * 64 AS BIGINT) AS first_byte, whole FROM (SELECT *, unnest(range(n)) AS k FROM r)""",
+)
+def fixed_size_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 64 bytes in chunks: the number of each in its movie, its place in the chunk, and whether the chunk divides evenly."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("size")).withColumn("n", F.floor(F.col("size") / 64)).withColumn("lo", before("n", ["conv_id"], ["turn"]))
+    k = c.where("n > 0").select("conv_id", "turn", "lo", (F.col("size") % 64 == 0).alias("whole"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    return k.select("conv_id", "turn", (F.col("lo") + F.col("k")).alias("frame_no"), (F.col("k") * 64).alias("first_byte"), "whole")
+
+
+@query(
+    "padding_frames",
+    """WITH m AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(unnest(range(n, (n + 3) // 4 * 4)) AS BIGINT) AS frame_no, CAST(n - 1 AS BIGINT) AS key_frame, CAST((160 // 4) * (128 // 4) * 2 // 8 AS BIGINT) AS bytes FROM m""",
+)
+def padding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that repeat the last one until a movie has a multiple of four, each of two zero bits a 4x4 block."""
+    m = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).where("n % 4 > 0")
+    return m.select("conv_id", F.explode(F.sequence("n", F.ceil(F.col("n") / 4) * 4 - 1)).alias("frame_no"), (F.col("n") - 1).alias("key_frame"), F.lit((160 // 4) * (128 // 4) * 2 // 8).cast("bigint").alias("bytes"))
+
+
+@query(
+    "device_budgets",
+    """WITH s AS (SELECT event_id, 1 + event_id % 25 AS fpc, 50 + user_id AS rate, (event_id % 3) / 10.0 AS lat FROM events),
+d AS (SELECT event_id, fpc, greatest(1024, CAST(trunc((fpc / 12.5 * 2 - lat) / 2 * rate * 1024 - ceil(11025 * (fpc / 12.5))) AS BIGINT) & ~1023) AS data FROM s)
+SELECT event_id, CAST(greatest(64, data // fpc) AS BIGINT) AS budget FROM d""",
+)
+def device_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes a frame for a device of a data rate and latency, with two buffers and eight-bit sound, in whole kilobytes a chunk."""
+    fpc, rate, lat = 1 + F.col("event_id") % 25, 50 + F.col("user_id"), F.col("event_id") % 3 / F.lit(10.0)
+    seconds = fpc / F.lit(12.5)
+    raw = ((seconds * 2 - lat) / 2 * rate * 1024 - F.ceil(11025 * seconds)).cast("bigint")
+    data = F.greatest(F.lit(1024).cast("bigint"), raw.bitwiseAND(F.lit(~1023).cast("bigint")))
+    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(64).cast("bigint"), F.floor(data / fpc)).alias("budget"))
+
+
+@query(
+    "sound_decoders",
+    """WITH s AS (SELECT event_id, [0, 1, 2, 101, 3][event_id % 5 + 1] AS codec, [4, 8, 16][event_id % 3 + 1] AS bits, ['bits per sample (exponential)', 'bits linear', 'bits linear unsigned', 'A-law bits', 'IMA ADPCM', ''][event_id % 7 % 6 + 1] AS label FROM events)
+SELECT event_id, CASE WHEN codec = 0 THEN NULL WHEN codec = 2 THEN CASE WHEN label ILIKE '%adpcm%' THEN 'adpcm' ELSE 'unknown' END
+ WHEN codec = 101 THEN CASE bits WHEN 4 THEN 'escape-adpcm' WHEN 8 THEN 'unsigned-8' ELSE 'signed-16' END
+ WHEN codec <> 1 THEN 'unknown' WHEN bits = 4 OR label ILIKE '%adpcm%' THEN 'adpcm' WHEN bits = 16 THEN 'signed-16'
+ WHEN label ILIKE '%a-law%' THEN 'alaw' WHEN label ILIKE '%lin%unsign%' THEN 'unsigned-8' WHEN label ILIKE '%lin%' THEN 'signed-8' ELSE 'ulaw' END AS decoder FROM s""",
+)
+def sound_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoders chosen for sound formats, precisions and labels that events stand for."""
+    of = lambda values, n: F.array(*[F.lit(v) for v in values])[n.cast("int")]
+    e = F.col("event_id")
+    label = of(["bits per sample (exponential)", "bits linear", "bits linear unsigned", "A-law bits", "IMA ADPCM", ""], e % 7 % 6)
+    return table(spark, sf_dir, "events").select("event_id", audio.sound_decoder(of([0, 1, 2, 101, 3], e % 5), of([4, 8, 16], e % 3), label, label).alias("decoder"))

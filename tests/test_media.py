@@ -82,3 +82,16 @@ def test_running_xor(spark):
     for i, x in enumerate(v):
         acc ^= x
         assert got[1, i] == got[2, i] == acc
+
+
+def test_vectors_and_thresholds(spark):
+    from filmloom.operators.motion import vector_code, vectors
+
+    v = spark.createDataFrame([(8,)], "r int")
+    code, bits_ = vector_code(F.col("ord"), F.col("dx"), F.col("dy"))
+    got = vectors(v.sparkSession, 8).select("dx", "dy", code.alias("c"), bits_.alias("b")).collect()
+    assert len(got) == 288 and len({(r.c, r.b) for r in got}) == 288 and {r.b for r in got} == {5, 6, 7, 10}
+    at = {(r.dx, r.dy): (r.c & 3, r.c >> 2) for r in got}
+    assert at[-1, -1] == (0, 0) and at[-1, 0] == (0, 3) and at[1, 0] == (0, 4) and at[1, 1] == (0, 7)
+    assert at[-2, -2] == (2, 0) and at[3, 3] == (1, 31) and at[-8, -8] == (3, 0) and at[8, 8] == (3, 239)
+    assert len(quality.THRESHOLDS) == 29 and all(a <= b for x, y in zip(quality.THRESHOLDS, quality.THRESHOLDS[1:]) for a, b in zip(x, y))
