@@ -6,9 +6,11 @@ positions whose name occurs more than once: suffixes that share a name share 2^k
 the intervals of the suffix array whose longest common prefix is 2^k lines or more. Positions with a unique name cannot
 be part of a longer repeat and leave; the rounds end when none is left.
 
-In each class the first position (by document id) stays, the others are later copies. Consecutive later copies of one
-round overlap, so they make up a run; a run of ``min_words`` words or more is deleted. Of single lines, only those that
-are long enough themselves are.
+A run is deleted only if one earlier copy, by document id, has all of it and it has ``min_words`` words or more. Every
+line of such a run lies in the shortest stretch of ``min_words`` words that begins at a line of the run or ends at one.
+How long those are depends on their own lines alone, so copies have them at the same places: a stretch of L lines,
+2^k <= L < 2^(k+1), is named by the names of its first and its last 2^k lines, and is a later copy if an earlier
+stretch has that name. The lines of all later copies are deleted. No stretch has more than ``min_words`` lines.
 """
 
 from __future__ import annotations
@@ -31,35 +33,55 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """(row, id, pos, size): the shortest stretches of ``min_words`` words that begin or end at a line of a document."""
+    by = Window.partitionBy("row").orderBy("pos")
+    upto = lines.select("row", "id", "pos", "words", F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    before, least = F.col("upto") - F.col("words"), max(1, min_words)
+    # how many lines begin before ``least`` words from a line's first, and not after ``least`` words back from its last
+    asked = [F.struct((before + least).alias("at"), F.lit(0).alias("kind")), F.struct(before.alias("at"), F.lit(1).alias("kind")), F.struct((F.col("upto") - least).alias("at"), F.lit(2).alias("kind"))]
+    got = upto.select("row", "id", "pos", "upto", F.explode(F.array(*asked)).alias("s")).select("row", "id", "pos", "upto", "s.at", "s.kind")
+    inside = Window.partitionBy("row").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    got = got.withColumn("n", F.sum((F.col("kind") == 1).cast("int")).over(inside).cast("int")).withColumn("total", F.max("upto").over(Window.partitionBy("row")))
+    begin = F.when(F.col("kind") == 0, F.col("pos")).otherwise(F.col("n") - 1)
+    end = F.when(F.col("kind") == 0, F.col("n")).otherwise(F.col("pos") + 1)
+    got = got.where(((F.col("kind") == 0) & (F.col("at") <= F.col("total"))) | ((F.col("kind") == 2) & (F.col("at") >= 0)))
+    return got.select("row", "id", begin.alias("pos"), (end - begin).alias("size")).distinct()
+
+
 def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, lines, n_words): per document with later copies the places of its lines to delete, and their words."""
     lines = written(line_table(docs, id_col, text_col), "lines")
     place = F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("id"), "row", "pos")
     names = lines.select("row", "id", "pos", "name")
+    runs = written(stretches(lines, min_words), "stretches")
     flagged, k = None, 0
-    while True:
-        groups = names.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = written(names.join(groups, "name").select("row", "id", "pos", "name", (F.col("first") < place).alias("later")), f"repeats-{k}")
+    while 1 << k <= max(1, min_words):
+        groups = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+        again = written(names.join(groups, "name").select("row", "id", "pos", "name"), f"repeats-{k}")
         if again.isEmpty():
             break
-        own = again.where("later").select("row", "pos", F.lit(k).alias("k"))
-        flagged = own if flagged is None else flagged.union(own)
         half = 1 << k
+        own = runs.where((F.col("size") >= half) & (F.col("size") < 2 * half)).join(again.select("row", "pos", "name"), ["row", "pos"])
+        if half > 1:
+            last = again.select("row", F.col("pos").alias("tail"), F.col("name").alias("next"))
+            own = own.withColumn("tail", F.col("pos") + F.col("size") - half).join(last, ["row", "tail"]).withColumn("name", F.xxhash64("size", "name", "next"))
+        own = own.select("row", "id", "pos", "size", "name")
+        firsts = own.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+        own = own.join(firsts, "name").where(F.col("first") < place).select("row", "pos", "size")
+        flagged = own if flagged is None else flagged.union(own)
         second = again.select("row", (F.col("pos") - half).alias("pos"), F.col("name").alias("next"))
         names = again.join(second, ["row", "pos"]).select("row", "id", "pos", F.xxhash64("name", "next").alias("name"))
         k += 1
     if flagged is None:
         return lines.limit(0).select("row", F.array("line").alias("lines"), F.col("words").cast("bigint").alias("n_words"))
-    # runs: later copies at consecutive positions of one document and round (single lines stand alone)
-    by = Window.partitionBy("row", "k").orderBy("pos")
-    runs = flagged.withColumn("run", F.when(F.col("k") == 0, F.col("pos")).otherwise(F.col("pos") - F.row_number().over(by)))
-    runs = runs.groupBy("row", "k", "run").agg(F.min("pos").alias("a"), (F.max("pos") + F.expr("int(shiftleft(1, k))")).alias("b"))
-    upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    total = lines.select("row", "pos", F.sum("words").over(upto).alias("upto"), "words")
-    ends = runs.join(total.select("row", (F.col("pos") + 1).alias("b"), F.col("upto").alias("to_b")), ["row", "b"]).join(
-        total.select("row", F.col("pos").alias("a"), (F.col("upto") - F.col("words")).alias("to_a")), ["row", "a"]
-    )
-    gone = ends.where(F.col("to_b") - F.col("to_a") >= min_words).select("row", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos")).distinct()
+    # stretches that overlap or touch are joined, so that every line is listed once
+    by = Window.partitionBy("row").orderBy("pos", "size")
+    reach = F.max(F.col("pos") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    joined = flagged.withColumn("new", F.coalesce((F.col("pos") > reach).cast("int"), F.lit(1)))
+    joined = joined.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("row", "run").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("size")).alias("b"))
+    gone = joined.select("row", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
     return gone.join(lines, ["row", "pos"]).groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.sum("words").cast("bigint").alias("n_words"))
 
 

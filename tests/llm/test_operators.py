@@ -125,6 +125,30 @@ def test_line_dedup(docs, nothing):
     assert without_repeated_runs(nothing).count() == 0
 
 
+def test_line_dedup_takes_whole_copies(spark):
+    from filmloom.llm.line_dedup import marked
+
+    own = np.random.default_rng(11)
+    lines = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(8)]
+    # in the fourth text every two lines occur earlier, but no three
+    texts = ["\n".join(lines[i] for i in t) for t in ([0, 1, 7], [1, 2, 6], [2, 3, 5], [0, 1, 2, 3], [4, 0, 1, 7, 4])]
+    few = ["a b c", "d " * 60, "e f g h i j", "k " * 17, "l " * 12, "m", ""]
+    texts += ["\n".join(few[i] for i in own.integers(0, 7, own.integers(1, 40))) for _ in range(40)]
+    got = {r.doc_id: r._gone or [] for r in marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50).collect()}
+    seen, want = set(), {}
+    for d, t in enumerate(texts):
+        kept = [(i, x.strip(), len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()]
+        gone = set()
+        for a in range(len(kept)):
+            for b in range(a + 1, len(kept) + 1):
+                key = tuple(x for _, x, _ in kept[a:b])
+                if key in seen and sum(n for *_, n in kept[a:b]) >= 50:
+                    gone |= {i for i, *_ in kept[a:b]}
+            seen |= {tuple(x for _, x, _ in kept[a:b]) for b in range(a + 1, len(kept) + 1)}
+        want[d] = sorted(gone)
+    assert want[3] == [] and want[4] == [1, 2, 3] and got == want
+
+
 def test_secrets(docs, nothing):
     from filmloom.llm.secrets import listed, secret_spans
 
