@@ -1,10 +1,12 @@
 """License scans with DataFrame operations only: an exact set-containment join of text blocks with license templates.
 
-A block is a line. A template is found in a block that holds at least ``threshold`` of the template's distinct words.
+Blocks are lines and, as notices may be wrapped, stretches of words over any number of lines: around every word by which
+a template may be found, twice the template's length to either side. A template is found in a block that holds at
+least ``threshold`` of the template's distinct words.
 Words are ordered by how many texts of the whole corpus hold them, rarest first. If a block meets the threshold, it
 holds one of the template's first n - ceil(threshold n) + 1 words in that order (prefix filter), at least
 ceil(threshold n) words (length filter), and from the first common prefix word on enough words are left in both
-(positional filter). Lines with a prefix word are joined to templates on that word, filtered, and verified in full.
+(positional filter). Blocks with a prefix word are joined to templates on that word, filtered, and verified in full.
 """
 
 from __future__ import annotations
@@ -62,11 +64,22 @@ def template_words(docs: DataFrame, text_col: str, templates: dict[str, str]) ->
     return {w: counts.get(w, 0) for w in vocab}
 
 
+def _stretches(words: Column, reach: dict[str, int], vocab: list[str]) -> Column:
+    """The words of ``vocab`` around every word in ``reach``, as many words to either side as stand there."""
+    far = F.create_map(*[x for w, n in sorted(reach.items()) for x in (F.lit(w), F.lit(n))])
+
+    def around(w: Column, i: Column) -> Column:
+        begin = F.greatest(F.lit(0), i - far[w])
+        return F.when(w.isin(*reach), F.array_intersect(F.slice(words, begin + 1, i - begin + 1 + far[w]), F.array(*map(F.lit, vocab))))
+
+    return F.array_distinct(F.filter(F.transform(words, around), lambda x: x.isNotNull()))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
     """Per row: _key (its columns but the text, in a struct), n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base places are where a base phrase's words stand consecutively; first_word and last_word are their smallest and
-    largest start, null if there is none. ``labels`` adds those of templates found in a line; ``score`` is 1 with a base
+    largest start, null if there is none. ``labels`` adds those of templates found in a block; ``score`` is 1 with a base
     place, else the largest containment found, else 0. Null and empty texts have no words and score 0; repeated rows
     stay, each with its own result.
     """
@@ -80,6 +93,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         index += [(w, name, own, need, i) for i, w in enumerate(own[: len(own) - need + 1])]
     order = sorted(freq, key=lambda w: (freq[w], w))
     prefix_words = sorted({r[0] for r in index})
+    reach = {w: max(2 * len(templates[r[1]].split()) - 1 for r in index if r[0] == w) for w in prefix_words}
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = phrase_pattern(list(PHRASES))
     with_prefix = rf"(?<!{_W})(?i:" + "|".join(sorted(prefix_words, key=lambda w: (-len(w), w))) + rf")(?!{_W})"
@@ -94,8 +108,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         _words_before(b, ".*?", every).cast("bigint").alias("first_word"),
         _words_before(b, ".*", every).cast("bigint").alias("last_word"),
         F.transform(F.filter(lines, lambda x: x.rlike(with_prefix)), word_list).alias("_blocks"),
+        F.when(F.col("_p"), word_list(F.col("_t"))).alias("_words"),
         F.xxhash64("_t").alias("_h"),
     )
+    d = d.withColumn("_blocks", F.array_union("_blocks", _stretches(F.col("_words"), reach, order))).drop("_words")
     d = written(d, "license-blocks")
     # one row per row content: equal rows share their blocks' result
     row = F.struct("_key", "_h")

@@ -182,6 +182,17 @@ def test_licenses(docs, nothing):
     assert license_scan(nothing).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    from filmloom.llm.licenses import TEMPLATES, license_scan
+
+    mit, bsd = TEMPLATES["mit-text"].split(), TEMPLATES["bsd"].split()
+    wrapped = ["# " + "\n# ".join(" ".join(t[i : i + 8]) for i in range(0, len(t), 8)) for t in (mit, bsd)]
+    texts = [prose(70) + "\n" + w + "\n" + prose(70) for w in wrapped]
+    texts += ["/* Released under\n * the MIT\n * license. */", " ".join(mit[:10]) + "\n" + prose(80) + "\n" + " ".join(mit[10:]), "released under\n" + prose(20) + "\nthe mit license", "\n" + " ".join(bsd)]
+    got = {r._key.doc_id: (r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("bsd", 1.0)}
+
+
 def test_mixing(docs, nothing):
     from filmloom.llm.mixing import mixed, training_order
 
