@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its copies and due time in the mix, in training order."""
-    m = training_order(mixed(docs))
+    """Every copy of every document with its due time in the mix, in training order; documents that are not taken come last, once."""
+    m = training_order(mixed(docs), each_copy=True)
     return m.select("_key.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_taken"), F.col("position").alias("mix_position"))
 
 

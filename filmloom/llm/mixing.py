@@ -65,11 +65,11 @@ def due_time(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
 
 
 def mixed(docs: DataFrame, max_repeat: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """One row per document: _key (its columns as given, in a struct), size, source_size, target, copies, taken, position.
+    """One row per document: _key (its columns as given, in a struct), size, source_size, target, copies, taken, position, due.
 
     A source's documents are taken in md5 order, over and over, until its target is reached; a document belongs to the
     last, partial pass if its middle word does. ``copies`` is how often it is taken, ``taken`` copies x size, ``position``
-    the time (0..1) it is first due, null if it is not taken. Null and empty texts have size 0 and take nothing; a null
+    the time (0..1) it is first due, null if it is not taken, ``due`` the times of all its copies, one per pass. Null and empty texts have size 0 and take nothing; a null
     source is a source of its own; of rows with one id any order is as good, as they differ only in what they hold.
     Repeated rows count one by one. An empty table gives an empty result.
     """
@@ -94,15 +94,25 @@ def mixed(docs: DataFrame, max_repeat: int = 3, text_col: str = "text", id_col:
     last = F.when((passes < max_repeat) & (F.col("place") + F.col("size") / 2.0 < rest), 1).otherwise(0)
     copies = F.when(F.col("source_size") > 0, passes + last).otherwise(0).cast("bigint")
     at = at.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("bigint"))
-    share = F.least(F.lit(1.0), F.col("place") / F.col("target"))
-    time = F.when(F.col("rank") % 2 == 1, due_time(share, FADING)).otherwise(due_time(share, GROWING))
+
+    def time(turn: Column) -> Column:
+        share = F.least(F.lit(1.0), (F.col("place") + turn * F.col("source_size")) / F.col("target"))
+        return F.round(F.when(F.col("rank") % 2 == 1, due_time(share, FADING)).otherwise(due_time(share, GROWING)), 9)
+
+    due = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1), time))
     return at.select(
         "_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
-        F.when(F.col("copies") > 0, F.round(time, 9)).alias("position"), F.col("h").alias("_h"),
+        F.when(F.col("copies") > 0, time(F.lit(0))).alias("position"), F.coalesce(due, F.array().cast("array<double>")).alias("due"), F.col("h").alias("_h"),
     )
 
 
-def training_order(mix: DataFrame) -> DataFrame:
-    """The mix range-sorted by due time; documents that are not taken follow, dealt evenly by hash."""
+def training_order(mix: DataFrame, each_copy: bool = False) -> DataFrame:
+    """The mix range-sorted by due time; documents that are not taken follow, dealt evenly by hash.
+
+    With ``each_copy`` a document has a row for every copy, with that copy's time as ``position``; without, one row, at
+    the time it is first due.
+    """
+    if each_copy:
+        mix = mix.withColumn("position", F.explode_outer("due"))
     late = 1 + F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
     return mix.orderBy(F.coalesce("position", late), "_h").drop("_h")

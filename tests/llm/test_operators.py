@@ -211,6 +211,26 @@ def test_mixing(docs, nothing):
     assert training_order(mixed(nothing)).count() == 0
 
 
+def test_mixing_places_every_copy(spark):
+    from filmloom.llm.mixing import mixed, training_order
+
+    # the first source's weight is 1 of 1 + 2 and it is small: it is taken three times
+    d = spark.createDataFrame([(i, "a" if i < 20 else "b", "w " * (10 + i % 3)) for i in range(200)], "doc_id long, source string, text string")
+    mix = mixed(d)
+    copies = {r._key.doc_id: r.copies for r in mix.collect()}
+    got = training_order(mix, each_copy=True).collect()
+    assert sum(r.position is not None for r in got) == sum(copies.values()) and len(got) == sum(max(1, n) for n in copies.values())
+    due = [r.position for r in got if r.position is not None]
+    assert due == sorted(due)
+    small = [r for r in got if r._key.source == "a"]
+    assert small[0].copies == 3 and max(r.position for r in small) > 0.9
+    # the fading schedule: at time t a share of 1.5 t - t^2 / 2 of the target has been asked for
+    seen = 0
+    for r in small:
+        assert abs(seen / r.target - (1.5 * r.position - r.position**2 / 2)) < 1e-6
+        seen += r.size
+
+
 @pytest.mark.parametrize("arc", [1 << 20, 400])
 def test_lm(docs, nothing, arc):
     from pyspark.sql import functions as F
