@@ -6,6 +6,7 @@ letters or more) with the trie, so misspelled terms are caught as well. A match
 of saying in its window, counts as quoted, others as abuse. A logistic model over a document's counts gives the score.
 
 Only learning uses a sample: at most ``sample`` labelled documents of each label, those with the smallest hashes.
+The model weighs each label's rows so that the labels keep their shares among all labelled documents.
 """
 
 from __future__ import annotations
@@ -183,16 +184,17 @@ def learn_lexicon(sample: DataFrame, share: float = 0.01, odds: float = 25.0) ->
     return Lexicon(whole, families)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40) -> np.ndarray:
-    """Weights, the constant first, by Newton's method; classes weigh as they come."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40, weigh: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the constant first, by Newton's method; rows count ``weigh`` times, else once."""
+    m = np.ones(len(y)) if weigh is None else weigh
     z = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(z.shape[1])
     r = np.full(len(w), ridge)
     r[0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + r * w
-        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(r)
+        g = z.T @ (m * (p - y)) + r * w
+        h = (z * (m * (p * (1 - p) + 1e-9))[:, None]).T @ z + np.diag(r)
         w = w - np.linalg.solve(h, g)
     return w
 
@@ -210,6 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
     """A scorer from the labelled documents of the training folds; without both labels it scores everything 0."""
     lab = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     lab = lab.groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    every = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
     order = F.xxhash64(F.col("_id"), F.lit(17))
     some = lab.where("toxic = 1").orderBy(order, "_id").limit(sample).union(lab.where("toxic = 0").orderBy(order, "_id").limit(sample))
     some = written(some, "labelled")
@@ -225,7 +228,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
     y = t["toxic"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Scorer(lex, np.concatenate([[-30.0], np.zeros(N_FEATURES)]))
-    return Scorer(lex, logistic(np.array(t["x"].combine_chunks().flatten()).reshape(len(y), -1), y))
+    # a label of which only some were taken weighs as all of them; the weights' mean is one, as the ridge is for so many rows
+    weigh = np.where(y == 1, every[1] / min(sample, every[1]), every[0] / min(sample, every[0]))
+    return Scorer(lex, logistic(np.array(t["x"].combine_chunks().flatten()).reshape(len(y), -1), y, weigh=weigh / weigh.mean()))
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

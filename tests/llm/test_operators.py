@@ -313,6 +313,21 @@ def test_toxicity(spark, docs, nothing):
     assert with_scores(nothing, learn(nothing, lab)).count() == 0
 
 
+def test_toxicity_keeps_label_shares(spark):
+    from filmloom.llm.toxicity import learn, with_scores
+
+    # one in eight is toxic and has the word, as have 2 % of the clean ones
+    own = np.random.default_rng(3)
+    toxic = [i % 8 == 0 for i in range(6400)]
+    rows = [(i, "some plain words" + (" moron " if t or own.random() < 0.02 else " ") + "and others") for i, t in enumerate(toxic)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    one = d.where("doc_id = 0")
+    few, every = (with_scores(one, learn(d, lab, n)).first().toxicity for n in (560, 8000))
+    # equal shares of the labels would lift the log-odds by ln 7 = 1.9
+    assert 0.8 < every < 0.93 and abs(math.log(few / (1 - few)) - math.log(every / (1 - every))) < 0.9
+
+
 def test_digest_matches_sql(docs):
     from filmloom.llm.decontamination import digest
 
