@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set for the session."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all runs on one machine, a temporary one for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="filmloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -23,10 +25,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # shuffle files of finished jobs go when the driver has let go of them, which else may take long
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that Python no longer holds; on Spark Connect, the server's own timer does."""
     gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()
 
 
 def forget(df: DataFrame) -> None:

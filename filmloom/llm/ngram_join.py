@@ -3,15 +3,17 @@
 A document's set is its distinct n-word shingles, as 64-bit hashes. Equal sets are one class. A class's shingles have a
 global order: shingles that recur within a partition last, by their count, the others first by the corpus counts of
 their words, least expected first, then by hash. Both counts are kept in tables of a fixed size. The order decides how
-much work there is, never what is found. Two sets of sizes a, b with Jaccard similarity t share o = t (a + b) / (1 + t) shingles or more, so their first
-a - ceil(t a) + l shingles share l or more; that is a class's prefix, with l growing with its size.
+much work there is, never what is found. Two sets of sizes a, b with Jaccard similarity t share o = t (a + b) / (1 + t)
+shingles or more, so a's first a - o + l and b's first b - o + l shingles share l or more. A class's prefix is that for
+the smallest partner, a - ceil(t a) + l, with l growing with its size; for a given partner only so much of it counts.
 
 1. Partition: every class is compared with the most central class (most of its prefix shared) on each of its prefix
-   shingles; pairs that share enough
-   are verified, and the components of the links are the groups. That is linear in the prefixes, however large a group.
-2. Matrix: a group's token union is the set of its members' prefix shingles, stored as rows (token, group). A class
-   meets the other groups on its prefix; the number of tokens it shares with the union bounds what it can share with any
-   member, so only groups that reach the bound, at a size within reach, are opened.
+   shingles; pairs that share enough are verified, and the components of the links are the groups. That is linear in the
+   prefixes, however large a group.
+2. Matrix: a group's token union is the set of its members' prefix shingles, stored as rows (token, group) with the
+   members' sizes and the earliest place. A class meets the other groups on its prefix; the number of tokens it shares
+   with the union, early enough in both, bounds what it can share with any member, so only groups that reach the bound,
+   at a size within reach, are opened. Lookalikes below the threshold differ early, so they hardly meet at all.
 3. Opened groups: every set has a bitmap with the parity of its shingles per bit, so two bitmaps differ in at most as
    many bits as the sets do in shingles. The class is joined with the group's members on the group, under the condition
    that sizes and bitmaps allow the similarity, and what passes is verified.
@@ -32,7 +34,7 @@ from filmloom.llm._shared import components, forget, written
 from filmloom.llm._text import SPACE, Words, mix, shingles, words
 
 #: Sizes of the tables of word and shingle counts, the same for every corpus; how often a shingle recurs in a partition to count.
-BUCKETS, SHINGLE_BUCKETS, RECURS = 1 << 17, 1 << 22, 5
+BUCKETS, SHINGLE_BUCKETS, RECURS = 1 << 17, 1 << 21, 5
 
 
 def _order_tables(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +52,11 @@ def _order_tables(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         for keys, counts in ((at, total[at]), (more + BUCKETS, recur[more].astype(np.int64))):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["bucket", "n"])
 
-    got = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # five bytes a bucket reach the driver: eighths of the logarithm
+    got = sums.select(F.col("bucket").cast("int"), F.round(F.log2(F.col("n") + 1) * 8).cast("smallint").alias("e")).toArrow()
     out = np.zeros(BUCKETS + SHINGLE_BUCKETS, np.float32)
-    out[got["bucket"].to_numpy()] = np.log2(got["n"].to_numpy() + 1)
+    out[got["bucket"].to_numpy()] = got["e"].to_numpy() / 8
     return out[:BUCKETS], out[BUCKETS:].astype(np.float16)
 
 
@@ -152,55 +156,83 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     Words are runs of other than ASCII white space, A-Z in lower case. Fewer than ``n`` words, but not none, are one
     shingle; a null or empty text has none and is linked with nothing. Rows that share an id are one document only if
     their sets are equal; else each row's set may link the id, and the id has one row for each row. Rows with a null id
-    are left out. Very long texts are handled whole, one at a time.
+    are left out. Very long texts are handled whole, one at a time. An empty table gives an empty result; only the id
+    and the text are read, so other columns may have any name.
     """
     t = percent / 100
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text")).where(F.col("_id").isNotNull())
     sig = written(signatures(texts, _order_tables(texts, n), n, t), "signatures")
     some = sig.where("n_shingles > 0")
     # classes of equal sets
-    cls = some.groupBy("s1", "s2", "n_shingles").agg(F.min("_id").alias("c"))
-    cls = written(cls, "classes")
+    cls = written(some.groupBy("s1", "s2", "n_shingles").agg(F.min("_id").alias("c")), "classes")
     reps = some.join(cls.select(F.col("c").alias("_id"), "s1", "s2", "c"), ["_id", "s1", "s2"]).dropDuplicates(["c", "s1", "s2"])
-    tokens = reps.select("c", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    tokens = reps.select("c", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     # 1. partition: tokens of more than one class, and on each the class with the largest part of its prefix shared
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    met = written(tokens.join(shared, "token"), "shared-tokens")
-    sizes = met.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("k"))
+    every = written(tokens.join(shared, "token"), "shared-tokens")
+    sizes = every.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("k"))
     # whatever its partner's size, a class needs so many shared tokens
-    able = sizes.where(F.col("k") >= F.floor(F.ceil(F.col("n") * t - 1e-9) / 50) + 1).select("c", "n")
-    wanted = able.select(F.col("c").alias("_id")).distinct()
+    able = sizes.where(F.col("k") >= F.floor(F.ceil(F.col("n") * t - 1e-9) / 50) + 1).select("c", "k")
+    met = written(every.join(able, "c"), "able-tokens")
+    forget(every)
+    wanted = met.select(F.col("c").alias("_id")).distinct()
     sets = written(_full_sets(texts.join(wanted, "_id", "left_semi"), n), "sets")
-    central = met.join(sizes.select("c", (-F.col("k") / F.col("n")).alias("alone")), "c")
-    leads = central.groupBy("token").agg(F.min(F.struct("alone", "c")).alias("lead")).select("token", F.col("lead.c").alias("lead"))
-    lead = met.join(leads, "token").where("c <> lead").groupBy("c", "lead", "n").agg(F.count("*").alias("k"))
-    lead = lead.join(able.select(F.col("c").alias("lead"), F.col("n").alias("m")), "lead").where(_enough(F.col("k"), F.col("n"), F.col("m"), t))
-    links = written(_verified(lead.select(F.col("c").alias("a"), F.col("lead").alias("b")), sets, percent, 100), "links")
-    group = components(links)
-    met = met.join(group.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
-    met = written(met.join(able.select("c"), "c", "left_semi").select("token", "c", "n", "g"), "grouped-tokens")
-    # 2. matrix: the groups' token unions, with the smallest and largest member on each token
-    union = met.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    bits = sets.select("c", "bits")
+    best = F.min(F.struct((-F.col("k") / F.col("n")).alias("alone"), F.col("c").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("at")))
+    leads = met.groupBy("token").agg(best.alias("l")).select("token", "l.lead", "l.m", "l.at")
+    lead = met.join(leads, "token").where((F.col("c") != F.col("lead")) & _within("n", "m", t) & _early("pos", "n", F.col("m"), t) & _early("at", "m", F.col("n"), t))
+    lead = lead.groupBy("c", "lead", "n", "m").agg(F.count("*").alias("k")).where(_enough(F.col("k"), F.col("n"), F.col("m"), t))
+    lead = lead.join(bits.withColumnRenamed("bits", "x"), "c").join(bits.select(F.col("c").alias("lead"), F.col("bits").alias("y")), "lead")
+    lead = written(lead.where(_may_link("x", "y", F.col("n"), F.col("m"), t)).select(F.col("c").alias("a"), F.col("lead").alias("b")), "lead-pairs")
+    links = written(_verified(lead, sets, percent, 100), "links")
+    forget(lead)
+    group = written(components(links), "groups")
+    grouped = met.join(group.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left")
+    grouped = written(grouped.select("token", "c", "n", "pos", F.coalesce("g", "c").alias("g")), "grouped-tokens")
+    forget(met)
+    forget(group)
+    # 2. matrix: the groups' token unions; on each token the sizes of the members and how early one of them has it
+    union = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(_lateness("pos", "n", t)).alias("late"))
     several = union.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     union = union.join(several, "token", "left_semi").withColumnRenamed("g", "h")
-    ask = met.join(several, "token", "left_semi")
-    # sizes within reach, and each pair of groups from one side only
+    ask = grouped.join(several, "token", "left_semi")
+    # sizes within reach, a place early enough in both sets, and each pair of groups from one side only
+    low = F.greatest(F.col("least"), F.ceil(F.col("n") * t - 1e-9))
     reach = (F.col("most") >= F.ceil(F.col("n") * t - 1e-9)) & (F.col("least") <= F.floor(F.col("n") / t + 1e-9))
+    reach = reach & _early("pos", "n", low, t) & (F.col("late") < 1e-6 - F.col("n") * (t / (1 + t)))
     bound = ask.join(union, "token").where((F.col("g") > F.col("h")) & reach).groupBy("c", "n", "g", "h").agg(F.count("*").alias("k"), F.min("least").alias("least"))
     opened = bound.where(_enough(F.col("k"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * t - 1e-9)), t)).select("c", "n", "h")
     opened = written(opened, "opened")
     # 3. members of opened groups whose size and bitmap allow a link
-    bits = sets.select("c", "bits")
     asking = opened.join(bits, "c").withColumnRenamed("bits", "x")
-    members = met.select("c", "n", "g").distinct().join(bits, "c").select(F.col("g").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    pairs = asking.join(members, "h").where(
-        (F.col("m") >= F.ceil(F.col("n") * t - 1e-9)) & (F.col("n") >= F.ceil(F.col("m") * t - 1e-9)) & _may_link("x", "y", F.col("n"), F.col("m"), t)
-    )
-    more = _verified(pairs.select(F.col("c").alias("a"), F.col("d").alias("b")), sets, percent, 100)
+    members = grouped.select("c", "n", "g").distinct().join(bits, "c").select(F.col("g").alias("h"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    pairs = asking.join(members, "h").where(_within("n", "m", t) & _may_link("x", "y", F.col("n"), F.col("m"), t))
+    pairs = written(pairs.select(F.col("c").alias("a"), F.col("d").alias("b")), "member-pairs")
+    forget(opened)
+    forget(grouped)
+    more = written(_verified(pairs, sets, percent, 100), "more-links")
+    forget(pairs)
+    forget(sets)
     roots = components(links.union(more))
+    forget(links)
+    forget(more)
     out = cls.join(roots.withColumnRenamed("node", "c"), "c", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "c").alias("component_id"))
     return sig.join(out, ["s1", "s2", "n_shingles"], "left").select("_id", "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def _enough(k: Column, n: Column, m: Column, t: float) -> Column:
     return k >= F.least(_level(n, t), _level(m, t))
+
+
+def _within(n: str, m: str, t: float) -> Column:
+    """Whether sets of these sizes can be linked at all."""
+    return (F.col(m) >= F.ceil(F.col(n) * t - 1e-9)) & (F.col(n) >= F.ceil(F.col(m) * t - 1e-9))
+
+
+def _lateness(pos: str, n: str, t: float) -> Column:
+    """A partner of m shingles shares o = t (n + m) / (1 + t) or more, so l of them are among the first n - o + l: those where this is below -m t / (1 + t)."""
+    return F.col(pos) - _level(F.col(n), t) - F.col(n) * (1 / (1 + t))
+
+
+def _early(pos: str, n: str, m: Column, t: float) -> Column:
+    return _lateness(pos, n, t) < 1e-6 - m * (t / (1 + t))
