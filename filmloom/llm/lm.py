@@ -1,270 +1,233 @@
-"""Language-model scoring by a weighted backoff automaton of word n-grams.
-
-Counts are taken over all training texts. The automaton's states are the empty context, words and frequent word pairs;
-its arcs are n-grams, by interpolated absolute discounting, and every state has a failure arc to the state of its last
-word less one, weighted with the mass the state leaves. A text is read once from left to right: the state is the
-longest context that has one, the word's arc is taken, or failure arcs followed until there is one; at the empty
-context every word has its smoothed unigram probability.
-
-Every pair that occurs twice or more, of words that make up 2^-20 of all training tokens, is an arc, so the automaton
-grows with the corpus. It lies in two places. Arcs that make up 2^-20 of all tokens themselves are broadcast, with the
-words: those are shares, so there are at most 2^20 of them of an order in a corpus of any size. The other pairs stay in
-a table. A text that meets none of the broadcast arcs at a word follows the failure arcs and notes the pair; what an
-arc in the table adds to that depends on the pair alone, so noted pairs are joined with the table and summed per text.
-Words below 2^-20 likewise keep their exact counts in a table as large as the vocabulary. Trigrams are arcs at 2^-20.
+"""Language-model scoring by a weighted backoff automaton of word n-grams, up to trigrams.
+
+Every n-gram of every training text counts; none is left out for being rare. The automaton's states are the contexts
+(two words, one word, none), its arcs the n-grams. With n the counts, a context h of one or two words, and h' the
+context without its first word, the arc of w weighs
+
+    p(w | h) = (n(h w) + K p(w | h')) / (n(h) + K),    p(w) = (n(w) + 1/2) / (N + (V + 1) / 2)
+
+and where h has no arc for w, the failure arc to h' weighs K / (n(h) + K): the same sum with n(h w) = 0, so the weights
+of a context add up to one. A text is read once from left to right: the state is the longest context, the word's arc is
+taken or failure arcs followed until there is one, and the log-probabilities add up.
+
+No task holds the whole automaton. Texts are packed into chunks of about ``CHUNK`` tokens. A chunk asks for the counts
+of its distinct n-grams, each once however often it occurs in the chunk, as sorted 64-bit keys; the key space is cut
+into shards of about ``SHARD_KEYS`` asked keys, each of which adds up what the chunks have seen and answers every chunk.
+From the answers a chunk builds the part of the automaton that its own texts walk through, exactly as the whole would
+have it. A common n-gram is asked for once by each chunk, so keys are hot in no shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmloom.llm._shared import written
-from filmloom.llm._text import SPACE, Words, words
+from filmloom.llm._shared import forget, written
+from filmloom.llm._text import SPACE, mix, words
 
-ARC, LEAST = 1 << 20, 2
-#: Bits of a word's number in a key.
-WIDE = 21
-DISCOUNT = 0.75
-#: Stands for the end of a text among word hashes.
-END = -1
+CHUNK, SHARD_KEYS = 1 << 19, 2_000_000
+#: How many occurrences the lower order is worth, behind one word and behind two; good on held-out texts of sf0.1.
+BEHIND_ONE, BEHIND_TWO = 3000.0, 10.0
+_START, _END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
+_BY = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
 def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % folds == fold
 
 
-def _counted(texts: DataFrame, keys: Callable[[Words], np.ndarray]) -> DataFrame:
-    """(key, n) over all texts; every task adds up its own keys first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, size = [], 0
-        done_k, done_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, first all their first bytes, then all their second ones, and so on."""
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + (pa.compress(flat, codec="zstd", asbytes=True) if flat else b"")
+
+
+def _unpack(blob: bytes, kind: type) -> np.ndarray:
+    size, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).reshape(-1)
+
+
+class Grams:
+    """The n-grams of a chunk: ``keys``, sorted and distinct, and for every token the places of its word, pair and trigram among them."""
+
+    def __init__(self, vocab: np.ndarray, ids: np.ndarray, lengths: np.ndarray):
+        rows = len(lengths)
+        self.text = np.repeat(np.arange(rows), lengths + 2)
+        h = np.empty(len(self.text), np.uint64)
+        begin = np.cumsum(lengths + 2) - (lengths + 2)
+        mark = np.zeros(len(h), bool)
+        mark[begin] = mark[begin + lengths + 1] = True
+        h[~mark] = vocab[ids]
+        h[begin], h[begin + lengths + 1] = _START, _END
+        self.token = np.ones(len(h), bool)
+        self.token[begin] = False
+        self.third = self.token.copy()
+        self.third[begin + 1] = False
+        k = np.zeros((3, len(h)), np.uint64)
+        k[0] = h * _BY[0]
+        k[1, 1:] = h[:-1] * _BY[0] + h[1:] * _BY[1]
+        k[2, 2:] = h[:-2] * _BY[0] + h[1:-1] * _BY[1] + h[2:] * _BY[2]
+        one, two, three = (mix(k[o]) & ~np.uint64(3) | np.uint64(o + 1) for o in range(3))
+        every = np.concatenate([one[self.token], two[self.token], three[self.third]])
+        self.keys, place = np.unique(every, return_inverse=True)
+        n = int(self.token.sum())
+        self.one, self.two, self.three = (np.full(len(h), -1, np.int64) for _ in range(3))
+        self.one[self.token], self.two[self.token], self.three[self.third] = place[:n], place[n : 2 * n], place[2 * n :]
+
+    def seen(self, train: np.ndarray) -> np.ndarray:
+        """How often the chunk's training texts have each key."""
+        own = train[self.text]
+        return sum(np.bincount(x[own & (x >= 0)], minlength=len(self.keys)) for x in (self.one, self.two, self.three))
+
+
+class Automaton:
+    """States and arcs that the texts of a chunk walk through; ``n``: the training count of every key of ``g``."""
+
+    def __init__(self, g: Grams, n: np.ndarray, tokens: int, kinds: int):
+        self.g, self.n, self.word_log = g, n, np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
+        p = 10.0**self.word_log
+        end = int(np.searchsorted(g.keys, (mix(np.array([_END]) * _BY[0]) & ~np.uint64(3) | np.uint64(1))[0]))
+        # the start mark is a context as often as there are ends
+        word = np.where(g.one >= 0, g.one, end)
+        self.arc, self.fail = np.full(len(n), -np.inf), np.zeros(len(n))
+        for at, context, below, worth in ((g.two, word, g.one, BEHIND_ONE), (g.three, g.two, g.two, BEHIND_TWO)):
+            own, first = np.unique(at, return_index=True)  # an n-gram's arc is that of any of its occurrences
+            own, first = own[own >= 0], first[own >= 0]
+            h = n[context[first - 1]].astype(np.float64)
+            p[own] = (n[own] + worth * p[below[first]]) / (h + worth)
+            has = n[own] > 0
+            self.arc[own[has]] = np.log10(p[own[has]])
+            self.fail[own] = np.log10(worth / (h + worth))
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of every token: its arc from the longest context, or the failure arcs down to one that has it."""
+        g = self.g
+        base = np.where(g.token, self.word_log[g.one], 0.0)
+        score, todo = np.zeros(len(base)), g.token.copy()
+        for at in (g.three, g.two):
+            has = todo & (at >= 0)
+            arc = has & np.isfinite(self.arc[at])
+            score[arc] += self.arc[at[arc]]
+            todo &= ~arc
+            fails = has & ~arc
+            score[fails] += self.fail[at[fails]]
+        score[todo] += base[todo]
+        return base, score
+
+
+def chunks(docs: DataFrame, train: Column, cols: list[str], text_col: str, chunk_tokens: int) -> DataFrame:
+    """(chunk, tokens, train_tokens, rows, vocab, ids): texts of about ``chunk_tokens`` tokens; a longer text is a chunk of its own."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.coalesce(train, F.lit(False)).alias("train"), F.col(f"`{text_col}`").alias("text"))
+    fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in own.schema.fields if f.name != "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        h: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        rows: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            all_h, n = np.concatenate(h), np.concatenate(lengths)
+            t = pa.Table.from_batches(rows).combine_chunks()
+            vocab, ids = np.unique(all_h, return_inverse=True)
+            learn = t["train"].to_numpy()
+            struct = pa.StructArray.from_arrays([*[c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns], pa.array(n)], [*t.schema.names, "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part << 33 | number]), pa.array([len(all_h) + len(n)]), pa.array([int((n[learn] + 1).sum())]), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), struct), pa.array([_pack(vocab)], pa.binary()), pa.array([_pack(ids.astype(np.uint32))], pa.binary())],
+                ["chunk", "tokens", "train_tokens", "rows", "vocab", "ids"],
+            )
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            u, n = np.unique(np.concatenate(have), return_counts=True) if have else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            k = np.concatenate([done_k, u])
-            w = np.concatenate([done_n, n])
-            o = np.argsort(k, kind="stable")
-            k, w = k[o], w[o]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            return k[first], np.add.reduceat(w, first) if len(k) else w
-
-        for b in batches:
-            for w in words(b.column("text"), SPACE):
-                have.append(keys(w))
-                size += len(have[-1])
-                if size > 2_000_000:
-                    done_k, done_n = merge()
-                    have, size = [], 0
-        done_k, done_n = merge()
-        for i in range(0, len(done_k), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(done_k[i : i + 50_000]), pa.array(done_n[i : i + 50_000])], ["key", "n"])
-
-    return texts.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _with_ends(w: Words, x: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the start mark, its words' ids and the end mark, one text after another; and where each text begins."""
-    rows = w.rows.stop - w.rows.start
-    out = np.empty(len(x) + 2 * rows, np.int64)
-    begin = w.first[:-1] + 2 * np.arange(rows)
-    out[begin] = start
-    out[np.arange(len(x)) + 2 * w.doc + 1] = x
-    out[w.first[1:] + 2 * np.arange(rows) + 1] = end
-    return out, begin
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of every x in sorted ``keys``, -1 where it is not there."""
-    if not len(keys):
-        return np.full(len(x), -1, np.int64)
-    at = np.searchsorted(keys, x)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == x, at, -1)
-
-
-class Model:
-    """``vocab``: sorted hashes of the words that are contexts; a word's number is its place there, below 2^20 + 2 with the marks."""
-
-    def __init__(self, tokens: int, kinds: int, texts: int, vocab: np.ndarray, counts: np.ndarray, end_count: int):
-        self.tokens, self.kinds, self.texts = tokens, kinds, texts
-        self.vocab, self.counts, self.end_count = vocab, counts, end_count
-        self.n_ctx = len(vocab)
-        self.end, self.start = self.n_ctx, self.n_ctx + 1
-        self.word_total = np.concatenate([counts, [end_count, texts]]).astype(np.float64)
-        self.pairs = self.triples = np.zeros(0, np.int64)
-
-    def unigram(self, c: np.ndarray | float):
-        return np.log10((np.asarray(c, np.float64) + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
-
-    def known(self) -> np.ndarray:
-        """log10 of the unigrams of the words and the end mark, by number."""
-        return np.concatenate([self.unigram(self.counts), [self.unigram(self.end_count)]])
-
-    def ids(self, w: Words) -> np.ndarray:
-        return _find(self.vocab, w.hash.view(np.int64))
-
-    def pair_keys(self, w: Words) -> np.ndarray:
-        x, begin = _with_ends(w, self.ids(w), self.start, self.end)
-        a, b = x[:-1], x[1:]
-        ok = (a >= 0) & (b >= 0) & (b != self.start)
-        return (a[ok] << WIDE) | b[ok]
-
-    def triple_keys(self, w: Words) -> np.ndarray:
-        x, begin = _with_ends(w, self.ids(w), self.start, self.end)
-        a, b, c = x[:-2], x[1:-1], x[2:]
-        ok = (a >= 0) & (b >= 0) & (c >= 0) & (b != self.start) & (c != self.start) & (b != self.end)
-        p = _find(self.pairs, (a[ok] << WIDE) | b[ok])
-        return (p[p >= 0] << WIDE) | c[ok][p >= 0]
-
-    def leave(self, a: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> None:
-        """What every word leaves to its failure arc, from the sum and the number of its pairs."""
-        seen = np.zeros(self.n_ctx + 2)
-        seen[a] = (n - DISCOUNT * kinds) / self.word_total[a]
-        self.left = 1 - seen
-        self.word_left = np.log10(np.maximum(self.left, 1e-12))
-
-    def pair_log(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        a, b = keys >> WIDE, keys & ((1 << WIDE) - 1)
-        return np.log10((n - DISCOUNT) / self.word_total[a] + self.left[a] * 10 ** self.known()[b]) if len(a) else np.zeros(0)
-
-    def gain(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """What the arcs of these pairs add to their failure arcs."""
-        return self.pair_log(keys, n) - self.word_left[keys >> WIDE] - self.known()[keys & ((1 << WIDE) - 1)]
-
-    def add_pairs(self, keys: np.ndarray, n: np.ndarray) -> None:
-        o = np.argsort(keys)
-        self.pairs, n = keys[o], n[o].astype(np.float64)
-        self.pair_total = n
-        self.pair_p = self.pair_log(self.pairs, n)
-
-    def add_triples(self, keys: np.ndarray, n: np.ndarray) -> None:
-        o = np.argsort(keys)
-        self.triples, n = keys[o], n[o].astype(np.float64)
-        p, c = self.triples >> WIDE, self.triples & ((1 << WIDE) - 1)
-        seen = (n - DISCOUNT) / self.pair_total[p]
-        left = 1 - np.bincount(p, seen, minlength=len(self.pairs)) if len(p) else np.ones(len(self.pairs))
-        b = self.pairs[p] & ((1 << WIDE) - 1)
-        lower = _find(self.pairs, (b << WIDE) | c)
-        known = self.known()
-        below = np.where(lower >= 0, self.pair_p[lower] if len(self.pair_p) else 0.0, self.word_left[b] + known[c]) if len(p) else np.zeros(0)
-        self.triple_p = np.log10(seen + left[p] * 10**below) if len(p) else np.zeros(0)
-        self.pair_left = np.log10(np.maximum(left, 1e-12))
-
-    def read(self, w: Words) -> tuple[np.ndarray, ...]:
-        """Per text n_tokens, known tokens, base and model log10 without what lies in tables; which words are rare; pairs to look up, and their texts."""
-        rows = w.rows.stop - w.rows.start
-        at = ctx = self.ids(w)
-        rare = at < 0
-        uni = np.where(rare, 0.0, self.unigram(self.counts[at]) if len(self.counts) else 0.0)
-        x, begin = _with_ends(w, ctx, self.start, self.end)
-        u, _ = _with_ends(w, np.zeros(len(ctx), np.int64), 0, 0)
-        u = u.astype(np.float64)
-        u[np.arange(len(ctx)) + 2 * w.doc + 1] = uni
-        last = np.append(begin[1:], len(x)) - 1
-        u[last] = self.unigram(self.end_count)
-        text = np.repeat(np.arange(rows), np.diff(np.append(begin, len(x))))
-        base = np.bincount(text, u, minlength=rows)
-        # the state before every token: the last two contexts as a pair, the last one, or the empty one
-        one = np.concatenate([[-1], x[:-1]])
-        one[begin] = -1
-        two = np.concatenate([[-1, -1], x[:-2]]) if len(x) > 1 else np.full(len(x), -1)
-        two[begin] = -1
-        two[begin + 1] = -1
-        pair = np.where((two >= 0) & (one >= 0), _find(self.pairs, (np.maximum(two, 0) << WIDE) | np.maximum(one, 0)), -1)
-        score, todo = np.zeros(len(x)), np.ones(len(x), bool)
-        todo[begin] = False  # the start mark itself is not a token
-        t = _find(self.triples, (np.maximum(pair, 0) << WIDE) | np.maximum(x, 0))
-        arc = todo & (pair >= 0) & (x >= 0) & (t >= 0)
-        score[arc] = self.triple_p[t[arc]]
-        fail = todo & ~arc & (pair >= 0)
-        score[fail] += self.pair_left[pair[fail]]
-        todo &= ~arc
-        t = _find(self.pairs, (np.maximum(one, 0) << WIDE) | np.maximum(x, 0))
-        arc = todo & (one >= 0) & (x >= 0) & (t >= 0)
-        score[arc] += self.pair_p[t[arc]]
-        fail = todo & ~arc & (one >= 0)
-        score[fail] += self.word_left[one[fail]]
-        todo &= ~arc
-        score[todo] += u[todo]
-        noted = fail & (x >= 0)
-        look = (one[noted] << WIDE) | x[noted]
-        n = np.diff(w.first)
-        known = np.bincount(w.doc, (~rare).astype(np.float64), minlength=rows).astype(np.int64) + int(self.end_count > 0)
-        return n + 1, known, base, np.bincount(text, score, minlength=rows), rare, look, text[noted]
-
-
-def fit(train: DataFrame, arc: int = ARC) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of the column ``text``, the exact counts (key, n) of all words, and the pairs that are not broadcast (key, n).
-
-    Words, pairs and trigrams that make up 1 / ``arc`` of all tokens are broadcast.
-    """
-    counts = written(_counted(train, lambda w: w.hash.view(np.int64)), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
-    texts = train.count()
-    tokens = total["n"] + texts
-    top = counts.where(F.col("n") * arc >= tokens).toArrow()
-    k, n = top["key"].to_numpy(), top["n"].to_numpy()
-    o = np.argsort(k)
-    model = Model(tokens, total["kinds"] + (1 if texts else 0), texts, k[o], n[o], texts)
-    sc = train.sparkSession.sparkContext
-    floor = max(LEAST, -(-tokens // arc))
-    sent = sc.broadcast(model)
-    pairs = written(_counted(train, lambda w, sent=sent: sent.value.pair_keys(w)).where(F.col("n") >= LEAST), "pair-counts")
-    sent.unpersist()
-    of = pairs.groupBy(F.shiftright("key", WIDE).alias("a")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
-    model.leave(of["a"].to_numpy(), of["n"].to_numpy(), of["kinds"].to_numpy())
-    hot = pairs.where(F.col("n") >= floor).toArrow()
-    model.add_pairs(hot["key"].to_numpy(), hot["n"].to_numpy())
-    sent = sc.broadcast(model)
-    got = _counted(train, lambda w, sent=sent: sent.value.triple_keys(w)).where(F.col("n") >= floor).toArrow()
-    model.add_triples(got["key"].to_numpy(), got["n"].to_numpy())
-    sent.unpersist()
-    return model, counts, pairs.where(F.col("n") < floor)
-
-
-def scores(docs: DataFrame, model: Model, counts: DataFrame, pairs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_tokens, n_known, base_score and score. Null and empty texts are the end token alone."""
-    spark = docs.sparkSession
-    cols = [c for c in docs.columns if c != text_col]
-    own = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col(text_col).alias("text"))
-    sent = spark.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "text")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            at = b.schema.names.index("text")
-            for w in words(b.column(at), SPACE):
-                rows = w.rows.stop - w.rows.start
-                n, known, base, score, rare, look, owner = m.read(w)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(w.doc[rare], minlength=rows))]).astype(np.int32)
-                look_ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
-                part = b.slice(w.rows.start, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in range(at)], pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(w.hash[rare].view(np.int64))), pa.ListArray.from_arrays(pa.array(look_ends), pa.array(look))],
-                    [*b.schema.names[:at], "n_tokens", "n_known", "base", "score", "rare", "look"],
-                )
-
-    got = written(own.mapInArrow(read, f"{fields}, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, look array<bigint>"), "lm-scores")
-    c = F.coalesce("n", F.lit(0))
-    per = got.select("_row", F.explode("rare").alias("key")).join(counts, "key", "left").select("_row", F.col("n").isNotNull().cast("bigint").alias("k"), F.log10((c + 0.5) / (model.tokens + 0.5 * (model.kinds + 1))).alias("p"))
-    per = per.select("_row", "k", "p", F.lit(0.0).alias("q"))
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for w in words(b.column(b.num_columns - 1), SPACE):
+                here = w.rows.stop - w.rows.start
+                if rows and size + len(w.hash) + here > chunk_tokens:
+                    yield flush()
+                    number += 1
+                    h.clear(), lengths.clear(), rows.clear()
+                    size = 0
+                h.append(w.hash)
+                lengths.append(np.diff(w.first).astype(np.int64))
+                rows.append(b.slice(w.rows.start, here).drop_columns(["text"]))
+                size += len(w.hash) + here
+        if rows:
+            yield flush()
+
+    return own.mapInArrow(pack, f"chunk bigint, tokens bigint, train_tokens bigint, rows array<struct<{fields},n:bigint>>, vocab binary, ids binary")
+
+
+def _grams(b: pa.RecordBatch | pa.Table, i: int) -> tuple[Grams, np.ndarray, pa.StructArray]:
+    rows = b["rows"][i].values
+    g = Grams(_unpack(b["vocab"][i].as_py(), np.uint64), _unpack(b["ids"][i].as_py(), np.uint32), rows.field("n").to_numpy())
+    return g, rows.field("train").to_numpy(zero_copy_only=False), rows
+
+
+def answers(packed: DataFrame, tokens: int, shard_keys: int) -> DataFrame:
+    """(chunk, shard, totals, kinds): per chunk and shard the training counts of the chunk's keys; chunk -1 has the shard's number of distinct training words."""
+    shards = max(1, -(-2 * tokens // shard_keys))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sent.value.gain(b.column("key").to_numpy(), b.column("n").to_numpy()))], ["key", "q"])
-
-    noted = got.select("_row", F.explode("look").alias("key")).join(pairs.mapInArrow(gains, "key bigint, q double"), "key")
-    per = per.unionByName(noted.select("_row", F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("p"), "q"))
-    per = per.groupBy("_row").agg(F.sum("k").alias("k"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    zero, gain = F.coalesce("p", F.lit(0.0)), F.coalesce("q", F.lit(0.0))
-    return got.join(per, "_row", "left").select(
-        *[F.col(f"c{i}").alias(x) for i, x in enumerate(cols)], "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + zero).alias("base_score"), (F.col("score") + zero + gain).alias("score"),
-    )
+            for i in range(b.num_rows):
+                g, train, _ = _grams(b, i)
+                n, shard = g.seen(train), ((g.keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                ends = np.append(at[1:], len(shard))
+                keys = [_pack(np.diff(g.keys[a:z], prepend=np.uint64(0))) for a, z in zip(at.tolist(), ends.tolist(), strict=True)]
+                counts = [_pack(n[a:z].astype(np.uint32)) for a, z in zip(at.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array(np.full(len(at), b["chunk"][i].as_py())), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["shard", "chunk", "keys", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in t["keys"]]
+        counts = np.concatenate([_unpack(x.as_py(), np.uint32) for x in t["counts"]])
+        u, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, counts, minlength=len(u)).astype(np.uint64)
+        kinds = int(((u & np.uint64(3)) == 1)[total > 0].sum())
+        back = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+        n = t.num_rows
+        return pa.table(
+            {"chunk": pa.array([*t["chunk"].to_pylist(), -1], pa.int64()), "shard": pa.array([t["shard"][0].as_py()] * (n + 1), pa.int32()), "totals": pa.array([*map(_pack, back), None], pa.binary()), "kinds": pa.array([0] * n + [kinds], pa.int64())}
+        )
+
+    return packed.mapInArrow(ask, "shard int, chunk bigint, keys binary, counts binary").groupBy("shard").applyInArrow(add, "chunk bigint, shard int, totals binary, kinds bigint")
+
+
+def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens: int = CHUNK, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score; learnt from the rows where ``train`` is true.
+
+    Words are runs of other than ASCII white space, A-Z in lower case; a text is its words and one end. Null and empty
+    texts are the end alone. Repeated rows stay, count as often as they occur and have equal scores. Columns named like
+    the new ones are replaced. An empty table gives an empty result; without training rows every word is unknown.
+    """
+    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    cols = [c for c in docs.columns if c != text_col and c not in new]
+    packed = written(chunks(docs, train, cols, text_col, chunk_tokens), "lm-chunks")
+    size = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
+    totals = written(answers(packed, size["all"], shard_keys), "lm-answers")
+    kinds, tokens = totals.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("k")).first()["k"], size["train"]
+
+    def score(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        g, _, rows = _grams(chunk.combine_chunks(), 0)
+        parts = sorted(zip(told["shard"].to_pylist(), told["totals"].to_pylist(), strict=True))
+        a = Automaton(g, np.concatenate([_unpack(x, np.uint64) for _, x in parts]).astype(np.int64), tokens, kinds)
+        base, full = a.read()
+        n, known = (np.bincount(g.text, x, minlength=len(rows)) for x in (g.token, g.token & (a.n[g.one] > 0)))
+        own = [rows.field(f"c{i}") for i in range(len(cols))]
+        return pa.Table.from_arrays(
+            [*own, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(rows), tokens, np.int64)), *[pa.array(np.bincount(g.text, x, minlength=len(rows))) for x in (base, full)]],
+            [*[f"c{i}" for i in range(len(cols))], *new],
+        )
+
+    kept = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    fields = "".join(f"c{i} {kept[c]}, " for i, c in enumerate(cols))
+    out = packed.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(score, f"{fields}n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = written(out, "lm-scores")
+    forget(packed)
+    forget(totals)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], *new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.llm.lm import fit, held_out, scores
+from filmloom.llm.lm import held_out, scores
 from filmloom.llm.registry import query, table
 
 
@@ -13,5 +13,4 @@ from filmloom.llm.registry import query, table
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model, counts, pairs = fit(docs.where(~F.col("held_out")).select("text"))
-    return scores(docs, model, counts, pairs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(docs, ~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -231,54 +231,41 @@ def test_mixing_places_every_copy(spark):
         seen += r.size
 
 
-@pytest.mark.parametrize("arc", [1 << 20, 400])
-def test_lm(docs, nothing, arc):
+@pytest.mark.parametrize("chunk,keys", [(1 << 19, 2_000_000), (700, 1000)])
+def test_lm(docs, nothing, chunk, keys):
     from pyspark.sql import functions as F
 
-    from filmloom.llm.lm import fit, held_out, scores
+    from filmloom.llm import lm
 
-    d = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    fitted = fit(d.where("not held_out").select("text"), arc)
+    d = docs.select("doc_id", "text", F.col("n_chars").alias("c0"), F.lit(7).alias("score")).withColumn("held_out", lm.held_out(F.col("doc_id")))
     train = [["<", *space_words(t), None] for i, t, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1]
     c = Counter(x for t in train for x in t[1:])
     n, v = sum(c.values()), len(c)
-    known = {x for x in c if x is None or c[x] * arc >= n} | {"<"}
-    floor = max(2, -(-n // arc))
-    total = c | Counter({"<": len(train)})
-    two = Counter((a, b) for t in train for a, b in zip(t, t[1:]) if {a, b} <= known)
-    two = {k: m for k, m in two.items() if m >= 2}
-    hot = {k: m for k, m in two.items() if m >= floor}
-    three = Counter(x for t in train for x in zip(t, t[1:], t[2:]) if x[:2] in hot and x[2] in known)
-    three = {k: m for k, m in three.items() if m >= floor}
-    assert (len(hot) < len(two)) == (arc == 400)
-    left, left2 = Counter(), Counter()
-    for (a, _), m in two.items():
-        left[a] += (m - 0.75) / total[a]
-    for (a, b, _), m in three.items():
-        left2[a, b] += (m - 0.75) / hot[a, b]
+    two = Counter(x for t in train for x in zip(t, t[1:]))
+    three = Counter(x for t in train for x in zip(t, t[1:], t[2:]))
+    context = c | Counter({"<": len(train)})
 
     def one(x):
         return (c[x] + 0.5) / (n + 0.5 * (v + 1))
 
     def pair(a, b):
-        if a not in known:
-            return one(b)
-        return ((two[a, b] - 0.75) / total[a] if (a, b) in two else 0) + (1 - left[a]) * one(b)
+        return (two[a, b] + lm.BEHIND_ONE * one(b)) / (context[a] + lm.BEHIND_ONE)
 
     def triple(a, b, x):
-        if (a, b) not in hot:
-            return pair(b, x)
-        return ((three[a, b, x] - 0.75) / hot[a, b] if (a, b, x) in three else 0) + (1 - left2[a, b]) * pair(b, x)
+        return pair(b, x) if a == "" else (three[a, b, x] + lm.BEHIND_TWO * pair(b, x)) / (two[a, b] + lm.BEHIND_TWO)
 
-    got = scores(d, *fitted).collect()
-    assert len(got) == len(ROWS)
+    assert math.isclose(sum(triple("<", VOCAB[0], x) for x in c) + triple("<", VOCAB[0], "unseen"), 1)
+    # the sizes decide how the work is cut, not what comes out
+    got = lm.scores(d, ~F.col("held_out"), chunk_tokens=chunk, shard_keys=keys).collect()
+    assert len(got) == len(ROWS) and got[0].__fields__ == ["doc_id", "c0", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     for r in got:
         w = [*space_words(TEXTS[r.doc_id]), None]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.c0) == (len(w), sum(c[x] > 0 for x in w), n, len(TEXTS[r.doc_id] or ""))
         assert math.isclose(r.base_score, sum(math.log10(one(x)) for x in w), rel_tol=1e-9)
         s = ["", "<", *w]
         assert math.isclose(r.score, sum(math.log10(triple(*s[k : k + 3])) for k in range(len(w))), rel_tol=1e-9)
-    assert scores(nothing, *fit(nothing.select("text"))).count() == 0
+    assert lm.scores(nothing, F.lit(True)).count() == 0
+    assert all(r.n_known == 0 for r in lm.scores(docs.select("text"), F.lit(False)).collect())
 
 
 def test_vptree(spark):
