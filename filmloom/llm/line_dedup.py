@@ -1,16 +1,19 @@
-"""Line dedup: repeated line runs by prefix doubling over line-ID sequences; later copies are deleted.
+"""Line dedup: repeated line runs from a suffix array over line IDs, built by distributed prefix doubling.
 
-Every line of every document is a position of one sequence; its ID is the line's hash. Round k names the 2^k lines from
-each position by the pair of names of its two halves, as prefix doubling does for a suffix array, and keeps only the
-positions whose name occurs more than once: suffixes that share a name share 2^k lines, so the classes of a name are
-the intervals of the suffix array whose longest common prefix is 2^k lines or more. Positions with a unique name cannot
-be part of a longer repeat and leave; the rounds end when none is left.
+Every non-blank line of every document is a position of one sequence of line IDs (hashes of the lines). Round k ranks
+the suffixes by their first 2^k lines: round 0 by the line, round k + 1 by the pair of the rank of round k here and 2^k
+lines further on. Ranks are dense places in that order, prefix sums over the sorted distinct pairs, taken in two levels:
+inside ranges of the order, then over the ranges. With a rank goes its width, the number of suffixes that share it:
+[rank, rank + width) is the interval of the suffix array whose longest common prefix is 2^k lines or more. Suffixes
+whose interval has width one differ from all others by then and leave; the rounds end when none is left, or when 2^k
+is more than a run of interest needs.
 
 A run is deleted only if one earlier copy, by document id, has all of it and it has ``min_words`` words or more. Every
 line of such a run lies in the shortest stretch of ``min_words`` words that begins at a line of the run or ends at one.
-How long those are depends on their own lines alone, so copies have them at the same places: a stretch of L lines,
-2^k <= L < 2^(k+1), is named by the names of its first and its last 2^k lines, and is a later copy if an earlier
-stretch has that name. The lines of all later copies are deleted. No stretch has more than ``min_words`` lines.
+How long those are depends on their own lines alone, so copies have them at the same places. For a stretch of L lines,
+2^k <= L < 2^(k+1), the ranks of round k at its first and at its last 2^k lines name the interval of longest common
+prefix L: what shares both is a copy, and it is a later one if the first of the interval lies before. The lines of all
+later copies are deleted. No stretch has more than ``min_words`` lines.
 """
 
 from __future__ import annotations
@@ -18,19 +21,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filmloom.llm._shared import written
+from filmloom.llm._shared import forget, written
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, pos, line, name, words): non-blank lines, numbered per document; ``line`` is the place among all lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.split(text, "\n").alias("ls"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.split(text, "\n").alias("ls"))
     at = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("line"), F.xxhash64(F.trim(x)).alias("name"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))), lambda s: s["words"] > 0)
     return own.select("row", "id", F.posexplode(at).alias("pos", "s")).select("row", "id", "pos", "s.line", "s.name", "s.words").dropDuplicates(["row", "pos"])
 
 
 def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def ranked(pairs: DataFrame, name: str) -> DataFrame:
+    """(row, pos, rank, width) of the positions of ``pairs`` (row, pos, a, b) that share their pair with others.
+
+    ``rank`` is how many of these have a smaller pair, ``width`` how many have this one.
+    """
+    keys = pairs.groupBy("a", "b").agg(F.count("*").alias("width")).where("width > 1")
+    keys = keys.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("part", F.spark_partition_id())
+    keys = written(keys, f"{name}-keys")
+    # one row per range of the order
+    parts = keys.groupBy("part").agg(F.sum("width").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    places = keys.withColumn("inside", F.coalesce(F.sum("width").over(inside), F.lit(0))).join(F.broadcast(parts), "part")
+    places = written(places.select("a", "b", (F.col("base") + F.col("inside")).alias("rank"), "width"), f"{name}-places")
+    forget(keys)
+    out = written(pairs.join(places, ["a", "b"]).select("row", "pos", "rank", "width"), name)
+    forget(places)
+    return out
 
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
@@ -52,29 +75,30 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, lines, n_words): per document with later copies the places of its lines to delete, and their words."""
     lines = written(line_table(docs, id_col, text_col), "lines")
-    place = F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("id"), "row", "pos")
-    names = lines.select("row", "id", "pos", "name")
     runs = written(stretches(lines, min_words), "stretches")
-    flagged, k = None, 0
-    while 1 << k <= max(1, min_words):
-        groups = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-        again = written(names.join(groups, "name").select("row", "id", "pos", "name"), f"repeats-{k}")
-        if again.isEmpty():
+    pairs, rounds, found = lines.select("row", "pos", F.col("name").alias("a"), F.lit(0).cast("bigint").alias("b")), [], None
+    while 1 << len(rounds) <= max(1, min_words):
+        half = 1 << len(rounds)
+        now = ranked(pairs, f"ranks-{len(rounds)}")
+        rounds.append(now)
+        if now.isEmpty():
             break
-        half = 1 << k
-        own = runs.where((F.col("size") >= half) & (F.col("size") < 2 * half)).join(again.select("row", "pos", "name"), ["row", "pos"])
-        if half > 1:
-            last = again.select("row", F.col("pos").alias("tail"), F.col("name").alias("next"))
-            own = own.withColumn("tail", F.col("pos") + F.col("size") - half).join(last, ["row", "tail"]).withColumn("name", F.xxhash64("size", "name", "next"))
-        own = own.select("row", "id", "pos", "size", "name")
-        firsts = own.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-        own = own.join(firsts, "name").where(F.col("first") < place).select("row", "pos", "size")
-        flagged = own if flagged is None else flagged.union(own)
-        second = again.select("row", (F.col("pos") - half).alias("pos"), F.col("name").alias("next"))
-        names = again.join(second, ["row", "pos"]).select("row", "id", "pos", F.xxhash64("name", "next").alias("name"))
-        k += 1
-    if flagged is None:
+        here = runs.where((F.col("size") >= half) & (F.col("size") < 2 * half)).join(now.select("row", "pos", F.col("rank").alias("a")), ["row", "pos"])
+        last = now.select("row", F.col("pos").alias("tail"), F.col("rank").alias("b"))
+        here = here.withColumn("tail", F.col("pos") + F.col("size") - half).join(last, ["row", "tail"]).select("row", "id", "pos", "size", "a", "b")
+        found = here if found is None else found.union(here)
+        behind = now.select("row", (F.col("pos") - half).alias("pos"), F.col("rank").alias("b"))
+        pairs = now.select("row", "pos", F.col("rank").alias("a")).join(behind, ["row", "pos"]).select("row", "pos", "a", "b")
+    if found is None:
         return lines.limit(0).select("row", F.array("line").alias("lines"), F.col("words").cast("bigint").alias("n_words"))
+    found = written(found, "repeated-stretches")
+    for table in (*rounds, runs):
+        forget(table)
+    # the first of every interval; a copy that overlaps it in the same text is none
+    place = F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("id"), "row", "pos")
+    firsts = written(found.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-copies")
+    apart = (F.col("first.row") != F.col("row")) | (F.col("first.pos") + F.col("size") <= F.col("pos"))
+    flagged = found.join(firsts, ["size", "a", "b"]).where((F.col("first") < place) & apart).select("row", "pos", "size")
     # stretches that overlap or touch are joined, so that every line is listed once
     by = Window.partitionBy("row").orderBy("pos", "size")
     reach = F.max(F.col("pos") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -82,24 +106,38 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     joined = joined.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     joined = joined.groupBy("row", "run").agg(F.min("pos").alias("a"), F.max(F.col("pos") + F.col("size")).alias("b"))
     gone = joined.select("row", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"))
-    return gone.join(lines, ["row", "pos"]).groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.sum("words").cast("bigint").alias("n_words"))
+    out = gone.join(lines, ["row", "pos"]).groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.sum("words").cast("bigint").alias("n_words"))
+    out = written(out, "later-copies")
+    for table in (found, firsts, lines):
+        forget(table)
+    return out
+
+
+def _marked(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with its columns as c0, c1, ..., and lines, gone, gone_words and kept."""
+    gone = later_copies(docs, min_words, id_col, text_col).select("row", F.col("lines").alias("gone"), F.col("n_words").alias("gone_words"))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], row_key(id_col, text_col).alias("row"))
+    text = F.col(f"c{docs.columns.index(text_col)}")
+    every = F.split(text, "\n")
+    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    both = own.join(gone, "row", "left").drop("row")
+    return both.withColumn("lines", F.coalesce(F.size(every), F.lit(0))).withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(kept))
 
 
 def marked(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with _lines (all), _gone (places of deleted ones), _gone_words and _kept (the text without them).
+    """``docs`` with lines (how many), gone (places of deleted ones), gone_words and kept (the text without them).
 
     Lines are compared without outer blanks; blank lines are never compared and stay. Rows equal in id and text are one
-    document and get one result; a null text has no lines. The first copy is the one with the smallest id, null last.
-    A text without deleted lines is kept as it is.
+    document and get one result; of rows that share an id but not the text, each is compared for itself. A null text has
+    no lines, an empty one a blank line. The first copy is the one with the smallest id, null last, in a text that
+    repeats itself the first of those that do not overlap. A text without deleted lines is kept as it is, however long.
+    Columns named like the new ones are replaced. An empty table gives an empty result.
     """
-    gone = later_copies(docs, min_words, id_col, text_col).select(F.col("row").alias("_row"), F.col("lines").alias("_gone"), F.col("n_words").alias("_gone_words"))
-    both = docs.withColumn("_row", row_key(id_col, text_col)).join(gone, "_row", "left").drop("_row")
-    all_lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return both.withColumn("_lines", F.coalesce(F.size(all_lines), F.lit(0))).withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
+    new = ["lines", "gone", "gone_words", "kept"]
+    return _marked(docs, min_words, id_col, text_col).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new], *new)
 
 
 def without_repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of line runs deleted from the text; a document with nothing else in it goes altogether."""
-    m = marked(docs, min_words, id_col, text_col).where(F.col("_gone").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    return m.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    m = _marked(docs, min_words, id_col, text_col).where(F.col("gone").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return m.select(*[F.col("kept" if c == text_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -16,6 +16,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_deleted, deleted_words, deleted (places of lines, comma-joined), kept_sha256."""
     m = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
     return m.select(
-        "doc_id", F.col("_lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_deleted"),
-        F.coalesce("_gone_words", F.lit(0)).cast("bigint").alias("deleted_words"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("deleted"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
+        "doc_id", F.col("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_deleted"),
+        F.coalesce("gone_words", F.lit(0)).cast("bigint").alias("deleted_words"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("deleted"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )

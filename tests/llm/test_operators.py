@@ -116,10 +116,11 @@ def test_line_dedup(docs, nothing):
     from filmloom.llm.line_dedup import marked, without_repeated_runs
 
     got = {r.doc_id: r for r in marked(docs, 50).collect()}
-    assert got[11]._gone is None and got[12]._gone == [0, 1, 2, 3] and got[13]._gone == [1, 2, 3, 4]
-    assert got[6]._gone == [0] and got[5]._gone is None and got[0]._kept is None
-    left = without_repeated_runs(docs.withColumn("row", docs.doc_id), 50)
-    assert left.columns == [*docs.columns, "row"]
+    assert got[11].gone is None and got[12].gone == [0, 1, 2, 3] and got[13].gone == [1, 2, 3, 4]
+    assert got[6].gone == [0] and got[5].gone is None and got[0].kept is None
+    left = without_repeated_runs(docs.withColumns({"row": docs.doc_id, "gone": docs.doc_id, "kept": docs.lang}), 50)
+    assert left.columns == [*docs.columns, "row", "gone", "kept"]
+    assert all(r.gone == r.doc_id and r.kept == "en" for r in left.collect())
     ids = {r.doc_id for r in left.collect()}
     assert not ids & {6, 12} and {0, 1, 11, 13, 20} <= ids
     assert without_repeated_runs(nothing).count() == 0
@@ -134,19 +135,34 @@ def test_line_dedup_takes_whole_copies(spark):
     texts = ["\n".join(lines[i] for i in t) for t in ([0, 1, 7], [1, 2, 6], [2, 3, 5], [0, 1, 2, 3], [4, 0, 1, 7, 4])]
     few = ["a b c", "d " * 60, "e f g h i j", "k " * 17, "l " * 12, "m", ""]
     texts += ["\n".join(few[i] for i in own.integers(0, 7, own.integers(1, 40))) for _ in range(40)]
-    got = {r.doc_id: r._gone or [] for r in marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50).collect()}
-    seen, want = set(), {}
+    texts += ["\n".join([lines[0]] * 9), "\n".join([lines[4], lines[5]] * 4)]  # texts that repeat themselves
+    got = {r.doc_id: r.gone or [] for r in marked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50).collect()}
+    seen, want = {}, {}
     for d, t in enumerate(texts):
         kept = [(i, x.strip(), len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()]
         gone = set()
         for a in range(len(kept)):
             for b in range(a + 1, len(kept) + 1):
                 key = tuple(x for _, x, _ in kept[a:b])
-                if key in seen and sum(n for *_, n in kept[a:b]) >= 50:
+                where = seen.setdefault(key, (d, a))
+                if (where[0] < d or where[1] + b - a <= a) and sum(n for *_, n in kept[a:b]) >= 50:
                     gone |= {i for i, *_ in kept[a:b]}
-            seen |= {tuple(x for _, x, _ in kept[a:b]) for b in range(a + 1, len(kept) + 1)}
         want[d] = sorted(gone)
-    assert want[3] == [] and want[4] == [1, 2, 3] and got == want
+    assert want[3] == [] and want[4] == [1, 2, 3] and want[45] == list(range(3, 9)) and want[46] == list(range(4, 8)) and got == want
+
+
+def test_suffix_ranks(spark):
+    from filmloom.llm.line_dedup import ranked
+
+    own = np.random.default_rng(2)
+    rows = [(int(d), p, int(x), int(y)) for d in range(30) for p, (x, y) in enumerate(own.integers(-3, 3, (20, 2)))] + [(99, 0, 50, 50)]
+    got = {(r.row, r.pos): (r.rank, r.width) for r in ranked(spark.createDataFrame(rows, "row long, pos int, a long, b long").repartition(5), "t").collect()}
+    n = Counter(r[2:] for r in rows)
+    places, at = {}, 0
+    for k in sorted(k for k in n if n[k] > 1):
+        places[k] = (at, n[k])
+        at += n[k]
+    assert got == {(d, p): places[x, y] for d, p, x, y in rows if (x, y) in places}
 
 
 def test_secrets(docs, nothing):
