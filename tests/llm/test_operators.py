@@ -199,14 +199,33 @@ def test_licenses(docs, nothing):
 
 
 def test_licenses_wrapped(spark):
-    from filmloom.llm.licenses import TEMPLATES, license_scan
+    from filmloom.llm.licenses import LABEL_OF, TEMPLATES, license_scan, prefix_index, reach_of
 
     mit, bsd = TEMPLATES["mit-text"].split(), TEMPLATES["bsd"].split()
     wrapped = ["# " + "\n# ".join(" ".join(t[i : i + 8]) for i in range(0, len(t), 8)) for t in (mit, bsd)]
     texts = [prose(70) + "\n" + w + "\n" + prose(70) for w in wrapped]
-    texts += ["/* Released under\n * the MIT\n * license. */", " ".join(mit[:10]) + "\n" + prose(80) + "\n" + " ".join(mit[10:]), "released under\n" + prose(20) + "\nthe mit license", "\n" + " ".join(bsd)]
-    got = {r._key.doc_id: (r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("bsd", 1.0)}
+    texts += ["/* Released under\n * the MIT\n * license. */", " ".join(mit[:40]) + "\n" + prose(300) + "\n" + " ".join(mit[40:]), "released under\n" + prose(20) + "\nthe mit license", "\n" + " ".join(bsd)]
+    # each template whole, with a tenth and with a quarter of its words replaced
+    for t in TEMPLATES.values():
+        for part in (0, 0.1, 0.25):
+            texts.append(prose(9) + " " + " ".join("xx" if rng.random() < part else w for w in t.split()) + " " + prose(9))
+    rows = [r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    got = {r._key.doc_id: (r.labels, r.score) for r in rows}
+    assert got[0] == ("mit", 1.0) and got[1] == ("bsd", 1.0) and got[2] == ("mit", 1.0) and got[3] == ("", 0.0) and got[4] == ("", 0.0) and got[5] == ("bsd", 1.0)
+    words = [[w.decode() for w in alnum_words(t)] for t in texts]
+    freq = {w: sum(w in x for x in words) for t in TEMPLATES.values() for w in t.split()}
+    index = prefix_index(freq, TEMPLATES, 0.9)
+    reach = {}
+    for w, name, *_ in index:
+        reach[w] = max(reach.get(w, 0), reach_of(TEMPLATES[name].split()))
+    for r in rows:
+        w = words[r._key.doc_id]
+        want = set(filter(None, r.base_labels.split(",")))
+        for i, x in enumerate(w):
+            if x in reach:
+                block = set(w[max(0, i - reach[x]) : i + reach[x] + 1])
+                want |= {LABEL_OF.get(k, k) for k, t in TEMPLATES.items() if len(block & set(t.split())) >= math.ceil(0.9 * len(set(t.split())) - 1e-9)}
+        assert r.labels == ",".join(sorted(want))
 
 
 def test_mixing(docs, nothing):
