@@ -13,7 +13,8 @@ taken or failure arcs followed until there is one, and the log-probabilities add
 No task holds the whole automaton. Texts are packed into chunks of about ``CHUNK`` tokens. A chunk asks for the counts
 of its distinct n-grams, each once however often it occurs in the chunk, as sorted 64-bit keys; the key space is cut
 into shards of about ``SHARD_KEYS`` asked keys, each of which adds up what the chunks have seen and answers every chunk.
-From the answers a chunk builds the part of the automaton that its own texts walk through, exactly as the whole would
+Words and pairs are asked for first: a trigram of which a pair is in no other chunk is in no other chunk either, so only
+the others are asked for then. From the answers a chunk builds the part of the automaton that its own texts walk through, exactly as the whole would
 have it. A common n-gram is asked for once by each chunk, so keys are hot in no shard.
 """
 
@@ -27,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmloom.llm._shared import forget, written
+from filmloom.llm._shared import forget, release, written
 from filmloom.llm._text import SPACE, mix, words
 
-CHUNK, SHARD_KEYS = 1 << 19, 2_000_000
+CHUNK, SHARD_KEYS = 1 << 20, 2_000_000
 #: How many occurrences the lower order is worth, behind one word and behind two; good on held-out texts of sf0.1.
 BEHIND_ONE, BEHIND_TWO = 3000.0, 10.0
 _START, _END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -80,11 +81,23 @@ class Grams:
         self.one, self.two, self.three = (np.full(len(h), -1, np.int64) for _ in range(3))
         self.one[self.token], self.two[self.token], self.three[self.third] = place[:n], place[n : 2 * n], place[2 * n :]
 
+        self.lower = self.keys & np.uint64(3) != 3
+
     def seen(self, train: np.ndarray) -> np.ndarray:
         """How often the chunk's training texts have each key."""
         own = train[self.text]
         return sum(np.bincount(x[own & (x >= 0)], minlength=len(self.keys)) for x in (self.one, self.two, self.three))
 
+    def elsewhere(self, shared: np.ndarray) -> np.ndarray:
+        """The trigrams that other chunks may have: those of which both pairs are in others; ``shared``: whether a word or pair is."""
+        more = np.zeros(len(self.keys), bool)
+        more[self.lower] = shared
+        own, first = np.unique(self.three, return_index=True)
+        own, first = own[own >= 0], first[own >= 0]
+        out = np.zeros(len(self.keys), bool)
+        out[own] = more[self.two[first - 1]] & more[self.two[first]]
+        return out
+
 
 class Automaton:
     """States and arcs that the texts of a chunk walk through; ``n``: the training count of every key of ``g``."""
@@ -168,20 +181,21 @@ def _grams(b: pa.RecordBatch | pa.Table, i: int) -> tuple[Grams, np.ndarray, pa.
     return g, rows.field("train").to_numpy(zero_copy_only=False), rows
 
 
-def answers(packed: DataFrame, tokens: int, shard_keys: int) -> DataFrame:
-    """(chunk, shard, totals, kinds): per chunk and shard the training counts of the chunk's keys; chunk -1 has the shard's number of distinct training words."""
-    shards = max(1, -(-2 * tokens // shard_keys))
+def _asks(chunk: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
+    """(shard, chunk, keys, counts) of a chunk's sorted keys."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
+    return pa.table(
+        {"shard": pa.array(shard[at].astype(np.int32)), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "keys": pa.array([_pack(np.diff(keys[a:z], prepend=np.uint64(0))) for a, z in cuts], pa.binary()), "counts": pa.array([_pack(counts[a:z].astype(np.uint32)) for a, z in cuts], pa.binary())}
+    )
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                g, train, _ = _grams(b, i)
-                n, shard = g.seen(train), ((g.keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                ends = np.append(at[1:], len(shard))
-                keys = [_pack(np.diff(g.keys[a:z], prepend=np.uint64(0))) for a, z in zip(at.tolist(), ends.tolist(), strict=True)]
-                counts = [_pack(n[a:z].astype(np.uint32)) for a, z in zip(at.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array(np.full(len(at), b["chunk"][i].as_py())), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["shard", "chunk", "keys", "counts"])
+
+def _answers(asks: DataFrame, level: int) -> DataFrame:
+    """(chunk, level, shard, totals, kinds): of a chunk's keys in a shard twice the training count, plus one if other chunks have the key.
+
+    Chunk -1 has the shard's number of distinct training words.
+    """
 
     def add(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in t["keys"]]
@@ -189,13 +203,24 @@ def answers(packed: DataFrame, tokens: int, shard_keys: int) -> DataFrame:
         u, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, counts, minlength=len(u)).astype(np.uint64)
         kinds = int(((u & np.uint64(3)) == 1)[total > 0].sum())
-        back = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+        shared = (np.bincount(place) > 1).astype(np.uint64)  # a chunk asks for a key once
+        back = np.split((total * np.uint64(2) + shared)[place], np.cumsum([len(k) for k in keys])[:-1])
         n = t.num_rows
         return pa.table(
-            {"chunk": pa.array([*t["chunk"].to_pylist(), -1], pa.int64()), "shard": pa.array([t["shard"][0].as_py()] * (n + 1), pa.int32()), "totals": pa.array([*map(_pack, back), None], pa.binary()), "kinds": pa.array([0] * n + [kinds], pa.int64())}
+            {
+                "chunk": pa.array([*t["chunk"].to_pylist(), -1], pa.int64()), "level": pa.array([level] * (n + 1), pa.int32()), "shard": pa.array([t["shard"][0].as_py()] * (n + 1), pa.int32()),
+                "totals": pa.array([*map(_pack, back), None], pa.binary()), "kinds": pa.array([0] * n + [kinds], pa.int64()),
+            }
         )
 
-    return packed.mapInArrow(ask, "shard int, chunk bigint, keys binary, counts binary").groupBy("shard").applyInArrow(add, "chunk bigint, shard int, totals binary, kinds bigint")
+    return asks.groupBy("shard").applyInArrow(add, "chunk bigint, level int, shard int, totals binary, kinds bigint")
+
+
+def _told(t: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts that a level's answers give, and whether other chunks have the keys, in the order of the keys asked for."""
+    own = sorted((s, x) for s, at, x in zip(t["shard"].to_pylist(), t["level"].to_pylist(), t["totals"].to_pylist(), strict=True) if at == level)
+    told = np.concatenate([np.zeros(0, np.int64), *[_unpack(x, np.uint64).astype(np.int64) for _, x in own]])
+    return told >> 1, told & 1 > 0
 
 
 def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens: int = CHUNK, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -209,13 +234,36 @@ def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens:
     cols = [c for c in docs.columns if c != text_col and c not in new]
     packed = written(chunks(docs, train, cols, text_col, chunk_tokens), "lm-chunks")
     size = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
-    totals = written(answers(packed, size["all"], shard_keys), "lm-answers")
-    kinds, tokens = totals.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("k")).first()["k"], size["train"]
+    shards = max(1, -(-size["all"] // shard_keys))
+    fields = "shard int, chunk bigint, keys binary, counts binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                g, train, _ = _grams(b, i)
+                yield from _asks(b["chunk"][i].as_py(), g.keys[g.lower], g.seen(train)[g.lower], shards).to_batches()
+
+    def ask_more(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        g, train, _ = _grams(chunk.combine_chunks(), 0)
+        seen, want = g.seen(train), g.elsewhere(_told(told, 2)[1])
+        return _asks(chunk["chunk"][0].as_py(), g.keys[want], seen[want], shards)
+
+    two = written(_answers(packed.mapInArrow(ask, fields), 2), "lm-pairs")
+    release(docs.sparkSession)
+    kinds, tokens = two.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("k")).first()["k"], size["train"]
+    asked = packed.groupBy("chunk").cogroup(two.where("chunk >= 0").groupBy("chunk")).applyInArrow(ask_more, fields)
+    three = written(_answers(asked, 3), "lm-trigrams")
+    del asked
+    release(docs.sparkSession)
+    totals = two.union(three).where("chunk >= 0")
 
     def score(chunk: pa.Table, told: pa.Table) -> pa.Table:
-        g, _, rows = _grams(chunk.combine_chunks(), 0)
-        parts = sorted(zip(told["shard"].to_pylist(), told["totals"].to_pylist(), strict=True))
-        a = Automaton(g, np.concatenate([_unpack(x, np.uint64) for _, x in parts]).astype(np.int64), tokens, kinds)
+        g, train, rows = _grams(chunk.combine_chunks(), 0)
+        n = g.seen(train)
+        lower, shared = _told(told, 2)
+        n[g.lower] = lower
+        n[g.elsewhere(shared)] = _told(told, 3)[0]
+        a = Automaton(g, n, tokens, kinds)
         base, full = a.read()
         n, known = (np.bincount(g.text, x, minlength=len(rows)) for x in (g.token, g.token & (a.n[g.one] > 0)))
         own = [rows.field(f"c{i}") for i in range(len(cols))]
@@ -226,8 +274,8 @@ def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens:
 
     kept = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     fields = "".join(f"c{i} {kept[c]}, " for i, c in enumerate(cols))
-    out = packed.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(score, f"{fields}n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = packed.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, f"{fields}n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     out = written(out, "lm-scores")
-    forget(packed)
-    forget(totals)
+    for table in (packed, two, three):
+        forget(table)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], *new)
