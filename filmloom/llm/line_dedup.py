@@ -120,7 +120,8 @@ def _marked(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Data
     text = F.col(f"c{docs.columns.index(text_col)}")
     every = F.split(text, "\n")
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    both = own.join(gone, "row", "left").drop("row")
+    # what is gone grows with the documents, so it is merged at every size, never broadcast
+    both = own.join(gone.hint("merge"), "row", "left").drop("row")
     return both.withColumn("lines", F.coalesce(F.size(every), F.lit(0))).withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(kept))
 
 
