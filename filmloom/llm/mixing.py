@@ -5,7 +5,8 @@ is the source's cumulative token demand; inverting it at a document's place amon
 which the document is due. Documents are range-sorted by that time.
 
 Places are prefix sums in the order of md5(doc_id). They are taken in two levels, first over buckets of a common md5
-prefix (its length follows the source's row count), then inside each bucket, so that no task gets a whole source.
+prefix, then inside each bucket. A source of n rows has about sqrt(n) buckets of sqrt(n) rows, so no task gets a whole
+source, nor all rows of one. Sizes are counted once, into a table without texts, which all sums are taken from.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from filmloom.llm._shared import written
 
-#: Rows that a bucket of a source should hold at most, on average.
-BUCKET_ROWS = 1024
 #: (time, relative weight) knots by parity of a source's rank: odd ranks fade, even ranks grow. Both integrate to one.
 FADING, GROWING = ((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5))
 
@@ -31,7 +30,7 @@ def source_targets(sized: DataFrame, max_repeat: int = 3) -> DataFrame:
     Sources by code point, null last, weigh 1, 2, 3, repeating. They share the sum of all sizes by weight; a target
     stops at ``max_repeat`` times its source's size and the excess is shared again by weight until none is above. That
     is the level at which, with sources sorted by cap per weight, those before are full and the rest share what is left.
-    The windows run over one row per source.
+    The windows run over one row per source in one task: sources are kinds of data, so dozens or thousands, not rows.
     """
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -64,27 +63,33 @@ def due_time(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out
 
 
-def mixed(docs: DataFrame, max_repeat: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """One row per document: _key (its columns as given, in a struct), size, source_size, target, copies, taken, position, due.
+def mixed(docs: DataFrame, max_repeat: int = 3, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """One row per document: _key (the columns ``keep``, else all, in a struct), size, source_size, target, copies, taken, position, due.
 
     A source's documents are taken in md5 order, over and over, until its target is reached; a document belongs to the
     last, partial pass if its middle word does. ``copies`` is how often it is taken, ``taken`` copies x size, ``position``
-    the time (0..1) it is first due, null if it is not taken, ``due`` the times of all its copies, one per pass. Null and empty texts have size 0 and take nothing; a null
-    source is a source of its own; of rows with one id any order is as good, as they differ only in what they hold.
-    Repeated rows count one by one. An empty table gives an empty result.
+    the time (0..1) it is first due, null if it is not taken, ``due`` the times of all its copies, one per pass. Null and
+    empty texts have size 0 and take nothing, however long ones are counted whole; a null source is a source of its own;
+    of rows with one id any order is as good, as they differ only in what they hold. Repeated rows count one by one. An
+    empty table gives an empty result. Columns may have any name, as they stay inside _key. Only what is in ``keep`` is
+    shuffled.
     """
-    d = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_key"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
-    )
-    per = source_targets(d, max_repeat)
-    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n_docs") / BUCKET_ROWS) / F.log(F.lit(16.0)))).cast("int")
+    keep = docs.columns if keep is None else keep
+    key = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_key")
+    plain = [F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("h")]
+    light = text_col not in keep
+    sized = written(docs.select(*([key] if light else []), *plain), "mix-sizes")
+    d = sized if light else docs.select(key, *plain)
+    per = source_targets(sized, max_repeat)
+    digits = F.ceil(F.log(F.col("n_docs").cast("double")) / (2 * F.log(F.lit(16.0)))).cast("int")
     per = written(per.withColumn("digits", digits), "sources")
-    on = d["source"].eqNullSafe(per["source"])
-    placed = d.join(per, on).select("_key", "size", "h", F.coalesce("rank", F.lit(0)).alias("rank"), "source_size", "target", F.col("h").substr(F.lit(1), F.col("digits")).alias("bucket"))
-    sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
+
+    def of_source(rows: DataFrame, *cols: str) -> DataFrame:
+        on = rows["source"].eqNullSafe(per["source"])
+        return rows.join(per, on).select(*cols, "size", "h", F.coalesce("rank", F.lit(0)).alias("rank"), "source_size", "target", F.col("h").substr(F.lit(1), F.col("digits")).alias("bucket"))
+
+    placed = of_source(d, "_key")
+    sums = of_source(sized).groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("rank", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +102,7 @@ def mixed(docs: DataFrame, max_repeat: int = 3, text_col: str = "text", id_col:
 
     def time(turn: Column) -> Column:
         share = F.least(F.lit(1.0), (F.col("place") + turn * F.col("source_size")) / F.col("target"))
-        return F.round(F.when(F.col("rank") % 2 == 1, due_time(share, FADING)).otherwise(due_time(share, GROWING)), 9)
+        return F.when(F.col("rank") % 2 == 1, due_time(share, FADING)).otherwise(due_time(share, GROWING))
 
     due = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1), time))
     return at.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filmloom.llm.mixing import mixed, training_order
 from filmloom.llm.registry import query, table
@@ -22,15 +23,19 @@ p AS (SELECT d.*, t.source_size, t.target, t.rnk,
     coalesce(sum(size) OVER (PARTITION BY t.rnk ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, least(3.0, floor(target / source_size)) AS passes FROM p),
-m AS (SELECT *, CASE WHEN size = 0 OR source_size = 0 THEN 0 ELSE CAST(passes + CASE WHEN passes < 3 AND place + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END AS BIGINT) END AS copies,
-    least(1.0, CAST(place AS DOUBLE) / target) AS share FROM c)
+m AS (SELECT *, CASE WHEN size = 0 OR source_size = 0 THEN 0 ELSE CAST(passes + CASE WHEN passes < 3 AND place + size / 2.0 < target - passes * source_size THEN 1 ELSE 0 END AS BIGINT) END AS copies FROM c),
+u AS (SELECT *, list_transform(range(copies), lambda i: least(1.0, CAST(place + i * source_size AS DOUBLE) / target)) AS shares FROM m),
+t2 AS (SELECT *, list_transform(shares, lambda s: CASE WHEN s >= 1.0 THEN 1.0
+    WHEN rnk % 2 = 1 THEN (sqrt(greatest(0.0, CAST(2.25 AS DOUBLE) + CAST(-2.0 AS DOUBLE) * s)) - CAST(1.5 AS DOUBLE)) / CAST(-1.0 AS DOUBLE)
+    ELSE (sqrt(greatest(0.0, CAST(0.25 AS DOUBLE) + CAST(2.0 AS DOUBLE) * s)) - CAST(0.5 AS DOUBLE)) / CAST(1.0 AS DOUBLE) END) AS due FROM u)
 """
-OP3_SQL = MIX_SQL.format(docs="documents") + "SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(copies * size AS BIGINT) AS taken FROM m"
+OP3_SQL = MIX_SQL.format(docs="documents") + """SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(copies * size AS BIGINT) AS taken,
+    array_to_string(list_transform(due, lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS positions FROM t2"""
 
 
 @query("op3_mixing", OP3_SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, in training order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    m = training_order(mixed(docs))
-    return m.select("_key.doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, in training order, and positions, when each copy is due, in millionths of the training."""
+    m = training_order(mixed(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    positions = F.array_join(F.transform("due", lambda t: F.round(t * 1000000).cast("bigint").cast("string")), ",")
+    return m.select("_key.doc_id", "size", "source_size", "target", "taken", positions.alias("positions"))
