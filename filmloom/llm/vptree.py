@@ -1,10 +1,16 @@
-"""Approximate nearest neighbours by cosine: a vantage-point tree per shard.
+"""Approximate nearest neighbours by cosine: vantage-point trees in shards that a top vantage-point tree deals out.
 
 Vectors of length one have cosine 1 - d^2 / 2 at Euclidean distance d, so the nearest by cosine are the nearest by
-distance and the triangle inequality holds. Every shard of a bounded number of vectors gets a tree: a node holds a
-vantage point and the median distance from it, a leaf a block of vectors. A search goes to the nearer side first; the
-other side is skipped where ``factor`` times its distance bound exceeds the k-th distance found so far. Factor one is
-the triangle inequality itself, and the search exact; a larger one prunes more.
+distance and the triangle inequality holds. The top tree is grown over a sample of at most ``SAMPLE`` vectors a length;
+its leaves are cells. Every vector goes to the cell on its side of all vantage points, and a cell is cut by hash into
+shards of about ``shard_rows`` vectors, each with a tree of its own: a node holds a vantage point and the median distance
+from it, a leaf a block of vectors.
+
+A query first searches the shards of its own cell. The distance of the k-th found is its reach. Then it visits those
+cells alone that have a vector within reach by the triangle inequality: the cell's vectors are between a least and a
+largest distance from the cell's centre. In a tree the nearer side goes first, and the other side is skipped where its
+distance bound exceeds the reach. Both bounds are relaxed by ``factor``: a part is skipped where ``factor`` times its
+bound exceeds the reach. Factor one is the triangle inequality itself, and the search exact; a larger one prunes more.
 """
 
 from __future__ import annotations
@@ -17,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filmloom.llm._shared import written
+from filmloom.llm._shared import forget, written
+
+#: Vectors of one length that the top tree is grown over, and its cells, at most; more vectors make more shards a cell.
+SAMPLE, CELLS = 32_768, 1024
 
 
 class Tree:
@@ -72,14 +81,18 @@ class Tree:
         t.norm = np.linalg.norm(t.x, axis=1)
         return t
 
-    def search(self, qid: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the ``k`` nearest found to every query but itself, nearest first; missing ones are -inf."""
+    def search(self, qid: np.ndarray, q: np.ndarray, k: int, factor: float, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the ``k`` nearest found to every query but itself, nearest first; missing ones are -inf.
+
+        ``within``: the distances that the queries reach already.
+        """
         n = len(q)
         qn = np.linalg.norm(q, axis=1)
         unit = q / qn[:, None]
         score = np.full((n, k), -np.inf)
         found = np.full((n, k), np.iinfo(np.int64).max)
-        reach = np.full(n, np.inf)
+        known = np.full(n, np.inf) if within is None else within
+        reach = known.copy()
 
         def leaf(start: int, size: int, who: np.ndarray) -> None:
             for b in range(start, start + size, 4096):
@@ -92,8 +105,7 @@ class Tree:
                 best = np.lexsort((ids, -s), axis=1)[:, :k] if s.shape[1] <= 256 else _best(s, ids, k)
                 score[who] = np.take_along_axis(s, best, 1)
                 found[who] = np.take_along_axis(ids, best, 1)
-            reach[who] = np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(score[who, k - 1], -1.0))) + 1e-9
-            reach[who[np.isneginf(score[who, k - 1])]] = np.inf
+            reach[who] = np.minimum(known[who], reach_of(score[who, k - 1]))
 
         def visit(node: int, who: np.ndarray) -> None:
             a, b = self.kids[node]
@@ -115,6 +127,51 @@ class Tree:
         return found, score
 
 
+def reach_of(score: np.ndarray) -> np.ndarray:
+    """The distance that belongs to a cosine, a little more for rounding; infinite where there is none."""
+    return np.where(np.isneginf(score), np.inf, np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(score, -1.0))) + 1e-9)
+
+
+class Top:
+    """The top tree of one vector length: vantage points with their radii, cells at the leaves and a centre for each."""
+
+    def __init__(self, x: np.ndarray, cells: int, seed: int = 5):
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        rng = np.random.default_rng(seed)
+        self.nodes: list[tuple[np.ndarray, float, int, int]] = []  # vantage point, radius, nearer and farther child; -1 - c for cell c
+        self.centres: list[np.ndarray] = []
+        self.grow(unit, max(1, len(x) // max(1, cells)), rng)
+
+    def grow(self, own: np.ndarray, least: int, rng: np.random.Generator) -> int:
+        d = np.zeros(0)
+        if len(own) > least:
+            v = own[rng.integers(len(own))]
+            d = np.linalg.norm(own - v, axis=1)
+        mid = float(np.median(d)) if len(d) else 0.0
+        if not len(d) or (d <= mid).all():
+            self.centres.append(own.mean(axis=0))
+            return -len(self.centres)
+        me = len(self.nodes)
+        self.nodes.append((v, mid, 0, 0))
+        self.nodes[me] = (v, mid, self.grow(own[d <= mid], least, rng), self.grow(own[d > mid], least, rng))
+        return me
+
+    def cell(self, unit: np.ndarray) -> np.ndarray:
+        """The cell of every vector of length one."""
+        out = np.zeros(len(unit), np.int64)
+        todo = [(0, np.arange(len(unit)))] if self.nodes else []
+        while todo:
+            at, who = todo.pop()
+            v, mid, near, far = self.nodes[at]
+            inner = np.linalg.norm(unit[who] - v, axis=1) <= mid
+            for child, part in ((near, who[inner]), (far, who[~inner])):
+                if child < 0:
+                    out[part] = -1 - child
+                elif len(part):
+                    todo.append((child, part))
+        return out
+
+
 def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The k best columns of every row by score, then id; ties at the k-th score are all looked at."""
     edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
@@ -136,56 +193,121 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def nearest(
-    base: DataFrame, queries: DataFrame, k: int, factor: float, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 512, leaf: int = 256
-) -> DataFrame:
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of equally long lists."""
+    return np.array(col.flatten().to_numpy(zero_copy_only=False)).reshape(len(col), -1)
+
+
+def _tops(base: DataFrame, shard_rows: int) -> dict[int, tuple[Top, int]]:
+    """Per vector length the top tree, from the vectors with the smallest hashes, and how many shards a cell has on average."""
+    counts = {r["dim"]: r["count"] for r in base.groupBy("dim").count().collect()}
+    out = {}
+    for dim, n in sorted(counts.items()):
+        t = base.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()
+        cells = min(CELLS, -(-n // shard_rows))
+        out[dim] = (Top(_matrix(t["v"].combine_chunks()), cells), max(1, -(-n // (shard_rows * cells))))
+    return out
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int, factor: float, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, leaf: int = 256) -> DataFrame:
     """For every query its ``k`` nearest vectors found in ``base``, itself excepted: query_id, rank, vec_id, score.
 
     Vectors that are null, zero or hold null or non-finite components take no part; only vectors of a query's length
-    are its candidates. Fewer than ``k`` candidates give as many rows. Equal scores go by the smaller id. ``shard_rows``
-    and ``block_rows`` bound what a task holds: a shard's tree and a block of queries at a time.
+    are its candidates. Fewer than ``k`` candidates give as many rows. Equal scores go by the smaller id. Repeated rows
+    are one; an id with several vectors is listed once, with the best of its scores, and as a query is searched with
+    each. Empty tables give an empty result; only the id and the vector are read. Vectors come in one length or a few:
+    each length has a top tree, which is broadcast; lengths of any number are found in the data itself.
     """
     b = usable(base, id_col, vec_col).withColumn("dim", F.size("v"))
-    q = usable(queries, id_col, vec_col).withColumn("dim", F.size("v"))
-    n = b.groupBy("dim").agg(F.count("*").alias("n"))
-    shards = n.select("dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
-    dealt = b.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    q = usable(queries, id_col, vec_col).withColumn("dim", F.size("v")).distinct()
+    tops = _tops(b, shard_rows)
+    sent = base.sparkSession.sparkContext.broadcast(tops)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            dims = t["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in sent.value:
+                    continue
+                top, _ = sent.value[dim]
+                own = t.filter(pa.array(dims == dim))
+                x = _matrix(own["v"])
+                unit = x / np.linalg.norm(x, axis=1)[:, None]
+                cell = top.cell(unit)
+                away = np.linalg.norm(unit - np.array(top.centres)[cell], axis=1)
+                yield pa.RecordBatch.from_arrays([own["vec_id"], own["v"], own["dim"], pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "dim", "cell", "away"])
+
+    fields = "vec_id bigint, v array<double>, dim int, cell int, away double"
+    parts = F.create_map(*[x for dim, (_, n) in tops.items() for x in (F.lit(dim), F.lit(n))]) if tops else F.create_map().cast("map<int,int>")
+    dealt = b.mapInArrow(deal, fields).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), parts[F.col("dim")])).cast("int"))
 
     def grow(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x = np.array(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
-        dim, shard = key[0].as_py(), key[1].as_py()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "tree": pa.array([Tree(ids[order], x[order], leaf).dump()], pa.binary())})
-
-    trees = written(dealt.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(grow, "dim int, shard int, tree binary"), "vptrees")
-    qn = q.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    blocks = (
-        q.join(F.broadcast(qn), "dim")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-        .groupBy("dim", "block")
-        .agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    )
-    pairs = trees.join(blocks, "dim").select("dim", "shard", "block", "tree", "q")
-    # every tree meets every block of the query set; dealt evenly, whatever the number of vectors a shard has
-    pairs = pairs.repartition("dim", "shard", "block")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                key = (batch["dim"][i].as_py(), batch["shard"][i].as_py())
-                if key != last:
-                    last, tree = key, Tree.load(batch["tree"][i].as_py())
-                own = batch["q"][i].values
-                qid = own.field("vec_id").to_numpy()
-                x = own.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(qid), -1)
-                found, score = tree.search(qid, np.array(x), k, factor)
+        t = t.combine_chunks()
+        ids, x, away = t["vec_id"].to_numpy(), _matrix(t["v"].chunk(0)), t["away"].to_numpy()
+        order = np.lexsort((*x.T[::-1], ids))
+        ids, x = ids[order], x[order]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)])
+        return pa.table(
+            {"dim": pa.array([key[0].as_py()], pa.int32()), "cell": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int32()), "least": [float(away.min())], "most": [float(away.max())], "tree": pa.array([Tree(ids[new], x[new], leaf).dump()], pa.binary())}
+        )
+
+    trees = dealt.select("dim", "cell", "shard", "vec_id", "v", "away").groupBy("dim", "cell", "shard").applyInArrow(grow, "dim int, cell int, shard int, least double, most double, tree binary")
+    trees = written(trees, "vptrees")
+    # one row per cell, of which there are CELLS at most
+    rings = trees.groupBy("dim", "cell").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_set("shard").alias("shards")).collect()
+    cells: dict[int, list[tuple[int, float, float, list[int]]]] = {}
+    for r in rings:
+        cells.setdefault(r["dim"], []).append((r["cell"], r["least"], r["most"], sorted(r["shards"])))
+    ringed = base.sparkSession.sparkContext.broadcast(cells)
+
+    def route(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+        """A row for every shard that a query goes to: those of its own cell, or those of the other cells within reach."""
+        for t in batches:
+            dims = t["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in sent.value:
+                    continue
+                top, own = sent.value[dim][0], t.filter(pa.array(dims == dim))
+                x = _matrix(own["v"])
+                unit = x / np.linalg.norm(x, axis=1)[:, None]
+                mine, reach = top.cell(unit), own["reach"].to_numpy()
+                for cell, least, most, shards in ringed.value.get(dim, []):
+                    away = np.linalg.norm(unit - top.centres[cell], axis=1)
+                    gap = np.maximum(0.0, np.maximum(away - most, least - away))
+                    who = np.flatnonzero(mine == cell if first else (mine != cell) & (factor * gap <= reach))
+                    for s in shards if len(who) else []:
+                        part = own.take(pa.array(who))
+                        yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], part["dim"], part["reach"], pa.array(np.full(len(who), cell, np.int32)), pa.array(np.full(len(who), s, np.int32))], ["vec_id", "v", "dim", "reach", "cell", "shard"])
+
+    def look(t: pa.Table, asked: pa.Table) -> pa.Table:
+        qid, out = np.zeros(0, np.int64), ([], [], [])
+        if t.num_rows and asked.num_rows:
+            tree, asked = Tree.load(t["tree"][0].as_py()), asked.combine_chunks()
+            for at in range(0, asked.num_rows, 512):
+                part = asked.slice(at, 512).combine_chunks()
+                qid = part["vec_id"].to_numpy()
+                found, score = tree.search(qid, _matrix(part["v"].chunk(0)), k, factor, part["reach"].to_numpy())
                 keep = ~np.isneginf(score)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, keep.sum(1))), pa.array(found[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"]
-                )
+                for x, y in zip(out, (np.repeat(qid, keep.sum(1)), found[keep], score[keep]), strict=True):
+                    x.append(y)
+        a, c, e = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(c.astype(np.int64)), "score": pa.array(e.astype(np.float64))})
 
-    hits = pairs.mapInArrow(look, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(asked: DataFrame, first: bool) -> DataFrame:
+        goes = asked.mapInArrow(lambda batches: route(batches, first), "vec_id bigint, v array<double>, dim int, reach double, cell int, shard int")
+        on = ["dim", "cell", "shard"]
+        return trees.groupBy(*on).cogroup(goes.groupBy(*on)).applyInArrow(look, "query_id bigint, vec_id bigint, score double")
+
+    def best(hits: DataFrame) -> DataFrame:
+        one = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return one.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    near = written(searched(q.select("vec_id", "v", "dim", F.lit(float("inf")).alias("reach")), True), "own-cell")
+    far = best(near).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    reach = F.when(F.col("kth").isNull(), float("inf")).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("kth"))) + 1e-9)
+    rest = q.join(far, "vec_id", "left").select("vec_id", "v", "dim", reach.alias("reach"))
+    out = written(best(near.union(searched(rest, False))).select("query_id", "rank", "vec_id", "score"), "nearest")
+    forget(trees)
+    forget(near)
+    return out

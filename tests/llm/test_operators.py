@@ -332,24 +332,52 @@ def test_lm(docs, nothing, chunk, keys):
     assert all(r.n_known == 0 for r in lm.scores(docs.select("text"), F.lit(False)).collect())
 
 
+def brute_nearest(x, ids, q, k):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(u @ u[q], 12)
+    best = {}
+    for i, v in zip(ids, s, strict=True):
+        if i != ids[q]:
+            best[i] = max(v, best.get(i, -2))
+    return sorted(best, key=lambda i: (-best[i], i))[:k]
+
+
 def test_vptree(spark):
     from filmloom.llm.vptree import nearest
 
     x = rng.normal(size=(400, 8))
     x[50:90] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [1.0, None] * 4), (1004, [1.0, 2.0])]
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [rows[11], rows[10], rows[10], rows[200]]  # repeated rows, of queries too
+    rows += [(301, x[5].tolist())]  # an id with two vectors
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = nearest(e, e.where("vec_id % 10 = 0"), 5, 1.0, shard_rows=100, leaf=16).collect()
-    u = x / np.linalg.norm(x, axis=1)[:, None]
+    ids = [*range(400), 301]
+    every = np.concatenate([x, x[5:6]])
     for q in range(0, 400, 10):
-        s = np.round(u @ u[q], 12)
-        s[q] = -9
-        want = np.lexsort((np.arange(400), -s))[:5].tolist()
-        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+        want = brute_nearest(every, ids, q, 5)
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in mine] == want and [r.rank for r in mine] == [1, 2, 3, 4, 5]
     assert {r.query_id for r in got} == set(range(0, 400, 10))
+    two = e.where("vec_id in (1, 2)")
+    assert [(r.query_id, r.vec_id) for r in nearest(two, two, 5, 1.6).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
     assert nearest(e.limit(0), e.limit(0), 5, 1.0).count() == 0
 
 
+def test_vptree_recall(spark):
+    """At the factor of the query, over many shards: clusters and noise in 16 dimensions."""
+    from filmloom.llm.q_vptree import FACTOR, K
+    from filmloom.llm.vptree import nearest
+
+    own = np.random.default_rng(21)
+    x = np.concatenate([own.normal(size=(60, 16))[own.integers(0, 60, 3000)] + 0.3 * own.normal(size=(3000, 16)), own.normal(size=(1000, 16))])
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(e, e.where("vec_id % 50 = 0"), K, FACTOR, shard_rows=300, leaf=32).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    want = {(q, i) for q in range(0, 4000, 50) for i in brute_nearest(x, list(range(4000)), q, K)}
+    assert len(found & want) >= 0.9 * len(want)
+
+
 def test_toxicity(spark, docs, nothing):
     from filmloom.llm.toxicity import Lexicon, held_out, learn, with_scores  # noqa: F401
 
