@@ -8,8 +8,14 @@ contributes to its future is the last token at each of the last few positions wh
 list is the state.
 
 Every text is a chain of segments, each a run of spaces with the word behind it, and no piece crosses a segment's end.
-Texts of more than ``chunk`` characters are cut into chunks; a chunk's state map is its open head, the tokens of the
-segments inside, and its open tail. Maps compose by joining a tail with the next head, in order.
+The machine over whole texts therefore has two kinds of states: inside a run of spaces (how far into the longest piece of
+spaces) and inside a word (the transducer's state, and whether the spaces before it filled whole pieces).
+
+Texts of more than ``chunk`` characters are cut into chunks anywhere, inside words as well. A chunk's state map takes an
+entry state to the exit state and the tokens emitted on the way. It is tabulated for the entry that a start somewhat
+before the chunk leads to; the transducer forgets where it started within a few characters, so that is nearly always the
+right one. Maps compose by a tree fold: ``FAN`` neighbours at a time, level by level, where a map's exit must be an entry
+of the next. If it is not, the chunk is tabulated for that entry as well and the fold is done again.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.llm._shared import written
 from filmloom.llm._text import words
 
 SPACE_MARK = "▁"
@@ -29,6 +36,9 @@ _ONLY_SPACE = (np.arange(256, dtype=np.uint8), np.arange(256) != 32)
 MAX_STATES, MAX_CACHE = 250_000, 300_000
 #: A node with at most so many pieces under it stays open only if one of them may follow the last token.
 FEW = 60
+#: Maps composed at a time, characters before a chunk from which its entry state is guessed, and what checks a model.
+FAN, WARM = 64, 256
+PROBES = ["", " ", "a", "  two  spaces ", "tab\tline\nend\r\n", "\uff21\ufb01\u2460 e\u0301 \u00e9 \u1e9b\u0323", "\u3000wide\u00a0hard\u200b", "\u2581mark", "\U0001f642 \u68a6\u0000 <s> </s>"]
 
 
 def _entry(node: int, last: int, rel: int, lone: int) -> int:
@@ -81,6 +91,9 @@ class Transducer:
         self.open: dict[int, bool] = {}
         self.cache: dict[int, int] = {}
         self._reset()
+        for t in PROBES:
+            if int(self.counts(_marked(pa.array([t]), True))[0]) != len(sp.encode(t)):
+                raise ValueError(f"not a model with the identity normaliser, a dummy prefix and byte fallback: it counts {t!r} otherwise")
 
     def _reset(self) -> None:
         self.known: dict[tuple, int] = {}
@@ -205,6 +218,65 @@ class Transducer:
             n += (got & 255) - 128
         return n, bool(self.live[s][0] & 1)
 
+    def through(self, state: bytes, text: str) -> tuple[bytes, int]:
+        """The state behind ``text`` from a state before it, and the tokens emitted on the way.
+
+        A state is [r] inside spaces, r + 1 of which (modulo the longest piece) have been read and all but the first
+        counted, or [f, live...] inside a word, f telling that those before it filled whole pieces but for one.
+        """
+        own = np.frombuffer(state, np.int64).tolist()
+        n, i, last = 0, 0, len(text)
+        if len(own) == 1:
+            while i < last and text[i] == " ":
+                i += 1
+            n += -(-(own[0] + i) // self.run) - -(-own[0] // self.run)
+            r = (own[0] + i) % self.run
+            if i == last:
+                return self._frozen([r]), n
+            full, s = r == 0, self.start
+            n += 1
+        else:
+            full, s = bool(own[0]), self._state(tuple(own[1:]))
+        at = text.find(" ", i)
+        s, more = self._walk(s, text[i : last if at < 0 else at])
+        n += more
+        if at < 0:
+            return self._frozen([int(full), *self.live[s]]), n
+        n += self._ended(full, s)
+        rest = text[at:]
+        whole = rest.rstrip(" ")
+        if len(whole) < len(rest):
+            k = len(rest) - len(whole)
+            return self._frozen([(k - 1) % self.run]), n + int(self.counts(pa.array([whole]))[0]) + -(-(k - 1) // self.run)
+        word = rest.rfind(" ") + 1
+        inside = rest[:word].rstrip(" ")
+        k = word - len(inside)
+        s, more = self._walk(self.start, rest[word:])
+        return self._frozen([int((k - 1) % self.run == 0), *self.live[s]]), n + int(self.counts(pa.array([inside]))[0]) + -(-(k - 1) // self.run) + 1 + more
+
+    def end(self, state: bytes) -> int:
+        """The tokens that a text's end adds in a state."""
+        own = np.frombuffer(state, np.int64).tolist()
+        return int(own[0] == 0) if len(own) == 1 else self._ended(bool(own[0]), self._state(tuple(own[1:])))
+
+    def _ended(self, full: bool, s: int) -> int:
+        """What a word's end adds: where the space before the word stays a token of its own, it joins the spaces before it."""
+        return int(full) - 1 if self.live[s][0] & 1 else 0
+
+    def _walk(self, s: int, word: str) -> tuple[int, int]:
+        n = 0
+        for c in word:
+            got = self.moves.get(s << 21 | ord(c))
+            if got is None:
+                got = self._move(s, c)
+            s = got >> 8
+            n += (got & 255) - 128
+        return s, n
+
+    @staticmethod
+    def _frozen(state: list[int]) -> bytes:
+        return np.array(state, np.int64).tobytes()
+
     def _packed(self, h: int, word: bytes) -> int:
         got = self.cache.get(h)
         if got is None:
@@ -267,31 +339,86 @@ def _marked(texts: pa.Array, prefix: bool) -> pa.Array:
     return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
 
 
-def state_map(text: str) -> tuple[str, str | None, str | None]:
-    """Head, inside and tail of a chunk: the fragment with the first segment, whole segments, and the last segment.
+#: The state at a text's beginning: the dummy prefix has been read.
+BEGIN = np.array([0], np.int64).tobytes()
+_MAPS = "_row string, _k int, first int, entry binary, exit binary, n bigint, missing int"
 
-    A chunk with fewer than two segments is all head (inside and tail None).
-    """
-    i = text.find(" ")
-    while 0 <= i and i < len(text) and text[i] == " ":
-        i += 1
-    cut1 = text.find(" ", i) if i >= 0 else -1
-    if cut1 < 0:
-        return text, None, None
-    j = len(text.rstrip(" ")) if text.endswith(" ") else text.rfind(" ")
-    if not text.endswith(" "):
-        while j > 0 and text[j - 1] == " ":
-            j -= 1
-    if j < cut1:
-        return text, None, None
-    return text[:cut1], text[cut1:j], text[j:]
+
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows of a state map: group of chunks, its first chunk, entry, exit, tokens; ``missing``: the chunk that lacks the exit as an entry, else -1."""
+    kinds = [("_row", pa.string()), ("_k", pa.int32()), ("first", pa.int32()), ("entry", pa.binary()), ("exit", pa.binary()), ("n", pa.int64()), ("missing", pa.int32())]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [name for name, _ in kinds])
+
+
+def composed(maps: pa.Table) -> pa.Table:
+    """The map of up to FAN neighbouring groups of one text: what each entry of the first leads to behind the last."""
+    groups: dict[int, dict[bytes, dict]] = {}
+    for r in maps.to_pylist():
+        groups.setdefault(r["_k"], {})[r["entry"]] = r
+    out = []
+    order = sorted(groups)
+    for entry, r in groups[order[0]].items():
+        state, n, missing = r["exit"], r["n"], r["missing"]
+        for k in order[1:]:
+            if missing >= 0:
+                break
+            own = groups[k].get(state)
+            if own is None:
+                missing = next(iter(groups[k].values()))["first"]
+                break
+            state, n, missing = own["exit"], n + own["n"], own["missing"]
+        out.append((r["_row"], order[0] // FAN, r["first"], entry, state, n, missing))
+    return _table(out)
+
+
+def _long_counts(long: DataFrame, model_path: str, chunk: int) -> DataFrame:
+    """(_row, _n) of the distinct texts ``long`` (_row, _t): the fold of their chunks' state maps."""
+    most = long.agg(F.max(F.length("_t")).alias("m")).first()["m"] or 0
+    starts = F.sequence(F.lit(1), F.length("_t"), F.lit(chunk))
+    cut = long.select("_row", "_t", F.posexplode(starts).alias("_k", "_at"))
+    warm = F.when(F.col("_k") > 0, F.col("_t").substr(F.greatest(F.lit(1), F.col("_at") - WARM), F.least(F.lit(WARM), F.col("_at") - 1)))
+    cut = cut.select("_row", "_k", F.col("_t").substr(F.col("_at"), F.lit(chunk)).alias("_t"), warm.alias("warm"))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = compiled(model_path)
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                text, warm = (x and x.replace(SPACE_MARK, " ") for x in (r["_t"], r["warm"]))
+                entry = r.get("entry") or (BEGIN if warm is None else t.through(BEGIN, warm)[0])
+                state, n = t.through(entry, text)
+                rows.append((r["_row"], r["_k"], r["_k"], entry, state, n, -1))
+            yield from _table(rows).to_batches()
+
+    known = written(cut.mapInArrow(maps, _MAPS), "state-maps")
+    while True:
+        fold, groups = known, -(-most // chunk)
+        while True:
+            fold = fold.groupBy("_row", F.floor(F.col("_k") / FAN).alias("g")).applyInArrow(composed, _MAPS)
+            groups = -(-groups // FAN)
+            if groups <= 1:
+                break
+        fold = written(fold.where(F.col("entry") == F.lit(BEGIN)), "folded-maps")
+        wrong = fold.where("missing >= 0")
+        if wrong.isEmpty():
+            break
+        asked = wrong.select("_row", F.col("missing").alias("_k"), F.col("exit").alias("entry"))
+        known = written(known.union(cut.join(asked, ["_row", "_k"]).mapInArrow(maps, _MAPS)), "state-maps")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = compiled(model_path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["_row"], pa.array([n + t.end(x) for n, x in zip(b["n"].to_pylist(), b["exit"].to_pylist(), strict=True)], pa.int64())], ["_row", "_n"])
+
+    return fold.mapInArrow(ends, "_row string, _n bigint")
 
 
 def with_token_counts(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "n_tokens", chunk: int = 65_536) -> DataFrame:
     """``docs`` with the number of tokens of ``text_col`` as a bigint column ``out_col``, replacing one of that name.
 
-    Counts equal SentencePiece's for BPE models with the identity normaliser, a dummy prefix and byte fallback. Null and
-    empty texts count 0; repeated rows stay; other columns pass through, whatever their names.
+    Counts equal SentencePiece's for BPE models with the identity normaliser, a dummy prefix and byte fallback; other
+    models raise a ValueError. Null and empty texts count 0; texts of any length are counted whole; repeated rows stay;
+    an empty table gives an empty result; other columns pass through, whatever their names.
     """
     cols = [c for c in docs.columns if c != out_col]
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
@@ -308,41 +435,8 @@ def with_token_counts(docs: DataFrame, model_path: str, text_col: str = "text",
 
     counted = short.mapInArrow(whole, f"{fields}, _n bigint")
 
-    # long texts: cut into chunks, map each, compose by row
-    long = own.where(F.length(text) > chunk).withColumn("_row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(1), F.length(text), F.lit(chunk))
-    cut = long.select("_row", F.length(text).alias("_len"), text.alias("_t"), F.posexplode(starts).alias("_k", "_at")).select(
-        "_row", "_k", F.col("_t").substr(F.col("_at"), F.lit(chunk)).alias("_t")
-    )
-
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = compiled(model_path)
-        for b in batches:
-            parts = [state_map(x) for x in _marked(b.column("_t"), False).to_pylist()]
-            inside = t.counts(pa.array([p[1] or "" for p in parts], pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_row"), b.column("_k"), pa.array([p[0] for p in parts], pa.string()), pa.array(inside), pa.array([p[2] for p in parts], pa.string())],
-                ["_row", "_k", "head", "inside", "tail"],
-            )
-
-    def compose(table: pa.Table) -> pa.Table:
-        t = compiled(model_path)
-        total, pending, joints = 0, [" "], []
-        for r in sorted(table.to_pylist(), key=lambda r: r["_k"]):
-            pending.append(r["head"])
-            if r["tail"] is not None:
-                joints.append("".join(pending))
-                total += r["inside"]
-                pending = [r["tail"]]
-        joints.append("".join(pending))
-        total += int(t.counts(pa.array(joints, pa.string())).sum())
-        return pa.table({"_row": [table["_row"][0].as_py()], "_n": [total]})
-
-    sums = (
-        cut.mapInArrow(maps, "_row bigint, _k int, head string, inside bigint, tail string")
-        .groupBy("_row")
-        .applyInArrow(compose, "_row bigint, _n bigint")
-    )
-    long_counted = long.join(sums, "_row").drop("_row")
-    out = counted.unionByName(long_counted)
+    # long texts, each distinct one once
+    long = own.where(F.length(text) > chunk).withColumn("_row", F.md5(text))
+    sums = _long_counts(long.select("_row", text.alias("_t")).dropDuplicates(["_row"]), model_path, chunk)
+    out = counted.unionByName(long.join(sums, "_row").drop("_row"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], F.col("_n").alias(out_col))

@@ -62,6 +62,39 @@ def test_token_counts(docs, nothing):
     assert with_token_counts(nothing, model_path()).count() == 0
 
 
+def test_token_state_maps(spark):
+    """Chunks of texts without spaces, of spaces alone and of both, cut anywhere, fold to the counts of whole texts."""
+    sp = pytest.importorskip("sentencepiece")
+    from filmloom.llm import token_counts as tc
+    from filmloom.llm.q_token_counts import model_path
+
+    m = sp.SentencePieceProcessor(model_file=model_path())
+    own = np.random.default_rng(4)
+    texts = ["".join(own.choice(list("abcdeilnorst"), 900)), " " * 700, "x" * 500, "ab" * 400 + " " * 333 + "梦🙂" * 90, "▁" * 50 + prose(80), base64.b64encode(own.bytes(600)).decode(), " ".join("".join(own.choice(list("etaoin"), own.integers(1, 90))) for _ in range(40)) + "  "]
+    # the machine itself: any cut, any entry
+    t = tc.compiled(model_path())
+    for x in texts:
+        x = x.replace("▁", " ")
+        for cut in (1, 7, len(x) // 2, len(x) - 1):
+            state, n = t.through(tc.BEGIN, x[:cut])
+            state, more = t.through(state, x[cut:])
+            assert n + more + t.end(state) == len(m.encode(x))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(m.encode(x)) for i, x in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in tc.with_token_counts(d, model_path(), chunk=40).collect()} == want
+    # more levels of the fold
+    maps, at = [], tc.BEGIN
+    for k in range(0, 900, 3):
+        state, n = t.through(at, texts[0][k : k + 3])
+        maps.append(("r", k // 3, k // 3, at, state, n, -1))
+        at = state
+    level = [tc.composed(tc._table(maps[i : i + tc.FAN])) for i in range(0, 300, tc.FAN)]
+    top = tc.composed(tc._table([tuple(r.values()) for x in level for r in x.to_pylist()])).to_pylist()
+    assert len(top) == 1 and top[0]["missing"] == -1 and top[0]["n"] + t.end(top[0]["exit"]) == want[0]
+    lacks = tc.composed(tc._table([maps[0], (*maps[1][:3], b"other", *maps[1][4:])])).to_pylist()
+    assert lacks[0]["missing"] == 1 and lacks[0]["exit"] == maps[0][4]
+
+
 def test_decontamination(spark, docs, nothing):
     from filmloom.llm.decontamination import benchmark_hits, decontaminate
 
