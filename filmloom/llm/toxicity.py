@@ -1,9 +1,15 @@
 """Toxicity scores: a lexicon learned from labels, matched with Levenshtein automata, weighed by context.
 
 A lexicon of words and word stems that mark toxic documents is learned from labelled ones. It becomes a trie; every
-distinct word of a text runs through the intersection of its Levenshtein automaton (distance ``EDITS``, words of five
-letters or more) with the trie, so misspelled terms are caught as well. A match inside quotation marks, or with a verb
-of saying in its window, counts as quoted, others as abuse. A logistic model over a document's counts gives the score.
+distinct word of a text runs through the intersection of its Levenshtein automaton (distance ``EDITS``) with the trie,
+so misspelled terms (of ``FUZZY_FROM`` letters or more) and misspelled stems (of ``FUZZY_STEM`` or more) are caught as
+well. Words near a term that clean labelled documents use are ordinary words, not misspellings, and a term with
+``CROWDED`` such neighbours or more, which an unseen ordinary word may well be near, is matched as it is only.
+
+A match adds its strength to the document's abuse: 1 for a term or a stem's word, ``MISSPELLED`` for a misspelling. A
+match inside quotation marks, or with a verb of saying within ``WINDOW`` words, is talked about rather than used, and
+adds only ``QUOTED`` of that. These shares are parameters, not learned: misspelled and quoted terms are too rare among
+labelled documents to learn from. A logistic model, learned, turns a document's abuse into the score.
 
 Only learning uses a sample: at most ``sample`` labelled documents of each label, those with the smallest hashes.
 The model weighs each label's rows so that the labels keep their shares among all labelled documents.
@@ -11,7 +17,7 @@ The model weighs each label's rows so that the labels keep their shares among al
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +28,20 @@ from pyspark.sql import functions as F
 from filmloom.llm._shared import written
 from filmloom.llm._text import ALNUM, words
 
-EDITS, FUZZY_FROM, STEMS, WINDOW = 1, 5, (4, 5, 6), 6
-QUOTES = {b'"', b"'", b"\xe2\x80\x9c", b"\xe2\x80\x9d", b"\xe2\x80\x98", b"\xe2\x80\x99", b"\xc2\xab", b"\xc2\xbb"}
-SAYING = {b"said", b"says", b"called", b"calls", b"quote", b"quoted", b"quotes", b"wrote", b"insult", b"insults", b"term", b"slur"}
-N_FEATURES = 7
+EDITS, FUZZY_FROM, FUZZY_STEM, STEMS, WINDOW = 1, 5, 6, (4, 5, 6), 6
+MISSPELLED, QUOTED, CROWDED = 0.8, 0.25, 3
+# fixed values: verbs of saying and words for what is said, in English, German, French and Spanish
+SAYING = {
+    w.encode()
+    for w in (
+        "said says called calls quote quoted quotes wrote insult insults term slur "
+        "sagte sagt nannte nennt zitat zitiert schrieb beleidigung wort "
+        "dit disait appelle citation cite écrit insulte terme "
+        "dijo dice llamó llama cita citado escribió insulto término"
+    ).split()
+}
+MARKS = ((b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xe2\x80\x9e", b"\xe2\x80\x9c"), (b"\xc2\xab", b"\xc2\xbb"))
+N_FEATURES = 3
 MAX_CACHE = 300_000
 
 
@@ -36,23 +52,20 @@ def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
 class Lexicon:
     """Whole words and stems (of words longer than they are), as a trie over characters."""
 
-    def __init__(self, whole: list[str], stems: list[str]):
-        self.whole, self.stems = set(whole), set(stems)
+    def __init__(self, whole: list[str], stems: list[str], ordinary: list[str] | None = None, exact: set[str] | None = None):
+        self.whole, self.stems, self.ordinary = set(whole), set(stems), set(ordinary or [])
+        exact = exact or set()
         self.trie: list[dict[str, int]] = [{}]
-        self.ends: list[bool] = [False]
+        self.ends: list[int] = [0]  # 1 a term ends here, 2 a stem
         # a word within one edit of a term keeps the term's first half in front or its second half at the end
         self.near: dict[int, tuple[set[int], set[str], set[int], set[str]]] = {}
+        # one that begins within one edit of a stem keeps one of the stem's halves, the second at most one place off
+        self.stem_fronts: dict[int, set[str]] = {}
+        self.stem_backs: dict[tuple[int, int], set[str]] = {}
         for term in whole:
-            if len(term) < FUZZY_FROM:
+            if len(term) < FUZZY_FROM or term in exact:
                 continue
-            at = 0
-            for c in term:
-                if c not in self.trie[at]:
-                    self.trie[at][c] = len(self.trie)
-                    self.trie.append({})
-                    self.ends.append(False)
-                at = self.trie[at][c]
-            self.ends[at] = True
+            self._add(term, 1)
             half = len(term) // 2
             for n in range(len(term) - EDITS, len(term) + EDITS + 1):
                 fronts, front, backs, back = self.near.setdefault(n, (set(), set(), set(), set()))
@@ -60,10 +73,31 @@ class Lexicon:
                 front.add(term[:half])
                 backs.add(len(term) - half)
                 back.add(term[half:])
+        for stem in stems:
+            if len(stem) < FUZZY_STEM or stem in exact:
+                continue
+            self._add(stem, 2)
+            half = len(stem) // 2
+            self.stem_fronts.setdefault(half, set()).add(stem[:half])
+            for at in range(half - EDITS, half + EDITS + 1):
+                self.stem_backs.setdefault((at, len(stem) - half), set()).add(stem[half:])
         self.cache: dict[int, int] = {}
 
+    def _add(self, term: str, mark: int) -> None:
+        at = 0
+        for c in term:
+            if c not in self.trie[at]:
+                self.trie[at][c] = len(self.trie)
+                self.trie.append({})
+                self.ends.append(0)
+            at = self.trie[at][c]
+        self.ends[at] |= mark
+
     def fuzzy(self, word: str) -> bool:
-        """Whether the word's Levenshtein automaton and the trie accept a common string: both are walked side by side."""
+        """Whether the word's Levenshtein automaton and the trie accept a common string: both are walked side by side.
+
+        At a stem's end the rest of the word is accepted as it is.
+        """
         n, todo, seen = len(word), [(0, 0, 0)], set()
         while todo:
             state = todo.pop()
@@ -71,7 +105,7 @@ class Lexicon:
                 continue
             seen.add(state)
             node, i, edits = state
-            if i == n and self.ends[node]:
+            if i == n and self.ends[node] & 1 or i < n and self.ends[node] & 2:
                 return True
             kids = self.trie[node]
             if i < n and word[i] in kids:
@@ -87,10 +121,11 @@ class Lexicon:
 
     def _near(self, word: str) -> bool:
         got = self.near.get(len(word))
-        if got is None:
-            return False
-        fronts, front, backs, back = got
-        return any(word[:k] in front for k in fronts) or any(word[-k:] in back for k in backs)
+        if got is not None:
+            fronts, front, backs, back = got
+            if any(word[:k] in front for k in fronts) or any(word[-k:] in back for k in backs):
+                return True
+        return any(word[:k] in own for k, own in self.stem_fronts.items()) or any(word[at : at + k] in own for (at, k), own in self.stem_backs.items())
 
     def kind(self, word: str) -> int:
         """0 no match, 1 a term, 2 a stem's word, 3 a misspelled term."""
@@ -98,7 +133,7 @@ class Lexicon:
             return 1
         if any(len(word) > n and word[:n] in self.stems for n in STEMS):
             return 2
-        return 3 if self._near(word) and self.fuzzy(word) else 0
+        return 3 if word not in self.ordinary and self._near(word) and self.fuzzy(word) else 0
 
     def features(self, col: pa.Array) -> np.ndarray:
         out = np.zeros((len(col), N_FEATURES))
@@ -117,13 +152,12 @@ class Lexicon:
                     k = self.cache[h] = self.kind(blob[a:b].decode("utf-8", "replace"))
                 kinds[i] = k
             kind = kinds[back]
-            count = np.zeros((rows, 4))
+            abuse = np.zeros(rows)
             for i in np.flatnonzero(kind).tolist():
                 d = int(w.doc[i])
-                count[d, 0 if self._quoted(w, blob, i, d) else int(kind[i])] += 1
+                abuse[d] += (MISSPELLED if kind[i] == 3 else 1.0) * (QUOTED if self._quoted(w, blob, i, d) else 1.0)
             n = np.maximum(1, np.diff(w.first))
-            hits = count[:, 1] + count[:, 2] + count[:, 3]
-            out[w.rows] = np.stack([count[:, 1] > 0, np.log1p(count[:, 1]), count[:, 2] > 0, np.log1p(count[:, 2]), np.log1p(count[:, 3]), np.log1p(count[:, 0]), np.minimum(1.0, 20 * hits / n)], axis=1)
+            out[w.rows] = np.stack([np.minimum(1.0, abuse), np.log1p(abuse), np.minimum(1.0, 20 * abuse / n)], axis=1)
         return out
 
     def _quoted(self, w, blob: bytes, i: int, d: int) -> bool:
@@ -131,7 +165,7 @@ class Lexicon:
         if any(blob[w.start[j] : w.end[j]] in SAYING for j in range(a, z)):
             return True
         before, after = blob[w.start[a] : w.start[i]], blob[w.end[i] : w.end[z - 1] + 3]
-        return before.count(b'"') % 2 == 1 and b'"' in after or any(q in before and q2 in after for q, q2 in ((b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xc2\xab", b"\xc2\xbb")))
+        return before.count(b'"') % 2 == 1 and b'"' in after or any(q in before and q2 in after for q, q2 in MARKS)
 
 
 def _candidates(sample: DataFrame) -> DataFrame:
@@ -169,7 +203,8 @@ def learn_lexicon(sample: DataFrame, share: float = 0.01, odds: float = 25.0) ->
     if not t or not c:
         return Lexicon([], [])
     ratio = ((F.col("toxic") + 0.5) / (t + 1)) / ((F.col("clean") + 0.5) / (c + 1))
-    rows = _candidates(sample).where((F.col("toxic") >= max(3, share * t)) & (ratio >= odds)).collect()
+    found = written(_candidates(sample), "lexicon-candidates")
+    rows = found.where((F.col("toxic") >= max(3, share * t)) & (ratio >= odds)).collect()
     stems: list[str] = []
     for name in sorted((r["feature"][:-1] for r in rows if r["feature"][-1] == "*"), key=lambda s: (len(s), s)):
         if not any(name.startswith(s) for s in stems):
@@ -180,8 +215,20 @@ def learn_lexicon(sample: DataFrame, share: float = 0.01, odds: float = 25.0) ->
     covers = {s: [x for x in whole if x.startswith(s) and len(x) > len(s)] for s in families}
     counts = {r["feature"]: r["toxic"] for r in rows}
     families = [s for s in families if not any(counts["=" + x] >= 0.9 * counts[s + "*"] for x in covers[s])]
-    whole = [x for x in whole if not any(x.startswith(s) and len(x) > len(s) for s in families)]
-    return Lexicon(whole, families)
+    lex = Lexicon(whole, families)
+
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x[1:] for x in b.column("feature").to_pylist() if lex.kind(x[1:]) == 3], pa.string())], ["word"])
+
+    # words within an edit of the lexicon that clean documents use, no more often in toxic ones than chance has it
+    plain = found.where(F.col("feature").startswith("=") & (F.col("clean") > 0) & (ratio < odds)).select("feature").mapInArrow(ordinary, "word string")
+    near = sorted(r["word"] for r in plain.collect())
+    crowd: Counter[str] = Counter()
+    for term in {*whole, *families}:
+        one = Lexicon([term] if term in lex.whole else [], [term] if term in lex.stems else [])
+        crowd[term] = sum(one.kind(w) == 3 for w in near)
+    return Lexicon(whole, families, near, {term for term, n in crowd.items() if n >= CROWDED})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40, weigh: np.ndarray | None = None) -> np.ndarray:
@@ -209,7 +256,11 @@ class Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """A scorer from the labelled documents of the training folds; without both labels it scores everything 0."""
+    """A scorer from the labelled documents of the training folds; without both labels it scores everything 0.
+
+    Labels that are null or neither 0 nor 1, and rows without an id, are left out; of several labels for an id the
+    larger counts, and of rows that share a labelled id each is learned from. Null texts are empty.
+    """
     lab = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     lab = lab.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     every = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
@@ -234,7 +285,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in ``out_col``, replacing a column of that name. Null and empty texts have no matches."""
+    """``docs`` with a score from 0 to 1 in ``out_col``, replacing a column of that name.
+
+    Null and empty texts have no matches and the score of such; texts of any length are read whole; equal texts have
+    equal scores and repeated rows stay; an empty table gives an empty result; other columns pass through, whatever
+    their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     cols = [c for c in docs.columns if c != out_col]
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])

@@ -425,6 +425,51 @@ def test_toxicity(spark, docs, nothing):
     assert with_scores(nothing, learn(nothing, lab)).count() == 0
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_toxicity_misspellings_are_all_within_an_edit():
+    from filmloom.llm.toxicity import FUZZY_FROM, FUZZY_STEM, Lexicon
+
+    own = np.random.default_rng(6)
+    some = lambda n: "".join(own.choice(list("abcé"), n))
+    terms, stems = [some(int(own.integers(3, 8))) for _ in range(25)], [some(int(own.integers(4, 7))) for _ in range(4)]
+    lex = Lexicon(terms, stems, ["abcabc"])
+    words = {some(int(own.integers(1, 10))) for _ in range(4000)} | {"abcabc"}
+    kinds = Counter()
+    for w in words:
+        near = any(len(t) >= FUZZY_FROM and distance(w, t) <= 1 for t in terms)
+        near |= any(len(t) >= FUZZY_STEM and any(distance(w[:k], t) <= 1 for k in range(len(w))) for t in stems)
+        want = 1 if w in terms else 2 if any(len(w) > len(t) and w.startswith(t) for t in stems) else 3 if near and w != "abcabc" else 0
+        assert lex.kind(w) == want, w
+        kinds[want] += 1
+    assert min(kinds.values()) > 10 and len(kinds) == 4
+
+
+def test_toxicity_of_misspelled_and_quoted_terms(spark):
+    """Learned from plain uses alone: misspellings count nearly as much as terms, quoted terms less, ordinary words near a term nothing."""
+    from filmloom.llm.toxicity import learn, with_scores
+
+    own = np.random.default_rng(9)
+    insults = ["moron", "idiot", "worthless", "pathetic"]
+    rows = []
+    for i in range(900):
+        t = prose(40) + (" crown" if i % 5 == 0 else "")
+        rows.append((i, t + "".join(f" {x} {prose(8)}" for x in own.choice(insults + ["clown"], 3)) if i % 3 == 0 else t))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    said = [f' "{x}" {prose(8)}' for x in insults[:3]]
+    cases = {"plain": prose(40) + "".join(f" {x} {prose(8)}" for x in insults[:3]), "misspelled": prose(40) + f" m0ron {prose(8)} idoit {prose(8)} idiott {prose(8)} worthles {prose(8)}", "quoted": prose(40) + "".join(said), "near": prose(40) + " crown " * 3, "clean": prose(60)}
+    score = {r.name: r.toxicity for r in with_scores(spark.createDataFrame(list(cases.items()), "name string, text string"), learn(d, lab)).collect()}
+    assert score["plain"] > 0.9 and score["misspelled"] > 0.7 and score["quoted"] < score["plain"] - 0.05 and score["near"] < 0.3 and score["clean"] < 0.3
+
+
 def test_toxicity_keeps_label_shares(spark):
     from filmloom.llm.toxicity import learn, with_scores
 
