@@ -5,8 +5,9 @@ suffix that occurs in some item; where that suffix reaches a window's length, th
 no item has, and word pairs that no item has, reset the match to length 0 and 1, so numpy finds the runs of known pairs
 and only those long enough to hold a window walk the automaton.
 
-Items are taken in blocks of at most ``block_words`` words; a block's automaton is what is broadcast, so its size does
-not grow with the benchmark: more items make more blocks, each streamed over all documents.
+Items are dealt by hash to blocks of about ``block_words`` words; a block's automaton is what the driver builds and
+broadcasts, so its size does not grow with the benchmark: more items make more blocks. Documents stream past one block
+after another, the spans found so far written to the shared folder between them and the block's automaton let go.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.llm._shared import forget, written
 from filmloom.llm._text import ALNUM, mix, words
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -195,31 +197,46 @@ def _offsets(w, col: pa.Array) -> np.ndarray:
 
 
 def item_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[int]]]]:
-    """The items as (id as text, word hashes), fetched one after another, in blocks of at most ``block_words`` words (or one item)."""
-    block, size = [], 0
-    for r in bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        seq = [int(h) for w in words(pa.array([r["t"]], pa.string()), ALNUM) for h in w.hash]
-        if block and size + len(seq) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], seq))
-        size += len(seq)
-    yield block
+    """The items as (id as text, word hashes), one block after another."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in words(b.column("t"), ALNUM):
+                h = pa.ListArray.from_arrays(pa.array(w.first.astype(np.int32)), pa.array(w.hash.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("i").slice(w.rows.start, len(h)), h], ["i", "h"])
+
+    items = bench.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text_col}`").alias("t")).mapInArrow(hashed, "i string, h array<bigint>")
+    items = written(items, "benchmark-items")
+    total = items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_words))
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "h").toArrow()
+        yield [(i, np.array(h, np.int64).view(np.uint64).tolist()) for i, h in zip(own["i"].to_pylist(), own["h"].to_pylist(), strict=True)]
+    forget(items)
 
 
 def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = 500_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, hit_items (sorted item ids as strings) and hit_bytes (byte ranges of hit spans).
 
     A window is ``window`` consecutive item words (a shorter item is one window); document words inside an occurrence
-    are hit. Null and empty texts have no words; repeated rows stay; columns named like the new ones are replaced.
+    are hit. Null and empty texts have no words; texts of any length are read whole; repeated rows stay, and items that
+    share an id are that item together; empty tables give no rows and no hits; columns named like the new ones are
+    replaced.
     """
     spark = docs.sparkSession
     new = ["n_words", "n_hit", "hit_items", "hit_bytes"]
     cols = [c for c in docs.columns if c not in new]
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     name = f"c{cols.index(text_col)}"
-    first = True
+    first, between, sent = True, [], None
     for block in item_blocks(bench, item_id, item_text, block_words):
+        if not first:
+            own = written(own, "block-hits")
+            between.append(own)
+            sent.unpersist()
+            for table in between[:-1]:
+                forget(table)
+            between = between[-1:]
         auto = Automaton(window).build([(k, seq) for k, (_, seq) in enumerate(block)])
         sent = spark.sparkContext.broadcast((auto, [i for i, _ in block]))
 
@@ -286,15 +303,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, max_cover
     Hit spans are cut out of the text, a space in their place. A document of which more than ``max_coverage`` is hit
     goes altogether. Documents without a hit keep their text byte for byte.
     """
-    text_col = kw.get("text_col", "text")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    clash = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c in ("n_words", "n_hit", "hit_items", "hit_bytes")}
-    marked = benchmark_hits(docs.withColumnsRenamed(clash), bench, window, **kw)
+    text_col = kw.pop("text_col", "text")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)])
+    text = f"d{docs.columns.index(text_col)}"
+    marked = benchmark_hits(own, bench, window, text_col=text, **kw)
     keep = marked.where((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.names.index(text_col)
+            at = b.schema.names.index(text)
             texts = b.column(at).to_pylist()
             for i, spans in enumerate(b.column("hit_bytes").to_pylist()):
                 if spans:
@@ -303,13 +320,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, max_cover
                         parts.append(t[last : s["a"]])
                         last = s["b"]
                     texts[i] = b" ".join([*parts, t[last:]]).decode()
-            yield b.drop_columns(["hit_bytes"]).set_column(at, text_col, pa.array(texts, b.column(at).type))
+            yield b.drop_columns(["hit_bytes"]).set_column(at, text, pa.array(texts, b.column(at).type))
 
-    plain = [clash.get(c, c) for c in docs.columns]
-    clean = keep.where("n_hit = 0").select(*[f"`{c}`" for c in plain])
-    fields = ", ".join(f"`{clash.get(c, c)}` {types[c]}" for c in docs.columns)
-    dirty = keep.where("n_hit > 0").select(*[f"`{c}`" for c in plain], "hit_bytes").mapInArrow(cut, fields)
-    return clean.union(dirty).withColumnsRenamed({v: k for k, v in clash.items()})
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    clean = keep.where("n_hit = 0").select(*own.columns)
+    dirty = keep.where("n_hit > 0").select(*own.columns, "hit_bytes").mapInArrow(cut, fields)
+    return clean.union(dirty).select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def digest(items: list[str]) -> str:
