@@ -86,3 +86,20 @@ def preview(y: Column, u: Column, v: Column, luma_most: int, chroma_most: int) -
 def full_range(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
     """24-bit colours of eight-bit luma and signed chroma; each product is cut toward zero by itself."""
     return clamp8(y + toward_zero(1402 * v, 1000)), clamp8(y - toward_zero(344 * u, 1000) - toward_zero(714 * v, 1000)), clamp8(y + toward_zero(1772 * u, 1000))
+
+
+#: Fixed values, by layout: bits of luma and of each chroma in a pixel's word.
+LAYOUTS = {"6Y5UV": (6, 5), "YUV555": (5, 5), "6Y6UV": (6, 6)}
+
+
+def word(layout: str, y: Column, u: Column, v: Column) -> Column:
+    """A pixel's word: luma in the lowest bits, then the chroma fields; null where one is out of range."""
+    a, b = LAYOUTS[layout]
+    fits = (y >= 0) & (y < 1 << a) & (u >= 0) & (u < 1 << b) & (v >= 0) & (v < 1 << b)
+    return F.when(fits, y.bitwiseOR(F.shiftleft(u, a)).bitwiseOR(F.shiftleft(v, a + b)))
+
+
+def fields(layout: str, w: Column) -> tuple[Column, Column, Column]:
+    """Luma and chroma of a pixel's word."""
+    a, b = LAYOUTS[layout]
+    return w.bitwiseAND(F.lit((1 << a) - 1)), F.shiftright(w, a).bitwiseAND(F.lit((1 << b) - 1)), F.shiftright(w, a + b).bitwiseAND(F.lit((1 << b) - 1))

@@ -1,38 +1,10 @@
-"""Block motion search as a relational query."""
+"""Codes of motion vectors; the search is in ``pictures``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def vectors(spark: SparkSession, radius: int) -> DataFrame:
-    """(ord, dx, dy): every vector within ``radius`` but the null one, ring by ring and in a ring by row; a table of fixed size.
-
-    Vectors longer than three pixels have one code length, so they come after the rings, by row.
-    """
-    rows = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if (dx, dy) != (0, 0)]
-    rows.sort(key=lambda v: (min(4, max(abs(v[0]), abs(v[1]))), v[1], v[0]))
-    return spark.createDataFrame([(i, dx, dy) for i, (dx, dy) in enumerate(rows)], "ord bigint, dx bigint, dy bigint")
-
-
-def best_vectors(frames: DataFrame, radius: int = 3, side: int = 8, block: int = 4) -> DataFrame:
-    """Per frame and block the in-frame vector into the previous frame with the least summed difference, first of equals.
-
-    Every pixel is paired with its at most (2 radius + 1)^2 - 1 sources; both the pairing and the sums are per frame, so
-    the only shuffle is by frame and pixel.
-    """
-    moved = frames.crossJoin(F.broadcast(vectors(frames.sparkSession, radius)))
-    bx, by = F.floor(F.col("x") / block).cast("bigint"), F.floor(F.col("y") / block).cast("bigint")
-    inside = lambda at, d: (at * block + d >= 0) & (at * block + d + block <= side)
-    asked = moved.select("frame_no", bx.alias("bx"), by.alias("brow"), "ord", "dx", "dy", "luma", (F.col("x") + F.col("dx")).alias("sx"), (F.col("y") + F.col("dy")).alias("sy"))
-    asked = asked.where(inside(F.col("bx"), F.col("dx")) & inside(F.col("brow"), F.col("dy")))
-    source = frames.select((F.col("frame_no") + 1).alias("frame_no"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("luma").alias("prev"))
-    cost = asked.join(source, ["frame_no", "sx", "sy"]).groupBy("frame_no", "bx", "brow", "ord", "dx", "dy").agg(F.sum(F.abs(F.col("luma") - F.col("prev"))).alias("err"))
-    best = cost.groupBy("frame_no", "bx", "brow").agg(F.min(F.struct("err", "ord", "dx", "dy")).alias("b"))
-    return best.select("frame_no", "bx", "brow", "b.err", "b.ord", "b.dx", "b.dy")
-
-
 def vector_bits(dx, dy, block: int = 4):
     """Bits of a temporal vector: opcode, family and index, by the ring it lies in."""
     ring = F.greatest(F.abs(dx), F.abs(dy))
@@ -42,9 +14,17 @@ def vector_bits(dx, dy, block: int = 4):
 def vector_code(order, dx, dy):
     """(value, bits) of a temporal vector: two bits of family, then its place in the family, the lowest bit first.
 
-    ``order`` is that of ``vectors``. Ring three shares its family with eight spatial vectors, which come first.
+    ``order`` is that of ``pictures.temporal_vectors``. Ring three shares its family with eight spatial vectors, which come first.
     """
     ring = F.greatest(F.abs(dx), F.abs(dy))
     family = F.when(ring <= 1, 0).when(ring == 2, 2).when(ring == 3, 1).otherwise(3)
     place = order - F.when(ring <= 1, 0).when(ring == 2, 8).when(ring == 3, 24 - 8).otherwise(48)
     return (family + 4 * place).cast("bigint"), (vector_bits(dx, dy) - 2).cast("bigint")
+
+
+def vector_code_7(order, dx, dy):
+    """(value, bits) in the older format, whose order has ring four before ring three in one family of eight bits."""
+    ring = F.greatest(F.abs(dx), F.abs(dy))
+    family = F.when(ring <= 1, 2).when(ring == 2, 1).otherwise(3)
+    place = order - F.when(ring <= 1, 0).when(ring == 2, 8).otherwise(24)
+    return (family + 4 * place).cast("bigint"), F.when(ring <= 1, 5).when(ring == 2, 6).otherwise(8).cast("bigint")

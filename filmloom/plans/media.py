@@ -247,7 +247,7 @@ def data_block_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Loss level of the mode histogram.
 LOSS = 28
-_VBITS = "CASE WHEN greatest(abs(dx), abs(dy)) <= 1 THEN 7 WHEN greatest(abs(dx), abs(dy)) = 2 THEN 8 ELSE 9 END"
+_VBITS = "CASE WHEN greatest(abs(dx), abs(dy)) <= 1 THEN 7 WHEN greatest(abs(dx), abs(dy)) = 2 THEN 8 WHEN greatest(abs(dx), abs(dy)) = 3 THEN 9 ELSE 12 END"
 _MODES_SQL = f"""WITH profile AS ({_PROFILE_SQL}), {_LEVELS_SQL}, {_FIRST_SQL}, {_COST_SQL}, best AS ({MOTION_SQL} SELECT * FROM best),
 m AS (SELECT cost.frame_no, cost.bx, cost.brow, CASE WHEN level <= {LOSS} THEN 'stationary' WHEN err <= {THRESHOLDS[LOSS][2]} THEN 'temporal' ELSE 'data' END AS mode,
   CASE WHEN level <= {LOSS} THEN 2 WHEN err <= {THRESHOLDS[LOSS][2]} THEN {_VBITS} ELSE bits END AS n
@@ -417,7 +417,7 @@ def streamed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "motion_codes",
     MOTION_SQL + """, r AS (SELECT *, greatest(abs(dx), abs(dy)) AS r FROM best)
-SELECT frame_no, bx, brow, CAST(CASE r WHEN 1 THEN 4 * ord WHEN 2 THEN 2 + 4 * (ord - 8) ELSE 1 + 4 * (ord - 24 + 8) END AS BIGINT) AS code, CAST(CASE r WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE 7 END AS BIGINT) AS bits FROM r""",
+SELECT frame_no, bx, brow, CAST(CASE r WHEN 1 THEN 4 * ord WHEN 2 THEN 2 + 4 * (ord - 8) WHEN 3 THEN 1 + 4 * (ord - 24 + 8) ELSE 3 + 4 * (ord - 48) END AS BIGINT) AS code, CAST(CASE r WHEN 1 THEN 5 WHEN 2 THEN 6 WHEN 3 THEN 7 ELSE 10 END AS BIGINT) AS bits FROM r""",
 )
 def motion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code and its length of every block's best vector."""

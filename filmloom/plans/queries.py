@@ -19,6 +19,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pictures whole: frame_no and luma, an array of 64."""
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(63), F.floor((v.cast("double") + 1.0) * 32.0))).cast("bigint")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no"), F.transform("embedding", level).alias("luma"))
+
+
 FRAMES_SQL = """frames AS (SELECT vec_id AS frame_no, CAST(p % 8 AS BIGINT) AS x, CAST(p // 8 AS BIGINT) AS y,
   CAST(greatest(0, least(63, floor((CAST(v AS DOUBLE) + 1.0) * 32.0))) AS BIGINT) AS luma
   FROM (SELECT vec_id, unnest(range(len(embedding))) AS p, unnest(embedding) AS v FROM embeddings))"""
@@ -33,16 +39,14 @@ FROM frames c JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x AND p.y
 )
 def frame_delta_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error and largest error of every picture against the one before it."""
-    f = frames(spark, sf_dir)
-    p = f.select((F.col("frame_no") + 1).alias("frame_no"), "x", "y", F.col("luma").alias("prev"))
-    d = F.col("luma") - F.col("prev")
-    return f.join(p, ["frame_no", "x", "y"]).groupBy("frame_no").agg(
-        F.count("*").alias("n"), F.sum(d * d).alias("sse"), F.max(F.abs(d)).alias("max_err")
-    )
+    from filmloom.operators.pictures import error_sums, with_previous
+
+    sse, most = error_sums(F.col("luma"), F.col("prev_luma"))
+    return with_previous(pictures(spark, sf_dir), ["luma"]).select("frame_no", F.size("luma").cast("bigint").alias("n"), sse.alias("sse"), most.alias("max_err"))
 
 
 MOTION_SQL = f"""WITH {FRAMES_SQL},
-v AS (SELECT row_number() OVER (ORDER BY greatest(abs(dx), abs(dy)), dy, dx) - 1 AS ord, dx, dy FROM (SELECT unnest(range(-3, 4)) AS dx) a, (SELECT unnest(range(-3, 4)) AS dy) b WHERE dx <> 0 OR dy <> 0),
+v AS (SELECT row_number() OVER (ORDER BY least(4, greatest(abs(dx), abs(dy))), dy, dx) - 1 AS ord, dx, dy FROM (SELECT unnest(range(-8, 9)) AS dx) a, (SELECT unnest(range(-8, 9)) AS dy) b WHERE dx <> 0 OR dy <> 0),
 m AS (SELECT c.frame_no, c.x // 4 AS bx, c.y // 4 AS brow, ord, dx, dy, CAST(sum(abs(c.luma - p.luma)) AS BIGINT) AS err
   FROM frames c CROSS JOIN v JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x + dx AND p.y = c.y + dy
   WHERE (c.x // 4) * 4 + dx >= 0 AND (c.x // 4) * 4 + dx + 4 <= 8 AND (c.y // 4) * 4 + dy >= 0 AND (c.y // 4) * 4 + dy + 4 <= 8
@@ -54,10 +58,10 @@ best AS (SELECT frame_no, CAST(bx AS BIGINT) AS bx, CAST(brow AS BIGINT) AS brow
 
 @query("block_motion_search", MOTION_SQL + "SELECT * FROM best")
 def block_motion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best temporal vector of every 4x4 block."""
-    from filmloom.operators.motion import best_vectors
+    """The best of all 288 temporal vectors of every 4x4 block, by luma."""
+    from filmloom.operators.pictures import best_vectors, with_previous
 
-    return best_vectors(frames(spark, sf_dir))
+    return best_vectors(with_previous(pictures(spark, sf_dir), ["luma"]), ["luma"])
 
 
 @query(
@@ -78,9 +82,12 @@ FROM frames c JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x AND p.y
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir)
-    p = f.select((F.col("frame_no") + 1).alias("frame_no"), "x", "y", F.col("luma").alias("prev"))
-    return f.join(p, ["frame_no", "x", "y"]).select("frame_no", "x", "y", (F.col("luma") - F.col("prev")).alias("d"))
+    from filmloom.operators.pictures import with_previous
+
+    # whole pictures are joined, a row each, and pixels made of them afterwards
+    both = with_previous(pictures(spark, sf_dir), ["luma"])
+    d = both.select("frame_no", F.posexplode(F.zip_with("luma", "prev_luma", lambda a, b: a - b)).alias("p", "d"))
+    return d.select("frame_no", (F.col("p") % 8).cast("bigint").alias("x"), F.floor(F.col("p") / 8).cast("bigint").alias("y"), "d")
 
 
 def psnr(sse, n, peak: float):

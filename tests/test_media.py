@@ -85,13 +85,17 @@ def test_running_xor(spark):
 
 
 def test_vectors_and_thresholds(spark):
-    from filmloom.operators.motion import vector_code, vectors
+    from filmloom.operators.motion import vector_code, vector_code_7
+    from filmloom.operators.pictures import temporal_vectors
 
-    v = spark.createDataFrame([(8,)], "r int")
+    v = spark.createDataFrame([(i, *x) for i, x in enumerate(temporal_vectors(8))], "ord long, dx long, dy long")
     code, bits_ = vector_code(F.col("ord"), F.col("dx"), F.col("dy"))
-    got = vectors(v.sparkSession, 8).select("dx", "dy", code.alias("c"), bits_.alias("b")).collect()
+    got = v.select("dx", "dy", code.alias("c"), bits_.alias("b")).collect()
     assert len(got) == 288 and len({(r.c, r.b) for r in got}) == 288 and {r.b for r in got} == {5, 6, 7, 10}
     at = {(r.dx, r.dy): (r.c & 3, r.c >> 2) for r in got}
     assert at[-1, -1] == (0, 0) and at[-1, 0] == (0, 3) and at[1, 0] == (0, 4) and at[1, 1] == (0, 7)
     assert at[-2, -2] == (2, 0) and at[3, 3] == (1, 31) and at[-8, -8] == (3, 0) and at[8, 8] == (3, 239)
+    code, bits_ = vector_code_7(F.col("ord"), F.lit(0), F.col("r"))
+    seven = spark.createDataFrame([(i, 1 if i < 8 else 2 if i < 24 else 4) for i in range(80)], "ord long, r long").select(code.alias("c"), bits_.alias("b")).collect()
+    assert len({(r.c, r.b) for r in seven}) == 80 and seven[0].c == 2 and seven[8].c == 1 and seven[79].c == 3 + 4 * 55
     assert len(quality.THRESHOLDS) == 29 and all(a <= b for x, y in zip(quality.THRESHOLDS, quality.THRESHOLDS[1:]) for a, b in zip(x, y))
