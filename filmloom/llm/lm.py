@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from filmloom.llm._shared import forget, release, written
 from filmloom.llm._text import SPACE, mix, words
 
-CHUNK, SHARD_KEYS = 1 << 20, 2_000_000
+CHUNK, SHARD_KEYS = 3 << 18, 2_000_000
 #: How many occurrences the lower order is worth, behind one word and behind two; good on held-out texts of sf0.1.
 BEHIND_ONE, BEHIND_TWO = 3000.0, 10.0
 _START, _END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
@@ -54,82 +54,100 @@ def _unpack(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).reshape(-1)
 
 
+def _key(x: np.ndarray, order: int) -> np.ndarray:
+    return mix(x) & ~np.uint64(3) | np.uint64(order)
+
+
 class Grams:
-    """The n-grams of a chunk: ``keys``, sorted and distinct, and for every token the places of its word, pair and trigram among them."""
+    """The n-grams of a chunk.
+
+    ``keys[o]`` are the sorted, distinct keys of order o + 1, ``at[o]`` the place of every position's n-gram among them,
+    -1 where there is none, and ``some[o]`` a position of each key. A text's positions are its start, words and end.
+    """
 
-    def __init__(self, vocab: np.ndarray, ids: np.ndarray, lengths: np.ndarray):
-        rows = len(lengths)
-        self.text = np.repeat(np.arange(rows), lengths + 2)
-        h = np.empty(len(self.text), np.uint64)
+    def __init__(self, vocab: np.ndarray, ids: np.ndarray, lengths: np.ndarray, orders: int = 3):
+        self.text = np.repeat(np.arange(len(lengths)), lengths + 2)
         begin = np.cumsum(lengths + 2) - (lengths + 2)
-        mark = np.zeros(len(h), bool)
+        mark = np.zeros(len(self.text), bool)
         mark[begin] = mark[begin + lengths + 1] = True
-        h[~mark] = vocab[ids]
-        h[begin], h[begin + lengths + 1] = _START, _END
-        self.token = np.ones(len(h), bool)
+        number = np.empty(len(mark), np.int64)
+        number[~mark] = ids
+        number[begin], number[begin + lengths + 1] = len(vocab), len(vocab) + 1
+        hashes = np.concatenate([vocab, [_START, _END]])
+        h = hashes[number]
+        self.token = np.ones(len(mark), bool)
         self.token[begin] = False
-        self.third = self.token.copy()
-        self.third[begin + 1] = False
-        k = np.zeros((3, len(h)), np.uint64)
-        k[0] = h * _BY[0]
-        k[1, 1:] = h[:-1] * _BY[0] + h[1:] * _BY[1]
-        k[2, 2:] = h[:-2] * _BY[0] + h[1:-1] * _BY[1] + h[2:] * _BY[2]
-        one, two, three = (mix(k[o]) & ~np.uint64(3) | np.uint64(o + 1) for o in range(3))
-        every = np.concatenate([one[self.token], two[self.token], three[self.third]])
-        self.keys, place = np.unique(every, return_inverse=True)
-        n = int(self.token.sum())
-        self.one, self.two, self.three = (np.full(len(h), -1, np.int64) for _ in range(3))
-        self.one[self.token], self.two[self.token], self.three[self.third] = place[:n], place[n : 2 * n], place[2 * n :]
-
-        self.lower = self.keys & np.uint64(3) != 3
-
-    def seen(self, train: np.ndarray) -> np.ndarray:
-        """How often the chunk's training texts have each key."""
-        own = train[self.text]
-        return sum(np.bincount(x[own & (x >= 0)], minlength=len(self.keys)) for x in (self.one, self.two, self.three))
+        third = self.token.copy()
+        third[begin + 1] = False
+        self.keys, self.at, self.some = [], [], []
+        # words are distinct already
+        one = _key(hashes * _BY[0], 1)
+        order = np.argsort(np.delete(one, len(vocab)))
+        rank = np.full(len(hashes), -1, np.int64)
+        rank[np.delete(np.arange(len(hashes)), len(vocab))[order]] = np.arange(len(order))
+        self.end = int(rank[-1])
+        self._add(np.delete(one, len(vocab))[order], rank[number])
+        if orders > 1:
+            two = np.flatnonzero(self.token)
+            self._sorted(_key(h[two - 1] * _BY[0] + h[two] * _BY[1], 2), two)
+        if orders > 2:
+            three = np.flatnonzero(third)
+            self._sorted(_key(h[three - 2] * _BY[0] + h[three - 1] * _BY[1] + h[three] * _BY[2], 3), three)
+
+    def _sorted(self, keys: np.ndarray, where: np.ndarray) -> None:
+        u, place = np.unique(keys, return_inverse=True)
+        at = np.full(len(self.text), -1, np.int64)
+        at[where] = place
+        self._add(u, at)
+
+    def _add(self, keys: np.ndarray, at: np.ndarray) -> None:
+        where = np.flatnonzero(at >= 0)
+        some = np.zeros(len(keys), np.int64)
+        some[at[where]] = where
+        self.keys.append(keys)
+        self.at.append(at)
+        self.some.append(some)
+
+    def seen(self, train: np.ndarray, order: int) -> np.ndarray:
+        """How often the chunk's training texts have each key of an order."""
+        own = self.at[order - 1][train[self.text] & (self.at[order - 1] >= 0)]
+        return np.bincount(own, minlength=len(self.keys[order - 1]))
 
     def elsewhere(self, shared: np.ndarray) -> np.ndarray:
-        """The trigrams that other chunks may have: those of which both pairs are in others; ``shared``: whether a word or pair is."""
-        more = np.zeros(len(self.keys), bool)
-        more[self.lower] = shared
-        own, first = np.unique(self.three, return_index=True)
-        own, first = own[own >= 0], first[own >= 0]
-        out = np.zeros(len(self.keys), bool)
-        out[own] = more[self.two[first - 1]] & more[self.two[first]]
-        return out
+        """The trigrams that other chunks may have: those of which both pairs are in others; ``shared``: whether a pair is."""
+        two, j = self.at[1], self.some[2]
+        return shared[two[j - 1]] & shared[two[j]]
 
 
 class Automaton:
-    """States and arcs that the texts of a chunk walk through; ``n``: the training count of every key of ``g``."""
+    """States and arcs that the texts of a chunk walk through; ``n``: the training counts of the keys of every order of ``g``."""
 
-    def __init__(self, g: Grams, n: np.ndarray, tokens: int, kinds: int):
-        self.g, self.n, self.word_log = g, n, np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
+    def __init__(self, g: Grams, n: list[np.ndarray], tokens: int, kinds: int):
+        self.g, self.n, self.word_log = g, n, np.log10((n[0] + 0.5) / (tokens + 0.5 * (kinds + 1)))
         p = 10.0**self.word_log
-        end = int(np.searchsorted(g.keys, (mix(np.array([_END]) * _BY[0]) & ~np.uint64(3) | np.uint64(1))[0]))
-        # the start mark is a context as often as there are ends
-        word = np.where(g.one >= 0, g.one, end)
-        self.arc, self.fail = np.full(len(n), -np.inf), np.zeros(len(n))
-        for at, context, below, worth in ((g.two, word, g.one, BEHIND_ONE), (g.three, g.two, g.two, BEHIND_TWO)):
-            own, first = np.unique(at, return_index=True)  # an n-gram's arc is that of any of its occurrences
-            own, first = own[own >= 0], first[own >= 0]
-            h = n[context[first - 1]].astype(np.float64)
-            p[own] = (n[own] + worth * p[below[first]]) / (h + worth)
-            has = n[own] > 0
-            self.arc[own[has]] = np.log10(p[own[has]])
-            self.fail[own] = np.log10(worth / (h + worth))
+        self.arc, self.fail = [], []
+        for o, worth in ((1, BEHIND_ONE), (2, BEHIND_TWO)):
+            j = g.some[o]  # an n-gram's arc is that of any of its occurrences
+            context = g.at[o - 1][j - 1]
+            if o == 1:  # the start mark is a context as often as there are ends
+                context = np.where(context >= 0, context, g.end)
+            h = n[o - 1][context].astype(np.float64)
+            p = (n[o] + worth * p[g.at[o - 1][j]]) / (h + worth)
+            self.arc.append(np.where(n[o] > 0, np.log10(p), -np.inf))
+            self.fail.append(np.log10(worth / (h + worth)))
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
         """log10 of every token: its arc from the longest context, or the failure arcs down to one that has it."""
         g = self.g
-        base = np.where(g.token, self.word_log[g.one], 0.0)
+        base = np.where(g.token, self.word_log[g.at[0]], 0.0)
         score, todo = np.zeros(len(base)), g.token.copy()
-        for at in (g.three, g.two):
-            has = todo & (at >= 0)
-            arc = has & np.isfinite(self.arc[at])
-            score[arc] += self.arc[at[arc]]
-            todo &= ~arc
-            fails = has & ~arc
-            score[fails] += self.fail[at[fails]]
+        for o in (2, 1):
+            has = np.flatnonzero(todo & (g.at[o] >= 0))
+            at = g.at[o][has]
+            arc = self.arc[o - 1][at]
+            taken = np.isfinite(arc)
+            score[has] += np.where(taken, arc, self.fail[o - 1][at])
+            todo[has[taken]] = False
         score[todo] += base[todo]
         return base, score
 
@@ -175,24 +193,25 @@ def chunks(docs: DataFrame, train: Column, cols: list[str], text_col: str, chunk
     return own.mapInArrow(pack, f"chunk bigint, tokens bigint, train_tokens bigint, rows array<struct<{fields},n:bigint>>, vocab binary, ids binary")
 
 
-def _grams(b: pa.RecordBatch | pa.Table, i: int) -> tuple[Grams, np.ndarray, pa.StructArray]:
+def _grams(b: pa.RecordBatch | pa.Table, i: int, orders: int = 3) -> tuple[Grams, np.ndarray, pa.StructArray]:
     rows = b["rows"][i].values
-    g = Grams(_unpack(b["vocab"][i].as_py(), np.uint64), _unpack(b["ids"][i].as_py(), np.uint32), rows.field("n").to_numpy())
+    g = Grams(_unpack(b["vocab"][i].as_py(), np.uint64), _unpack(b["ids"][i].as_py(), np.uint32), rows.field("n").to_numpy(), orders)
     return g, rows.field("train").to_numpy(zero_copy_only=False), rows
 
 
-def _asks(chunk: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
-    """(shard, chunk, keys, counts) of a chunk's sorted keys."""
+def _asks(chunk: int, order: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
+    """(shard, chunk, n, keys, counts) of a chunk's sorted keys of an order."""
     shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
     at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else np.zeros(0, np.int64)
     cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=False))
+    same = lambda x, kind: pa.array(np.full(len(at), x), kind)
     return pa.table(
-        {"shard": pa.array(shard[at].astype(np.int32)), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "keys": pa.array([_pack(np.diff(keys[a:z], prepend=np.uint64(0))) for a, z in cuts], pa.binary()), "counts": pa.array([_pack(counts[a:z].astype(np.uint32)) for a, z in cuts], pa.binary())}
+        {"shard": pa.array(shard[at].astype(np.int32)), "chunk": same(chunk, pa.int64()), "n": same(order, pa.int32()), "keys": pa.array([_pack(np.diff(keys[a:z], prepend=np.uint64(0))) for a, z in cuts], pa.binary()), "counts": pa.array([_pack(counts[a:z].astype(np.uint32)) for a, z in cuts], pa.binary())}
     )
 
 
-def _answers(asks: DataFrame, level: int) -> DataFrame:
-    """(chunk, level, shard, totals, kinds): of a chunk's keys in a shard twice the training count, plus one if other chunks have the key.
+def _answers(asks: DataFrame) -> DataFrame:
+    """(chunk, n, shard, totals, kinds): of a chunk's keys in a shard twice the training count, plus one if other chunks have the key.
 
     Chunk -1 has the shard's number of distinct training words.
     """
@@ -208,17 +227,17 @@ def _answers(asks: DataFrame, level: int) -> DataFrame:
         n = t.num_rows
         return pa.table(
             {
-                "chunk": pa.array([*t["chunk"].to_pylist(), -1], pa.int64()), "level": pa.array([level] * (n + 1), pa.int32()), "shard": pa.array([t["shard"][0].as_py()] * (n + 1), pa.int32()),
+                "chunk": pa.array([*t["chunk"].to_pylist(), -1], pa.int64()), "n": pa.array([*t["n"].to_pylist(), 0], pa.int32()), "shard": pa.array([t["shard"][0].as_py()] * (n + 1), pa.int32()),
                 "totals": pa.array([*map(_pack, back), None], pa.binary()), "kinds": pa.array([0] * n + [kinds], pa.int64()),
             }
         )
 
-    return asks.groupBy("shard").applyInArrow(add, "chunk bigint, level int, shard int, totals binary, kinds bigint")
+    return asks.groupBy("shard").applyInArrow(add, "chunk bigint, n int, shard int, totals binary, kinds bigint")
 
 
-def _told(t: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counts that a level's answers give, and whether other chunks have the keys, in the order of the keys asked for."""
-    own = sorted((s, x) for s, at, x in zip(t["shard"].to_pylist(), t["level"].to_pylist(), t["totals"].to_pylist(), strict=True) if at == level)
+def _told(t: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts that the answers give for an order, and whether other chunks have the keys, as the keys were asked for."""
+    own = sorted((s, x) for s, n, x in zip(t["shard"].to_pylist(), t["n"].to_pylist(), t["totals"].to_pylist(), strict=True) if n == order)
     told = np.concatenate([np.zeros(0, np.int64), *[_unpack(x, np.uint64).astype(np.int64) for _, x in own]])
     return told >> 1, told & 1 > 0
 
@@ -235,37 +254,37 @@ def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens:
     packed = written(chunks(docs, train, cols, text_col, chunk_tokens), "lm-chunks")
     size = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
     shards = max(1, -(-size["all"] // shard_keys))
-    fields = "shard int, chunk bigint, keys binary, counts binary"
+    fields = "shard int, chunk bigint, n int, keys binary, counts binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                g, train, _ = _grams(b, i)
-                yield from _asks(b["chunk"][i].as_py(), g.keys[g.lower], g.seen(train)[g.lower], shards).to_batches()
+                g, train, _ = _grams(b, i, 2)
+                for order in (1, 2):
+                    yield from _asks(b["chunk"][i].as_py(), order, g.keys[order - 1], g.seen(train, order), shards).to_batches()
 
     def ask_more(chunk: pa.Table, told: pa.Table) -> pa.Table:
         g, train, _ = _grams(chunk.combine_chunks(), 0)
-        seen, want = g.seen(train), g.elsewhere(_told(told, 2)[1])
-        return _asks(chunk["chunk"][0].as_py(), g.keys[want], seen[want], shards)
+        want = g.elsewhere(_told(told, 2)[1])
+        return _asks(chunk["chunk"][0].as_py(), 3, g.keys[2][want], g.seen(train, 3)[want], shards)
 
-    two = written(_answers(packed.mapInArrow(ask, fields), 2), "lm-pairs")
+    two = written(_answers(packed.mapInArrow(ask, fields)), "lm-pairs")
     release(docs.sparkSession)
     kinds, tokens = two.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("k")).first()["k"], size["train"]
     asked = packed.groupBy("chunk").cogroup(two.where("chunk >= 0").groupBy("chunk")).applyInArrow(ask_more, fields)
-    three = written(_answers(asked, 3), "lm-trigrams")
+    three = written(_answers(asked), "lm-trigrams")
     del asked
     release(docs.sparkSession)
     totals = two.union(three).where("chunk >= 0")
 
     def score(chunk: pa.Table, told: pa.Table) -> pa.Table:
         g, train, rows = _grams(chunk.combine_chunks(), 0)
-        n = g.seen(train)
-        lower, shared = _told(told, 2)
-        n[g.lower] = lower
-        n[g.elsewhere(shared)] = _told(told, 3)[0]
-        a = Automaton(g, n, tokens, kinds)
+        two, shared = _told(told, 2)
+        three = g.seen(train, 3)
+        three[g.elsewhere(shared)] = _told(told, 3)[0]
+        a = Automaton(g, [_told(told, 1)[0], two, three], tokens, kinds)
         base, full = a.read()
-        n, known = (np.bincount(g.text, x, minlength=len(rows)) for x in (g.token, g.token & (a.n[g.one] > 0)))
+        n, known = (np.bincount(g.text, x, minlength=len(rows)) for x in (g.token, g.token & (a.n[0][g.at[0]] > 0)))
         own = [rows.field(f"c{i}") for i in range(len(cols))]
         return pa.Table.from_arrays(
             [*own, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(rows), tokens, np.int64)), *[pa.array(np.bincount(g.text, x, minlength=len(rows))) for x in (base, full)]],
