@@ -127,12 +127,16 @@ def nibbles(payload: Column, high_first: bool) -> Column:
     return F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(0), F.length(h) - 1), lambda i: digit(swap(i)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def sound_decoder(codec: Column, precision: Column, label: Column, name: Column) -> Column:
-    """The decoder of a track from a movie's header; null where there is no track, ``unknown`` where none fits."""
+def sound_decoder(codec: Column, precision: Column, label: Column, name: Column, video: Column | None = None) -> Column:
+    """The decoder of a track from a movie's header; null where there is no track, ``unknown`` where none fits.
+
+    ``video`` is the movie's video codec: codec 500 brings sound of its own, whatever the track says.
+    """
     has = lambda c, t: F.contains(F.lower(c), F.lit(t))
     linear = F.when(has(label, "unsign"), "unsigned-8").otherwise("signed-8")
     eight = F.when(has(label, "alaw") | has(label, "a-law"), "alaw").when(has(label, "lin"), linear).otherwise("ulaw")
     first = F.when((precision == 4) | has(label, "adpcm"), "adpcm").when(precision == 16, "signed-16").when(precision == 8, eight).otherwise("unknown")
     escape = F.when(precision == 4, "escape-adpcm").when(precision == 8, "unsigned-8").when(precision == 16, "signed-16").otherwise("unknown")
     named = F.when(has(name, "adpcm"), "adpcm").otherwise("unknown")
-    return F.when(codec == 0, F.lit(None).cast("string")).when(codec == 2, named).when(codec == 101, escape).when(codec == 1, first).otherwise("unknown")
+    iota = F.lit(False) if video is None else video == 500
+    return F.when(codec == 0, F.lit(None).cast("string")).when(iota, "iota").when(codec == 2, named).when(codec == 101, escape).when(codec == 1, first).otherwise("unknown")

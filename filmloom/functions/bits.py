@@ -42,3 +42,17 @@ def crc32_msb(payload: Column) -> Column:
 def bytes_of_bits(bits: Column, n: int) -> Column:
     """A string of 8 n binary digits, the last bit written first, as upper-case hex of bytes written lowest first."""
     return F.concat(*[F.lpad(F.conv(F.substring(bits, 8 * (n - 1 - i) + 1, 8), 2, 16), 2, "0") for i in range(n)])
+
+
+def little_endian(n: Column, size: int) -> Column:
+    """A number's lowest ``size`` bytes as binary, the lowest first."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(size)])
+
+
+def wav_header(data_bytes: Column, rate: int, channels: int) -> Column:
+    """The 44 bytes before sixteen-bit samples in a sound file."""
+    text = lambda t: F.encode(F.lit(t), "US-ASCII")
+    word = lambda n, size: little_endian(F.lit(n), size)
+    return F.concat(
+        text("RIFF"), little_endian(data_bytes + 36, 4), text("WAVEfmt "), word(16, 4), word(1, 2), word(channels, 2), word(rate, 4), word(rate * channels * 2, 4), word(channels * 2, 2), word(16, 2), text("data"), little_endian(data_bytes, 4)
+    )

@@ -26,21 +26,18 @@ def first_level(most: Column, over: list[Column], chroma: Column, total: Column,
 
 
 def rate_level(size: Callable[[Column], Column], start: Column, target: int, low: float = 0.9, high: float = 1.025) -> Column:
-    """(level, retries, way): where one-level retries from ``start`` end; ``size`` gives the bytes at a level.
+    """(level, retries): where one-level retries from ``start`` end; ``size`` gives the bytes at a level.
 
-    Below the window the level falls, above it it rises, and once it has moved one way it never moves the other.
+    Below the window the level falls until it is not below, above it it rises until it is not above, and it never turns
+    back: so it is the next level that way, from the start on, that is large or small enough, or else the last one.
     """
-    least, most = int(target * low), int(target * high)
-
-    def attempt(s: Column, _: Column) -> Column:
-        n = size(s["level"])
-        down = (s["way"] <= 0) & (n < least) & (s["level"] > 0)
-        up = (s["way"] >= 0) & (n > most) & (s["level"] < len(THRESHOLDS) - 1)
-        move = F.when(down, -1).when(up, 1).otherwise(0).cast("bigint")
-        return F.struct((s["level"] + move).alias("level"), (s["retries"] + F.abs(move)).alias("retries"), F.when(move == 0, s["way"]).otherwise(move).alias("way"))
-
-    zero = F.lit(0).cast("bigint")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(THRESHOLDS))), F.struct(start.cast("bigint").alias("level"), zero.alias("retries"), zero.alias("way")), attempt)
+    least, most, last = int(target * low), int(target * high), len(THRESHOLDS) - 1
+    levels = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda l: F.struct(l.cast("bigint").alias("level"), size(l).alias("n")))
+    down = F.array_max(F.filter(levels, lambda x: (x["level"] <= start) & (x["n"] >= least)))["level"]
+    up = F.array_min(F.filter(levels, lambda x: (x["level"] >= start) & (x["n"] <= most)))["level"]
+    own = size(start)
+    level = F.when(own < least, F.coalesce(down, F.lit(0))).when(own > most, F.coalesce(up, F.lit(last))).otherwise(start).cast("bigint")
+    return F.struct(level.alias("level"), F.abs(level - start).cast("bigint").alias("retries"))
 
 
 def running_xor(df: DataFrame, keys: list[str], order: str, value: str, block: int = 256) -> DataFrame:

@@ -106,20 +106,22 @@ def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIR_SQL = f"""WITH {_QUANT_SQL}, s AS (SELECT event_id // 2 AS pair, event_id % 2 AS k, y, CASE WHEN u < 16 THEN u ELSE u - 32 END AS u, CASE WHEN v < 16 THEN v ELSE v - 32 END AS v FROM q),
 w AS (SELECT pair, sum(CASE WHEN k = 0 THEN y ELSE y << 6 END) + (CAST(floor(sum(u) / 2) AS BIGINT) & 31) * 4096 + (CAST(floor(sum(v) / 2) AS BIGINT) & 31) * 131072 AS w FROM s GROUP BY pair HAVING count(*) = 2),
-b AS (SELECT pair // 4 AS run, sum(CAST(w AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(22 * (pair % 4) AS INT))) AS h FROM w GROUP BY 1 HAVING count(*) = 4)
-SELECT run, """ + " || ".join(f"printf('%02X', CAST(h // (CAST(1 AS HUGEINT) << {8 * i}) % 256 AS BIGINT))" for i in range(11)) + " AS bytes FROM b"
+b AS (SELECT pair // 4 AS run, sum(CAST(w AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(22 * (pair % 4) AS INT))) AS h, count(*) AS n FROM w GROUP BY 1)
+SELECT run, substr(""" + " || ".join(f"printf('%02X', CAST(h // (CAST(1 AS HUGEINT) << {8 * i}) % 256 AS BIGINT))" for i in range(11)) + ", 1, CAST((22 * n + 7) // 8 * 2 AS BIGINT)) AS bytes FROM b"
 
 
 @query("shared_chroma_pairs", _PAIR_SQL)
 def shared_chroma_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of pixels with two lumas and one chroma in 22 bits; four pairs are eleven bytes."""
+    """Pairs of pixels with two lumas and one chroma in 22 bits; four pairs are eleven bytes, and the last of fewer as many as they need."""
     q = quantised(spark, sf_dir)
     first = F.col("event_id") % 2 == 0
     mean = lambda c: F.floor(F.sum(colour.signed_chroma(F.col(c))) / 2).bitwiseAND(F.lit(31))
     pair = q.groupBy(F.floor(F.col("event_id") / 2).alias("pair")).agg(F.count("*").alias("n"), F.sum(F.when(first, F.col("y")).otherwise(F.shiftleft("y", 6))).alias("yy"), mean("u").alias("u"), mean("v").alias("v")).where("n = 2")
     word = F.lpad(F.bin(F.col("yy") + F.shiftleft("u", 12) + F.shiftleft("v", 17)), 22, "0")
-    run = pair.groupBy(F.floor(F.col("pair") / 4).alias("run")).agg(*[F.max(F.when(F.col("pair") % 4 == k, word)).alias(f"w{k}") for k in range(4)], F.count("*").alias("n")).where("n = 4")
-    return run.select("run", bits.bytes_of_bits(F.concat("w3", "w2", "w1", "w0"), 11).alias("bytes"))
+    run = pair.groupBy(F.floor(F.col("pair") / 4).alias("run")).agg(*[F.max(F.when(F.col("pair") % 4 == k, word)).alias(f"w{k}") for k in range(4)], F.count("*").alias("n"))
+    none = F.lit("0" * 22)
+    every = bits.bytes_of_bits(F.concat(*[F.coalesce(f"w{k}", none) for k in (3, 2, 1, 0)]), 11)
+    return run.select("run", F.substring(every, F.lit(1), (F.floor((22 * F.col("n") + 7) / 8) * 2).cast("int")).alias("bytes"))
 
 
 _CODES_SQL = "codes AS (SELECT c, CASE WHEN c % 2 = 1 THEN -m ELSE m END AS v, c % 2 AS neg FROM (SELECT c, CAST(8 * (16 + c // 2 % 16) * (1 << CAST(c // 32 AS INT)) - 128 AS BIGINT) AS m FROM (SELECT unnest(range(256)) AS c)))"
@@ -133,12 +135,12 @@ def e8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", "code", audio.e8_to_s16(F.col("code")).alias("s16"))
 
 
-@query("e8_snr", f"{_E8_SQL} SELECT user_id, round(10 * log10(CAST(sum(s16 * s16) AS DOUBLE) / CAST(sum((s16 - v) * (s16 - v)) AS DOUBLE)), 6) AS snr FROM e JOIN codes ON c = code GROUP BY user_id HAVING sum((s16 - v) * (s16 - v)) > 0")
+@query("e8_snr", f"{_E8_SQL} SELECT user_id, CASE WHEN sum((s16 - v) * (s16 - v)) = 0 THEN CAST('Infinity' AS DOUBLE) ELSE round(10 * log10(CAST(sum(s16 * s16) AS DOUBLE) / CAST(sum((s16 - v) * (s16 - v)) AS DOUBLE)), 6) END AS snr FROM e JOIN codes ON c = code GROUP BY user_id")
 def e8_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per track the signal-to-noise ratio of exponential bytes; tracks without an error are left out."""
+    """Per track the signal-to-noise ratio of exponential bytes, infinite without an error."""
     e = F.col("s16") - audio.e8_to_s16(audio.e8_of_s16(F.col("s16")))
-    g = pcm(spark, sf_dir).groupBy("user_id").agg(F.sum(F.col("s16") * F.col("s16")).alias("p"), F.sum(e * e).alias("q")).where("q > 0")
-    return g.select("user_id", F.round(10 * F.log10(F.col("p").cast("double") / F.col("q").cast("double")), 6).alias("snr"))
+    g = pcm(spark, sf_dir).groupBy("user_id").agg(F.sum(F.col("s16") * F.col("s16")).alias("p"), F.sum(e * e).alias("q"))
+    return g.select("user_id", F.when(F.col("q") == 0, float("inf")).otherwise(F.round(10 * F.log10(F.col("p").cast("double") / F.col("q").cast("double")), 6)).alias("snr"))
 
 
 #: Event ids of one sound chunk; a chunk starts from a state of its own, so chunks are coded apart from each other.
@@ -403,6 +405,8 @@ def streamed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="filmloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     run = f"{base.rstrip('/')}/deltas-{uuid.uuid4().hex}"
@@ -481,7 +485,7 @@ def device_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sound_decoders",
     """WITH s AS (SELECT event_id, [0, 1, 2, 101, 3][event_id % 5 + 1] AS codec, [4, 8, 16][event_id % 3 + 1] AS bits, ['bits per sample (exponential)', 'bits linear', 'bits linear unsigned', 'A-law bits', 'IMA ADPCM', ''][event_id % 7 % 6 + 1] AS label FROM events)
-SELECT event_id, CASE WHEN codec = 0 THEN NULL WHEN codec = 2 THEN CASE WHEN label ILIKE '%adpcm%' THEN 'adpcm' ELSE 'unknown' END
+SELECT event_id, CASE WHEN codec = 0 THEN NULL WHEN event_id % 13 = 6 THEN 'iota' WHEN codec = 2 THEN CASE WHEN label ILIKE '%adpcm%' THEN 'adpcm' ELSE 'unknown' END
  WHEN codec = 101 THEN CASE bits WHEN 4 THEN 'escape-adpcm' WHEN 8 THEN 'unsigned-8' ELSE 'signed-16' END
  WHEN codec <> 1 THEN 'unknown' WHEN bits = 4 OR label ILIKE '%adpcm%' THEN 'adpcm' WHEN bits = 16 THEN 'signed-16'
  WHEN label ILIKE '%a-law%' THEN 'alaw' WHEN label ILIKE '%lin%unsign%' THEN 'unsigned-8' WHEN label ILIKE '%lin%' THEN 'signed-8' ELSE 'ulaw' END AS decoder FROM s""",
@@ -491,4 +495,4 @@ def sound_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda values, n: F.array(*[F.lit(v) for v in values])[n.cast("int")]
     e = F.col("event_id")
     label = of(["bits per sample (exponential)", "bits linear", "bits linear unsigned", "A-law bits", "IMA ADPCM", ""], e % 7 % 6)
-    return table(spark, sf_dir, "events").select("event_id", audio.sound_decoder(of([0, 1, 2, 101, 3], e % 5), of([4, 8, 16], e % 3), label, label).alias("decoder"))
+    return table(spark, sf_dir, "events").select("event_id", audio.sound_decoder(of([0, 1, 2, 101, 3], e % 5), of([4, 8, 16], e % 3), label, label, F.when(e % 13 == 6, 500).otherwise(19)).alias("decoder"))

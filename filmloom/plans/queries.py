@@ -259,15 +259,18 @@ def frame_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "frame_rates",
-    "SELECT event_id, CAST(round(1000 * value) AS BIGINT) // gcd(CAST(round(1000 * value) AS BIGINT), 1000) AS num, 1000 // gcd(CAST(round(1000 * value) AS BIGINT), 1000) AS den FROM events WHERE value > 0",
+    """WITH d AS (SELECT event_id, value - 20 AS fps, greatest(1, CAST(floor((value - 20) * 1000 + 0.5) AS BIGINT)) AS d FROM events)
+SELECT event_id, CASE WHEN fps > 0 THEN 1000 // gcd(1000, d) ELSE 1 END AS num, CASE WHEN fps > 0 THEN d // gcd(1000, d) ELSE 25 END AS den FROM d""",
 )
 def frame_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame rates as reduced fractions of thousandths, by Euclid's algorithm in a fold."""
-    n = F.round(1000 * F.col("value")).cast("bigint")
+    """Time bases of frame rates, in thousandths, reduced by Euclid's algorithm in a fold; a rate that is not positive counts as 25."""
+    fps = F.col("value") - 20
+    n = F.greatest(F.lit(1).cast("bigint"), F.floor(fps * 1000 + 0.5).cast("bigint"))
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.greatest(s["b"], F.lit(1))).cast("bigint").alias("b"))
     gcd = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(n.alias("a"), F.lit(1000).cast("bigint").alias("b")), step)["a"]
-    e = table(spark, sf_dir, "events").where("value > 0").withColumn("g", gcd)
-    return e.select("event_id", F.floor(n / F.col("g")).cast("bigint").alias("num"), F.floor(F.lit(1000) / F.col("g")).cast("bigint").alias("den"))
+    e = table(spark, sf_dir, "events").select("event_id", fps.alias("fps"), n.alias("d"), gcd.alias("g"))
+    own = lambda x, other: F.when(F.col("fps") > 0, F.floor(x / F.col("g"))).otherwise(F.lit(other)).cast("bigint")
+    return e.select("event_id", own(F.lit(1000), 1).alias("num"), own(F.col("d"), 25).alias("den"))
 
 
 @query(

@@ -65,13 +65,13 @@ def test_checksum_and_dither(spark):
     assert sorted(v for row in colour.bayer(8) for v in row) == list(range(64))
 
 
-@pytest.mark.parametrize("sizes,start,want", [([1100, 1000], 7, (8, 1, 1)), ([850, 850, 1000], 7, (5, 2, -1)), ([1000], 3, (3, 0, 0)), ([5000] * 40, 26, (28, 2, 1))])
+@pytest.mark.parametrize("sizes,start,want", [([1100, 1000], 7, (8, 1)), ([850, 850, 1000], 7, (5, 2)), ([1000], 3, (3, 0)), ([5000] * 40, 26, (28, 2))])
 def test_rate(spark, sizes, start, want):
     # the n-th attempt's size; attempts differ from the start by their retries
     seq = F.array(*[F.lit(v) for v in sizes])
     size = lambda level: F.get(seq, F.least(F.abs(level - start), F.lit(len(sizes) - 1)).cast("int"))
     r = spark.range(1).select(quality.rate_level(size, F.lit(start), 1000).alias("s")).first().s
-    assert (r.level, r.retries, r.way) == want
+    assert (r.level, r.retries) == want
 
 
 def test_running_xor(spark):
@@ -99,3 +99,47 @@ def test_vectors_and_thresholds(spark):
     seven = spark.createDataFrame([(i, 1 if i < 8 else 2 if i < 24 else 4) for i in range(80)], "ord long, r long").select(code.alias("c"), bits_.alias("b")).collect()
     assert len({(r.c, r.b) for r in seven}) == 80 and seven[0].c == 2 and seven[8].c == 1 and seven[79].c == 3 + 4 * 55
     assert len(quality.THRESHOLDS) == 29 and all(a <= b for x, y in zip(quality.THRESHOLDS, quality.THRESHOLDS[1:]) for a, b in zip(x, y))
+
+
+def test_prefix_codes(spark):
+    from filmloom.operators import codes
+
+    own = codes.canonical([1, 3, 3, 2])
+    assert own == ["0", "110", "111", "10"]
+    codes.check(own)
+    for bad in (["0", "01"], ["", "1"], ["10", "10"]):
+        with pytest.raises(ValueError):
+            codes.check(bad)
+    with pytest.raises(ValueError):
+        codes.canonical([1, 1, 1])
+    d = spark.createDataFrame([([3, 0, 2, 1],), ([],)], "s array<int>").select("s", codes.written(F.col("s"), own).alias("w"))
+    assert [(r.w, r.x) for r in d.select("w", codes.read(F.col("w"), own).alias("x")).collect()] == [("100111110", [3, 0, 2, 1]), ("", [])]
+    assert spark.range(1).select(codes.read(F.lit("011"), own).alias("x")).first().x is None
+
+
+def test_reports_and_words(spark):
+    from filmloom.plans.reports import report_totals
+
+    lines = ["codec=19 size=16x8", "reference=a sse_y=10 max_error_y=3 sse_u=0 max_error_u=0 sse_v=1 max_error_v=1", "summary payload_bytes=7 words without", "other sse_y=99", "codec=19 size=16x8", "reference=b sse_y=5 max_error_y=9 sse_u=0"]
+    r = report_totals(spark.createDataFrame([(1, x) for x in lines], "r int, l string"), "r", "l").first()
+    assert (r.frames, r.pixels, r.payload_bytes, r.sse_y, r.max_error_y, r.sse_u, r.sse_v) == (2, 256, 7, 15, 9, 0, 1) and r.psnr_u == float("inf")
+    w = spark.createDataFrame([(5, 31, 16), (64, 0, 0), (-1, 0, 0), (0, 32, 0)], "y long, u long, v long")
+    got = w.select(colour.word("6Y5UV", F.col("y"), F.col("u"), F.col("v")).alias("w")).collect()
+    assert [x.w for x in got] == [5 | 31 << 6 | 16 << 11, None, None, None]
+    f = spark.createDataFrame([(5 | 31 << 6 | 16 << 11,)], "w long").select(*[c.alias(n) for n, c in zip("yuv", colour.fields("6Y5UV", F.col("w")))]).first()
+    assert (f.y, f.u, f.v) == (5, 31, 16)
+
+
+def test_picture_search(spark):
+    from filmloom.operators.pictures import best_vectors, copy_profiles, temporal_vectors, with_previous
+
+    own = np.random.default_rng(8)
+    first = own.integers(0, 64, (8, 8))
+    moved = np.roll(first, (1, 2), (0, 1))  # what is at x, y was at x - 2, y - 1
+    d = spark.createDataFrame([(0, first.ravel().tolist()), (1, moved.ravel().tolist())], "frame_no long, y array<long>")
+    pairs = with_previous(d, ["y"])
+    got = {(r.bx, r.brow): (r.dx, r.dy, r.err) for r in best_vectors(pairs, ["y"]).collect()}
+    assert got[1, 1] == (-2, -1, 0) and len(temporal_vectors()) == 288
+    for r in copy_profiles(pairs, 2, ["y"]).collect():
+        a, b = (p[2 * r.brow : 2 * r.brow + 2, 2 * r.bx : 2 * r.bx + 2] for p in (first, moved))
+        assert r.total == abs(a - b).sum() and r.over_3 == (abs(a - b) > 3).sum() and r.most == abs(a - b).max()
