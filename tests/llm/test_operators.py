@@ -145,6 +145,42 @@ def test_jaccard_components(docs, nothing, n, percent):
     assert jaccard_components(nothing, n, percent).count() == 0
 
 
+def test_jaccard_lookalikes(spark):
+    """Hundreds of copies of one text, most pairs just below the threshold, some just above: the components are exactly those of brute force."""
+    from filmloom.llm.ngram_join import jaccard_components
+
+    own = np.random.default_rng(31)
+    base = [f"b{i}" for i in range(300)]
+    spots = list(range(5, 295, 10))
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for at in own.choice(spots, int(own.integers(3, 6)), replace=False).tolist():
+            w[at] = f"x{i}y{at}" if own.random() < 0.8 else f"z{at}"
+        texts.append(" ".join(w))
+    texts += texts[:3] + [" ".join(base[:150]), " ".join(base[:141])]
+    sets = [shingle_set(t, 3) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if 100 * k >= 90 * len(sets[a] | sets[b]):
+                links += 1
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert 0 < links < len(sets) * 60
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 3, 90).collect()
+    assert {r._id: r.component_id for r in got} == {i: top(i) for i in range(len(sets))}
+    assert len({top(i) for i in range(len(sets))}) > 20
+
+
 def test_line_dedup(docs, nothing):
     from filmloom.llm.line_dedup import marked, without_repeated_runs
 
@@ -489,3 +525,54 @@ def test_digest_matches_sql(docs):
     from filmloom.llm.decontamination import digest
 
     assert digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+TABLES = "/root/testdata/sf0.001"
+
+
+def from_sql(sql):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(TABLES):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{TABLES}/documents.parquet')")
+    return {r[0]: r[1:] for r in con.sql(sql).fetchall()}
+
+
+def test_licenses_match_sql(spark):
+    """What the contract fixes of op6, by SQL over a given table."""
+    from filmloom.llm.q_licenses import op6_license_scan
+
+    flat = "' ' || array_to_string(w, ' ') || ' '"
+    at = lambda phrase: f"list_filter(range(1, len(w) + 1), lambda i: array_to_string(list_slice(w, i, i + {len(phrase.split()) - 1}), ' ') = '{phrase}')"
+    want = from_sql(f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, CASE WHEN {flat} LIKE '% cc by %' THEN {at("cc by")} ELSE [] END AS a, CASE WHEN {flat} LIKE '% general public license %' THEN {at("general public license")} ELSE [] END AS b,
+  CASE WHEN {flat} LIKE '% all rights reserved %' THEN {at("all rights reserved")} ELSE [] END AS c FROM d),
+q AS (SELECT *, list_concat(list_concat(a, b), c) AS every FROM p)
+SELECT doc_id, n, len(every), list_min(every) - 1, list_max(every) - 1, array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') FROM q""")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in op6_license_scan(spark, TABLES).collect()}
+    assert got == want and any(r[1] for r in want.values())
+
+
+def test_secrets_match_sql(spark):
+    """What the contract fixes of op10, by SQL over a given table: places from the pieces between matches."""
+    from filmloom.llm.q_secrets import op10_secret_scan
+
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+    value = assign.replace("[A-Za-z0-9+/_.=-]+", "([A-Za-z0-9+/_.=-]+)")
+
+    def spans(kind, pattern, order, keep):
+        return f"""SELECT doc_id, unnest(list_transform(range(1, len(hit) + 1), lambda i: {{'kind': '{kind}', 'ord': {order}, 'hit': hit[i],
+ 'place': list_sum(list_transform(list_slice(gap, 1, i), lambda g: length(g))) + coalesce(list_sum(list_transform(list_slice(hit, 1, i - 1), lambda g: length(g))), 0)}}), recursive := true) FROM (
+ SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hit, regexp_split_to_array(text, '{pattern}') AS gap FROM documents WHERE regexp_matches(text, '{pattern}')) """, keep
+
+    parts = [spans("assign", assign, 0, f"length(regexp_extract(hit, '{value}', 1)) >= 6"), spans("access", "AKIA[A-Z0-9]+", 1, "length(hit) >= 20"), spans("hex", "[0-9a-f]+", 2, "length(hit) >= 24")]
+    every = " UNION ALL ".join(f"SELECT * FROM ({sql}) WHERE {keep}" for sql, keep in parts)
+    want = from_sql(f"""WITH s AS ({every}), g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+  sha256(string_agg(kind || ':' || CAST(place AS BIGINT) || ':' || CAST(place + length(hit) AS BIGINT), ',' ORDER BY place, ord)) AS sha FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(sha, sha256('')) FROM documents LEFT JOIN g USING (doc_id)""")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in op10_secret_scan(spark, TABLES).collect()}
+    assert got == want and any(sum(r[:3]) for r in want.values())
