@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +78,23 @@ def adpcm_state(predicted: Column, index: Column, samples: Column | None = None)
     return F.struct(predicted.cast("bigint").alias("p"), index.cast("bigint").alias("i"), (F.array().cast("array<bigint>") if samples is None else samples).alias("out"))
 
 
+#: Values folded into one array; arrays of these are put together afterwards, so nothing grows value by value beyond it.
+BLOCK = 256
+
+
+def _folded(values: Column, start: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """The fold of an array from a start state, a block at a time with the state carried over."""
+
+    def block(s: Column, own: Column) -> Column:
+        inner = F.aggregate(own, adpcm_state(s["p"], s["i"]), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r["p"].alias("p"), r["i"].alias("i"), F.concat(s["out"], F.array(r["out"])).alias("out")))[0]
+
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(values) - 1), F.lit(BLOCK))
+    zero = F.struct(start["p"].alias("p"), start["i"].alias("i"), F.array().cast("array<array<bigint>>").alias("out"))
+    done = F.transform(F.array(values), lambda v: F.aggregate(F.transform(cuts, lambda at: F.slice(v, at + 1, BLOCK)), zero, block))[0]
+    return F.transform(F.array(done), lambda s: adpcm_state(s["p"], s["i"], F.concat(start["out"], F.flatten(s["out"]))))[0]
+
+
 def ima_decode(codes: Column, start: Column) -> Column:
     """Fold of an array of four-bit codes from a start state; ``out`` gets the samples."""
 
@@ -85,7 +104,7 @@ def ima_decode(codes: Column, start: Column) -> Column:
         p = _s16(s["p"] + F.when(_bit(c, 8), -d).otherwise(d))
         return adpcm_state(p, _moved(s["i"], c), F.concat(s["out"], F.array(p)))
 
-    return F.aggregate(codes, start, one)
+    return _folded(codes, start, one)
 
 
 def ima_encode(samples: Column, start: Column) -> Column:
@@ -104,7 +123,7 @@ def ima_encode(samples: Column, start: Column) -> Column:
         code = (F.when(x < s["p"], 8).otherwise(0) + c4 + c2 + c1).cast("bigint")
         return adpcm_state(_s16(s["p"] + F.when(x < s["p"], -d).otherwise(d)), _moved(s["i"], code), F.concat(s["out"], F.array(code)))
 
-    return F.aggregate(samples, start, one)
+    return _folded(samples, start, one)
 
 
 def escape_decode(codes: Column, start: Column) -> Column:
@@ -116,7 +135,7 @@ def escape_decode(codes: Column, start: Column) -> Column:
         p = _s16(s["p"] + F.when(_bit(c, 8), -d).otherwise(d))
         return adpcm_state(p, _moved(s["i"], c), F.concat(s["out"], F.array(p)))
 
-    return F.aggregate(codes, start, one)
+    return _folded(codes, start, one)
 
 
 def nibbles(payload: Column, high_first: bool) -> Column:

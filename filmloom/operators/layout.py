@@ -12,19 +12,19 @@ def before(value: str, keys: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(value).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
 
 
-def parse_catalogue(movies: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, chunk_no, file_offset, video_bytes, sound_bytes, sound_tracks, ok) of catalogues, an entry a line.
+def parse_catalogue(movies: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """(id, columns ``keep``, chunk_no, file_offset, video_bytes, sound_bytes, sound_tracks, ok) of catalogues, an entry a line.
 
     An entry is ``offset,video[;sound[;sound...]]``. Sounds are summed; an empty sound is no track. A line of another
     form has ok false and nulls. A null or empty text has no entries.
     """
-    line = movies.where(F.length(text_col) > 0).select(id_col, F.posexplode(F.split(F.rtrim(F.col(text_col)), "\n")).alias("chunk_no", "line"))
+    line = movies.where(F.length(text_col) > 0).select(id_col, *(keep or []), F.posexplode(F.split(F.rtrim(F.col(text_col)), "\n")).alias("chunk_no", "line"))
     ok = F.col("line").rlike(r"^[0-9]+,[0-9]+(;[0-9]*)+$")
     tracks = F.filter(F.slice(F.split("line", ";"), 2, 1 << 20), lambda s: s != "")
     number = lambda g: F.when(F.col("ok"), F.regexp_extract("line", r"^([0-9]+),([0-9]+)", g).cast("bigint"))
     p = line.withColumn("ok", ok).withColumn("tracks", tracks)
     return p.select(
-        id_col, F.col("chunk_no").cast("bigint").alias("chunk_no"), number(1).alias("file_offset"), number(2).alias("video_bytes"),
+        id_col, *(keep or []), F.col("chunk_no").cast("bigint").alias("chunk_no"), number(1).alias("file_offset"), number(2).alias("video_bytes"),
         F.when(F.col("ok"), F.aggregate("tracks", F.lit(0).cast("bigint"), lambda a, s: a + s.try_cast("bigint"))).alias("sound_bytes"),
         F.when(F.col("ok"), F.size("tracks").cast("bigint")).alias("sound_tracks"), "ok",
     )
@@ -60,13 +60,21 @@ def parse_headers(files: DataFrame, content: str = "content") -> DataFrame:
     return h.withColumn("status", F.when(bad, "malformed").when(outside | few, "truncated").otherwise("ok")).drop("_ls")
 
 
+#: Bytes that a catalogue's line has at most.
+LINE = 1024
+
+
 def read_movies(files: DataFrame, content: str = "content", id_col: str = "path") -> DataFrame:
-    """Chunks of the well-formed movies among ``files``: the catalogue's entries and whether each lies inside its file."""
+    """Chunks of the well-formed movies among ``files``: the catalogue's entries and whether each lies inside its file.
+
+    Only the bytes that the header's number of lines can take are looked at behind the catalogue's offset.
+    """
     h = parse_headers(files, content).where("status = 'ok'")
-    text = F.decode(F.substring(F.col(content), F.col("head.catalogue_offset").cast("int") + 1, F.lit(1 << 30)), "ISO-8859-1")
-    cat = h.select(id_col, F.octet_length(content).alias("_size"), F.array_join(F.slice(F.split(text, "\n"), F.lit(1), F.col("head.last_chunk").cast("int") + 1), "\n").alias("_catalogue"))
+    lines = F.col("head.last_chunk") + 1
+    text = F.decode(F.substring(F.col(content), F.col("head.catalogue_offset").cast("int") + 1, F.least(F.lit(1 << 30), lines * LINE).cast("int")), "ISO-8859-1")
+    cat = h.select(id_col, F.octet_length(content).alias("_size"), F.array_join(F.slice(F.split(text, "\n"), F.lit(1), lines.cast("int")), "\n").alias("_catalogue"))
     inside = F.col("ok") & (F.col("file_offset") + F.col("video_bytes") + F.col("sound_bytes") <= F.col("_size"))
-    return parse_catalogue(cat, id_col, "_catalogue").join(cat.select(id_col, "_size"), id_col).withColumn("ok", F.coalesce(inside, F.lit(False))).drop("_size")
+    return parse_catalogue(cat, id_col, "_catalogue", ["_size"]).withColumn("ok", F.coalesce(inside, F.lit(False))).drop("_size")
 
 
 #: Bytes of a sector, and of the room for a catalogue's line.
@@ -98,7 +106,8 @@ def assemble_movies(chunks: DataFrame, id_col: str, order: str, payload: str, fi
     """(id, content): a movie file of each id, its chunks in order, each on a sector of its own behind header and catalogue.
 
     The catalogue gets room for the longest possible line of every chunk, so offsets follow from sizes alone and need no
-    iteration. A movie is one file and is put together in one row; rows of different movies are independent.
+    iteration. A movie is one file and is put together in one row; rows of different movies are independent. A movie of
+    more than 2 GB, which no row can hold, raises an error.
     """
     zeros = lambda n: F.encode(F.repeat(F.lit("\0"), n.cast("int")), "ISO-8859-1")
     up = lambda n: F.ceil(n / SECTOR) * SECTOR
@@ -110,10 +119,11 @@ def assemble_movies(chunks: DataFrame, id_col: str, order: str, payload: str, fi
     largest = lambda even: F.coalesce(F.max(F.when((F.col("_even") == even) & (F.col("_n") > 0), F.col("_n") + 1)), F.lit(0))
     m = c.groupBy(id_col).agg(
         F.expr("listagg(_line, '') WITHIN GROUP (ORDER BY _o)").alias("_catalogue"), F.expr("listagg(_body, X'') WITHIN GROUP (ORDER BY _o)").alias("_data"),
-        (F.count("*") - 1).alias("_last"), F.max("_room").alias("_room"), largest(True).alias("_e"), largest(False).alias("_d"),
+        (F.count("*") - 1).alias("_last"), F.max("_off").alias("_end"), F.max("_room").alias("_room"), largest(True).alias("_e"), largest(False).alias("_d"),
     )
     own = {"last_chunk": F.col("_last"), "even_bytes": F.col("_e"), "odd_bytes": F.col("_d"), "catalogue_offset": F.lit(SECTOR)}
     head = F.encode(render_header(fields | own), "ISO-8859-1")
     catalogue = F.encode("_catalogue", "ISO-8859-1")
     m = m.withColumn("_h", head).withColumn("_c", catalogue)
+    m = m.where(F.when(F.col("_end") < 1 << 31, F.lit(True)).otherwise(F.raise_error(F.lit("a movie of more than 2 GB")).cast("boolean")))
     return m.select(id_col, F.concat("_h", zeros(SECTOR - F.octet_length("_h")), "_c", zeros(F.col("_room") - F.octet_length("_c")), F.col("_data")).alias("content"))

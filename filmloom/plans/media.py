@@ -287,13 +287,13 @@ def rate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", s["level"].alias("level"), s["retries"].alias("retries"))
 
 
-@query("xor_chain", f"WITH {FRAMES_SQL} SELECT frame_no, x, y, luma FROM frames")
+@query("xor_chain", f"WITH {FRAMES_SQL} SELECT c.frame_no, c.x, c.y, xor(c.luma, coalesce(p.luma, 0)) AS difference, c.luma FROM frames c LEFT JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x AND p.y = c.y")
 def xor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures kept as differences by exclusive or, and put together again by running ones, in blocks of frames."""
     f = frames(spark, sf_dir)
     p = f.select((F.col("frame_no") + 1).alias("frame_no"), "x", "y", F.col("luma").alias("prev"))
     d = f.join(p, ["frame_no", "x", "y"], "left").select("frame_no", "x", "y", F.col("luma").bitwiseXOR(F.coalesce("prev", F.lit(0).cast("bigint"))).alias("d"))
-    return running_xor(d, ["x", "y"], "frame_no", "d").select("frame_no", "x", "y", F.col("d_run").alias("luma"))
+    return running_xor(d, ["x", "y"], "frame_no", "d").select("frame_no", "x", "y", F.col("d").alias("difference"), F.col("d_run").alias("luma"))
 
 
 @query("catalogue_round_trip", f"WITH {CHUNKS_SQL} SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS chunk_no, off AS file_offset, sz AS video_bytes, turn % 3 * 5 AS sound_bytes, CASE WHEN turn % 3 = 0 THEN 0 ELSE turn % 3 END AS sound_tracks, true AS ok FROM c")

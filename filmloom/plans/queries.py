@@ -201,7 +201,7 @@ def audio_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alaw_expand",
-    """WITH a AS (SELECT event_id, xor(event_id & 255, 85) AS a FROM events), s AS (SELECT event_id, a, (a & 112) >> 4 AS seg, (a & 15) << 4 AS base FROM a),
+    """WITH a AS (SELECT event_id, xor(CAST(floor(value * 7) AS BIGINT) & 255, 85) AS a FROM events), s AS (SELECT event_id, a, (a & 112) >> 4 AS seg, (a & 15) << 4 AS base FROM a),
 t AS (SELECT event_id, a, CASE WHEN seg = 0 THEN base + 8 ELSE (base + 264) << greatest(seg - 1, 0) END AS t FROM s)
 SELECT event_id, CAST(CASE WHEN a & 128 <> 0 THEN t ELSE -t END AS BIGINT) AS s16 FROM t""",
 )
@@ -209,7 +209,7 @@ def alaw_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-law bytes to sixteen-bit samples."""
     from filmloom.functions.audio import alaw_to_s16
 
-    return table(spark, sf_dir, "events").select("event_id", alaw_to_s16(F.col("event_id").bitwiseAND(F.lit(255))).cast("bigint").alias("s16"))
+    return table(spark, sf_dir, "events").select("event_id", alaw_to_s16(F.floor(F.col("value") * 7).cast("bigint").bitwiseAND(F.lit(255))).cast("bigint").alias("s16"))
 
 
 CHUNKS_SQL = """z AS (SELECT conv_id, turn, strlen(text) AS sz FROM conversations),
@@ -286,7 +286,10 @@ def varints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", varint_hex(F.col("event_id") * 97).alias("bytes"))
 
 
-@query("presentation_times", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS pts FROM events")
+@query(
+    "presentation_times",
+    "SELECT user_id, event_id, CAST((SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.event_id < a.event_id) AS BIGINT) AS pts FROM events a",
+)
 def presentation_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tick a frame within a stream."""
     from pyspark.sql import Window
