@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from filmloom.llm._shared import forget, written
 
 #: Vectors of one length that the top tree is grown over, and its cells, at most; more vectors make more shards a cell.
-SAMPLE, CELLS = 32_768, 1024
+SAMPLE, CELLS = 32_768, 4096
 
 
 class Tree:
