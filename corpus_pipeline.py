@@ -84,7 +84,8 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Learned scores and repeated line runs have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
+#: Learned scores and repeated line runs have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force,
+#: the first against its scorer applied row by row.
 ORACLE_SQL = None
 
 
