@@ -83,7 +83,7 @@ BLOCK = 256
 
 
 def _folded(values: Column, start: Column, one: Callable[[Column, Column], Column]) -> Column:
-    """The fold of an array from a start state, a block at a time with the state carried over."""
+    """The fold of an array from a start state; longer ones a block at a time with the state carried over."""
 
     def block(s: Column, own: Column) -> Column:
         inner = F.aggregate(own, adpcm_state(s["p"], s["i"]), one)
@@ -92,21 +92,44 @@ def _folded(values: Column, start: Column, one: Callable[[Column, Column], Colum
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(values) - 1), F.lit(BLOCK))
     zero = F.struct(start["p"].alias("p"), start["i"].alias("i"), F.array().cast("array<array<bigint>>").alias("out"))
     done = F.transform(F.array(values), lambda v: F.aggregate(F.transform(cuts, lambda at: F.slice(v, at + 1, BLOCK)), zero, block))[0]
-    return F.transform(F.array(done), lambda s: adpcm_state(s["p"], s["i"], F.concat(start["out"], F.flatten(s["out"]))))[0]
+    long = F.transform(F.array(done), lambda s: adpcm_state(s["p"], s["i"], F.concat(start["out"], F.flatten(s["out"]))))[0]
+    return F.when(F.size(values) <= BLOCK, F.aggregate(values, start, one)).otherwise(long)
 
 
-def ima_decode(codes: Column, start: Column) -> Column:
+def _ima_size(step: Column, c: Column) -> Column:
+    """How far a code moves the sample: the bits of the code weigh the step, its half and its quarter, and an eighth always counts."""
+    return F.shiftright(step, 3) + F.when(_bit(c, 4), step).otherwise(0) + F.when(_bit(c, 2), F.shiftright(step, 1)).otherwise(0) + F.when(_bit(c, 1), F.shiftright(step, 2)).otherwise(0)
+
+
+def _escape_size(step: Column, c: Column) -> Column:
+    """The same without the eighth, rounded once."""
+    return F.shiftright(c % 8 * step, 2)
+
+
+#: Steps and move of each variant.
+VARIANTS = {"ima": (IMA_STEPS, _ima_size), "escape": ([ESCAPE_STEPS.get(i, v) for i, v in enumerate(IMA_STEPS)], _escape_size)}
+
+
+def _moved_by(variant: str, index: Column, c: Column) -> Column:
+    steps, size = VARIANTS[variant]
+    d = size(_ints(steps)[index.cast("int")], c)
+    return F.when(_bit(c, 8), -d).otherwise(d).cast("bigint")
+
+
+def adpcm_decode(codes: Column, start: Column, variant: str) -> Column:
     """Fold of an array of four-bit codes from a start state; ``out`` gets the samples."""
 
     def one(s: Column, c: Column) -> Column:
-        step = _ints(IMA_STEPS)[s["i"].cast("int")]
-        d = F.shiftright(step, 3) + F.when(_bit(c, 4), step).otherwise(0) + F.when(_bit(c, 2), F.shiftright(step, 1)).otherwise(0) + F.when(_bit(c, 1), F.shiftright(step, 2)).otherwise(0)
-        p = _s16(s["p"] + F.when(_bit(c, 8), -d).otherwise(d))
+        p = _s16(s["p"] + _moved_by(variant, s["i"], c))
         return adpcm_state(p, _moved(s["i"], c), F.concat(s["out"], F.array(p)))
 
     return _folded(codes, start, one)
 
 
+def ima_decode(codes: Column, start: Column) -> Column:
+    return adpcm_decode(codes, start, "ima")
+
+
 def ima_encode(samples: Column, start: Column) -> Column:
     """Fold of an array of samples from a start state; ``out`` gets the four-bit codes."""
 
@@ -128,22 +151,51 @@ def ima_encode(samples: Column, start: Column) -> Column:
 
 def escape_decode(codes: Column, start: Column) -> Column:
     """As ``ima_decode`` for the variant without the eighth of a step and with two other steps."""
-    steps = [ESCAPE_STEPS.get(i, v) for i, v in enumerate(IMA_STEPS)]
+    return adpcm_decode(codes, start, "escape")
+
+
+def clamp_map(add: Column, low: Column, high: Column) -> Column:
+    """The map of x to x + add, held between low and high. Maps of this form compose to one of this form."""
+    return F.struct(add.cast("bigint").alias("d"), low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"))
+
+
+def clamped(m: Column, x: Column) -> Column:
+    return F.least(m["hi"], F.greatest(m["lo"], x + m["d"]))
+
+
+def clamp_then(first: Column, second: Column) -> Column:
+    return clamp_map(first["d"] + second["d"], clamped(second, first["lo"]), clamped(second, first["hi"]))
+
+
+#: A map that changes no state; bounds far beyond any sum of moves.
+SAME = (0, -(1 << 60), 1 << 60)
+
+
+def same() -> Column:
+    return clamp_map(*map(F.lit, SAME))
+
+
+def index_map(codes: Column) -> Column:
+    """What an array of codes makes of the step index before it."""
+    return F.aggregate(codes, same(), lambda m, c: clamp_then(m, clamp_map(_ints(IMA_MOVES)[(c % 8).cast("int")], F.lit(0), F.lit(88))))
+
+
+def sample_map(codes: Column, index: Column, variant: str) -> Column:
+    """What an array of codes makes of the sample before it, if the step index before it is ``index``."""
+    start = F.struct(index.cast("bigint").alias("i"), same().alias("m"))
 
     def one(s: Column, c: Column) -> Column:
-        d = F.shiftright(c % 8 * _ints(steps)[s["i"].cast("int")], 2)
-        p = _s16(s["p"] + F.when(_bit(c, 8), -d).otherwise(d))
-        return adpcm_state(p, _moved(s["i"], c), F.concat(s["out"], F.array(p)))
+        own = clamp_map(_moved_by(variant, s["i"], c), F.lit(-32768), F.lit(32767))
+        return F.struct(_moved(s["i"], c).alias("i"), clamp_then(s["m"], own).alias("m"))
 
-    return _folded(codes, start, one)
+    return F.aggregate(codes, start, one, lambda s: s["m"])
 
 
 def nibbles(payload: Column, high_first: bool) -> Column:
-    """Four-bit codes of a binary column."""
-    h = F.hex(payload)
-    digit = lambda at: F.conv(F.substring(h, at, F.lit(1)), 16, 10).cast("bigint")
-    swap = lambda i: i + 1 if high_first else F.when(i % 2 == 0, i + 2).otherwise(i)
-    return F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(0), F.length(h) - 1), lambda i: digit(swap(i)))).otherwise(F.array().cast("array<bigint>"))
+    """Four-bit codes of a binary column, each cut from its own byte."""
+    half = lambda i: i % 2 + 1 if high_first else 2 - i % 2
+    one = lambda i: F.conv(F.substring(F.hex(F.substring(payload, F.shiftright(i, 1) + 1, F.lit(1))), half(i), F.lit(1)), 16, 10).cast("bigint")
+    return F.when(F.octet_length(payload) > 0, F.transform(F.sequence(F.lit(0), 2 * F.octet_length(payload) - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def sound_decoder(codec: Column, precision: Column, label: Column, name: Column, video: Column | None = None) -> Column:

@@ -49,6 +49,18 @@ def little_endian(n: Column, size: int) -> Column:
     return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n.cast("bigint"), 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(size)])
 
 
+def byte_values(payload: Column) -> Column:
+    """The bytes of a binary column as numbers."""
+    one = lambda i: F.conv(F.hex(F.substring(payload, i, F.lit(1))), 16, 10).cast("bigint")
+    return F.when(F.octet_length(payload) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(payload)), one)).otherwise(F.array().cast("array<bigint>"))
+
+
+def word_at(payload: Column, at: Column | int, size: int = 4) -> Column:
+    """The number whose bytes, the lowest first, begin at offset ``at`` of a binary column; null beyond its end."""
+    own = F.hex(F.substring(payload, (F.lit(at) if isinstance(at, int) else at).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(own) == 2 * size, F.conv(F.concat(*[F.substring(own, 2 * k + 1, 2) for k in range(size - 1, -1, -1)]), 16, 10).cast("bigint"))
+
+
 def wav_header(data_bytes: Column, rate: int, channels: int) -> Column:
     """The 44 bytes before sixteen-bit samples in a sound file."""
     text = lambda t: F.encode(F.lit(t), "US-ASCII")
