@@ -52,3 +52,45 @@ def running_xor(df: DataFrame, keys: list[str], order: str, value: str, block: i
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     total = total.withColumn("_before", F.coalesce(F.expr("bit_xor(_t)").over(earlier), F.lit(0).cast("bigint"))).drop("_t")
     return b.join(total, [*keys, "_block"]).withColumn(f"{value}_run", F.col("_in").bitwiseXOR(F.col("_before"))).drop("_block", "_in", "_before")
+
+
+def bracketed_level(size: Callable[[Column], Column], start: Column, target: int, low: float = 0.9, high: float = 1.025) -> Column:
+    """(level, probes): where a search that strides and then halves ends, and all levels it has tried, in order.
+
+    Sizes fall as levels rise. Outside the window the search strides away from ``start`` over 1, then 2, 4, 8 and 16 levels
+    until a level is large or small enough, or the last is reached. Between that level and the one before it on the way it
+    halves, and goes back to the best level if that was not the last one tried. The strides' places are known beforehand;
+    only the halving is a fold, of as many steps as a level has bits.
+    """
+    least, most, last = int(target * low), int(target * high), len(THRESHOLDS) - 1
+    strides = F.array(*[F.lit(v) for v in (1, 3, 7, 15, 31)])
+    own = size(start)
+    way = F.when(own > most, 1).when(own < least, -1).otherwise(0)
+    good = lambda level: F.when(own > most, size(level) <= most).otherwise(size(level) >= least)
+    within = lambda v: F.least(F.lit(last), F.greatest(F.lit(0), v)).cast("int")
+    tried = F.array_distinct(F.transform(strides, lambda d: within(start + way * d)))
+    places = F.transform(F.array(F.filter(tried, lambda v: v != start)), lambda t: F.struct(t.alias("t"), (F.array_position(F.transform(t, good), F.lit(True)) - 1).cast("int").alias("hit")))[0]
+
+    def halved(p: Column) -> Column:
+        hit = p["t"][p["hit"]]
+        # on the near side of the hit lies the stride before it, or the start, which is next to it
+        near = F.when(p["hit"] > 0, p["t"][p["hit"] - 1]).otherwise(hit - way)
+        state = F.struct(hit.alias("best"), near.cast("int").alias("bad"), F.array(hit).alias("out"))
+
+        def step(s: Column, _: Column) -> Column:
+            gap = F.abs(s["best"] - s["bad"]) - 1
+            at = (s["bad"] + way * (1 + F.floor((gap - 1) / 2))).cast("int")
+            more = F.struct(F.when(good(at), at).otherwise(s["best"]).alias("best"), F.when(good(at), s["bad"]).otherwise(at).alias("bad"), F.concat(s["out"], F.array(at)).alias("out"))
+            return F.when(gap > 0, more).otherwise(s)
+
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(last.bit_length())), state, step)
+        back = F.transform(F.array(done), lambda s: F.struct(s["best"].alias("level"), F.concat(F.slice(p["t"], F.lit(1), p["hit"]), s["out"], F.when(F.element_at(s["out"], -1) != s["best"], F.array(s["best"])).otherwise(F.array().cast("array<int>"))).alias("more")))
+        return back[0]
+
+    def ended(p: Column) -> Column:
+        none = F.struct(F.coalesce(F.try_element_at(p["t"], F.lit(-1)), start.cast("int")).alias("level"), p["t"].alias("more"))
+        r = F.when((F.size(p["t"]) == 0) | (p["hit"] < 0), none).otherwise(halved(p))
+        return F.struct(r["level"].cast("bigint").alias("level"), F.concat(F.array(start.cast("int")), r["more"]).alias("probes"))
+
+    inside = F.struct(start.cast("bigint").alias("level"), F.array(start.cast("int")).alias("probes"))
+    return F.when(way == 0, inside).otherwise(F.transform(F.array(places), ended)[0])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filmloom.functions import audio, bits, colour
 from filmloom.operators.layout import ENTRY, SECTOR, assemble_movies, before, parse_catalogue, parse_headers, read_movies
 from filmloom.operators.motion import vector_bits, vector_code
-from filmloom.operators.quality import THRESHOLDS, first_level, rate_level, running_xor
+from filmloom.operators.quality import THRESHOLDS, first_level, bracketed_level, rate_level, running_xor
 from filmloom.plans.queries import CHUNKS_SQL, FRAMES_SQL, MOTION_SQL, PCM_SQL, RGB_SQL, block_motion_search, chunk_layout, copy_quality_profile, frames, luma_residuals, pcm, rgb
 from filmloom.plans.registry import ORACLES, query, table
 
@@ -287,6 +287,28 @@ def rate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", s["level"].alias("level"), s["retries"].alias("retries"))
 
 
+_GOOD = "CASE WHEN way > 0 THEN size(cur) <= 1025 ELSE size(cur) >= 900 END".replace("size(cur)", "(z * 32 // (32 + cur))")
+
+
+@query(
+    "bracketed_levels",
+    f"""WITH RECURSIVE e AS (SELECT event_id, event_id % 29 AS start, CAST(500 + floor(value * 8) AS BIGINT) AS z FROM events),
+s AS (SELECT event_id, z, CASE WHEN z * 32 // (32 + start) > 1025 THEN 1 WHEN z * 32 // (32 + start) < 900 THEN -1 ELSE 0 END AS way, start AS cur, start AS bad, NULL::BIGINT AS best, 1 AS stride, [start] AS probes,
+ z * 32 // (32 + start) BETWEEN 900 AND 1025 AS done, true AS fresh FROM e
+UNION ALL SELECT event_id, z, way, nxt, bad2, best2, CASE WHEN best2 IS NULL AND NOT fresh THEN least(16, 2 * stride) ELSE greatest(stride, 2) END, CASE WHEN nxt IS NULL THEN probes ELSE list_append(probes, nxt) END, nxt IS NULL OR (best2 IS NOT NULL AND abs(best2 - bad2) <= 1 AND nxt = best2), false FROM
+ (SELECT *, CASE WHEN best2 IS NULL THEN CASE WHEN cur + way BETWEEN 0 AND 28 THEN greatest(0, least(28, cur + way * CASE WHEN fresh THEN 1 ELSE stride END)) END
+   WHEN abs(best2 - bad2) > 1 THEN bad2 + way * (1 + (abs(best2 - bad2) - 2) // 2) WHEN cur <> best2 THEN best2 END AS nxt FROM
+ (SELECT *, CASE WHEN NOT fresh AND good THEN cur ELSE best END AS best2, CASE WHEN fresh OR NOT good THEN cur ELSE bad END AS bad2 FROM (SELECT *, {_GOOD} AS good FROM s WHERE NOT done)))),
+l AS (SELECT event_id, probes, row_number() OVER (PARTITION BY event_id ORDER BY len(probes) DESC) AS rn FROM s)
+SELECT event_id, CAST(probes[-1] AS BIGINT) AS level, array_to_string(probes, ',') AS probes FROM l WHERE rn = 1""",
+)
+def bracketed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per frame the loss level at which a striding and halving search ends for a target of 1000 bytes, and all levels it tries."""
+    size = lambda level: F.floor((500 + F.floor(F.col("value") * 8)) * 32 / (32 + level)).cast("bigint")
+    s = bracketed_level(size, F.col("event_id") % 29, 1000)
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.array(s)).alias("s")).select("event_id", "s.level", F.array_join("s.probes", ",").alias("probes"))
+
+
 @query("xor_chain", f"WITH {FRAMES_SQL} SELECT c.frame_no, c.x, c.y, xor(c.luma, coalesce(p.luma, 0)) AS difference, c.luma FROM frames c LEFT JOIN frames p ON p.frame_no + 1 = c.frame_no AND p.x = c.x AND p.y = c.y")
 def xor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures kept as differences by exclusive or, and put together again by running ones, in blocks of frames."""

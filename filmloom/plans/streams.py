@@ -74,3 +74,50 @@ def code_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("conv_id") % 5
     spoiled = F.when(kind == 3, F.concat("payload", F.unhex(F.lit("00")))).when((kind == 4) & (F.col("used_bits") % 8 != 0), F.concat(cut, F.unhex(F.lpad(F.hex(last), 2, "0")))).when(kind == 2, cut).otherwise(F.col("payload"))
     return p.select("conv_id", strict_end(spoiled, F.col("used_bits")).alias("status"))
+
+
+#: Movies that documents are dealt to as frames.
+MOVIES = 4
+
+
+def _varint_sql(v: str) -> str:
+    return "CASE " + " ".join(f"WHEN {v} < {1 << 7 * k} THEN {k}" for k in range(1, 9)) + " ELSE 9 END"
+
+
+_MUX_SQL = f"""f AS (SELECT doc_id % {MOVIES} AS movie, row_number() OVER (PARTITION BY doc_id % {MOVIES} ORDER BY doc_id) - 1 AS frame_no, doc_id, doc_id % 3 AS stream, strlen(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT *, 1 + 2 + {_varint_sql("stream")} + ({_varint_sql("(doc_id + 128)")}) + ({_varint_sql("n")}) + 4 + n AS size, doc_id * 3 + stream AS stamp FROM f),
+w AS (SELECT movie, -1::BIGINT AS frame_no, 0::BIGINT AS pos, -1::BIGINT AS last, false AS synced, 0::BIGINT AS back, 0::BIGINT AS sync_bytes, 0::BIGINT AS begins FROM g WHERE frame_no = 0
+UNION ALL SELECT movie, frame_no, pos + s + size, CASE WHEN due THEN pos ELSE last END, due, CASE WHEN due THEN back ELSE 0 END, s, pos + s FROM
+ (SELECT *, CASE WHEN due THEN 8 + ({_varint_sql("(body + 4)")}) + body + 4 ELSE 0 END AS s FROM (SELECT *, ({_varint_sql("stamp")}) + ({_varint_sql("back")}) AS body FROM
+ (SELECT g.movie, g.frame_no, size, stamp, pos, last, last < 0 OR pos - last >= 65536 AS due, CASE WHEN last < 0 THEN 0 ELSE (pos - last) // 16 END AS back FROM w JOIN g ON g.movie = w.movie AND g.frame_no = w.frame_no + 1))))"""
+
+
+def muxed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as frames of movies with three streams: movie, frame_no, size and stamp."""
+    from pyspark.sql import Window
+
+    from filmloom.operators.mux import frame_size
+    from filmloom.plans.registry import table
+
+    # numbering only needs ids: a movie's frames in order
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"))
+    d = d.withColumn("movie", F.col("doc_id") % MOVIES).withColumn("frame_no", F.row_number().over(Window.partitionBy("movie").orderBy("doc_id")).cast("bigint") - 1)
+    stream = F.col("doc_id") % 3
+    return d.select("movie", "frame_no", frame_size(stream, F.col("doc_id"), F.lit(False), F.col("n")).alias("size"), (F.col("doc_id") * 3 + stream).alias("stamp"))
+
+
+@query("sync_points", f"WITH RECURSIVE {_MUX_SQL} SELECT movie, frame_no, CAST(back AS BIGINT) AS back, CAST(sync_bytes AS BIGINT) AS sync_bytes FROM w WHERE synced")
+def sync_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sync points of muxed movies, a byte distance apart that their own sizes change, found without walking through the frames."""
+    from filmloom.operators import mux
+
+    return mux.sync_points(muxed_frames(spark, sf_dir), "movie", "frame_no", "size", "stamp").drop("before")
+
+
+@query("muxed_layout", f"WITH RECURSIVE {_MUX_SQL} SELECT movie, frame_no, synced, CAST(begins AS BIGINT) AS \"at\" FROM w WHERE frame_no >= 0")
+def muxed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every frame of the muxed movies begins behind the headers, and whether a sync point stands before it."""
+    from filmloom.operators import mux
+
+    f = muxed_frames(spark, sf_dir)
+    return mux.layout(f, mux.sync_points(f, "movie", "frame_no", "size", "stamp"), "movie", "frame_no", "size").select("movie", "frame_no", "synced", "at")
