@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filmloom.functions import audio, bits, colour
 from filmloom.operators.layout import ENTRY, SECTOR, assemble_movies, before, parse_catalogue, parse_headers, read_movies
 from filmloom.operators.motion import vector_bits, vector_code
-from filmloom.operators.quality import THRESHOLDS, first_level, bracketed_level, rate_level, running_xor
+from filmloom.operators.quality import THRESHOLDS, bracketed_level, first_level, rate_level, running_xor
 from filmloom.plans.queries import CHUNKS_SQL, FRAMES_SQL, MOTION_SQL, PCM_SQL, RGB_SQL, block_motion_search, chunk_layout, copy_quality_profile, frames, luma_residuals, pcm, rgb
 from filmloom.plans.registry import ORACLES, query, table
 

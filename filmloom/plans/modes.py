@@ -1,4 +1,4 @@
-"""Queries on coding modes of blocks."""
+"""Queries on coding modes of blocks, and on pictures rendered from blocks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmloom.operators.quality import THRESHOLDS
+from filmloom.operators.render import blended
 from filmloom.operators.split import SPATIAL, split_modes
 from filmloom.plans.media import LUMA_BITS
 from filmloom.plans.pictures import _V_SQL, YUV, YUV_SQL, _copies_sql, coloured_pairs
+from filmloom.plans.queries import FRAMES_SQL, frames
 from filmloom.plans.registry import query
 
 #: Loss level of the modes.
@@ -83,3 +85,27 @@ def split_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.concat(F.array(F.concat("mode", F.lit("4x4"))), F.transform(F.filter(F.split("children", ""), lambda c: c != ""), lambda c: F.element_at(full, c)))
     counts = m.select("policy", F.explode(cell).alias("cell")).groupBy("policy").agg(*[F.count_if(F.col("cell") == c).alias(c) for c in _CELLS])
     return counts.unpivot("policy", _CELLS, "cell", "blocks")
+
+
+#: Blocks a side of a tile in the rendering query; pictures are of eight by eight blocks.
+TILE = 4
+_LANE_SQL = """b AS (SELECT frame_no, x AS bx, y AS brow, luma * 4 AS g, (luma * 3 % 32) * 4 AS bl, (luma * 7 % 32) * 8 AS r, luma % 5 = 0 AS tex, luma % 4 AS step, (luma * 37 + 11) % 256 AS signs FROM frames),
+px AS (SELECT b.*, px, py, bx * 2 + px AS ox, brow * 2 + py AS oy, py * 2 + px AS ph FROM b, (SELECT unnest([0, 1]) AS px), (SELECT unnest([0, 1]) AS py)),
+n AS (SELECT p.*, CASE WHEN h.tex OR h.tex IS NULL THEN p.g ELSE h.g END AS hg, CASE WHEN h.tex OR h.tex IS NULL THEN p.bl ELSE h.bl END AS hb, CASE WHEN h.tex OR h.tex IS NULL THEN p.r ELSE h.r END AS hr,
+ CASE WHEN v.tex OR v.tex IS NULL THEN p.g ELSE v.g END AS vg, CASE WHEN v.tex OR v.tex IS NULL THEN p.bl ELSE v.bl END AS vb, CASE WHEN v.tex OR v.tex IS NULL THEN p.r ELSE v.r END AS vr,
+ CASE WHEN (p.signs >> (2 * ph)) & 1 = 1 THEN 1 WHEN (p.signs >> (2 * ph)) & 2 = 2 THEN -1 ELSE 0 END AS way
+ FROM px p LEFT JOIN b h ON h.frame_no = p.frame_no AND h.brow = p.brow AND h.bx = p.bx + 2 * px - 1 LEFT JOIN b v ON v.frame_no = p.frame_no AND v.bx = p.bx AND v.brow = p.brow + 2 * py - 1),
+c AS (SELECT frame_no, ox, oy, CASE WHEN ox IN (0, 15) AND oy NOT IN (0, 15) THEN (r // 8) * 2048 + (g // 4) * 32 + bl // 4
+ WHEN tex THEN (greatest(0, least(255, r + way * ([8, 16, 40, 80])[step + 1])) // 8) * 2048 + (greatest(0, least(255, g + way * ([8, 16, 40, 80])[step + 1])) // 4) * 32 + greatest(0, least(127, bl + way * ([4, 8, 20, 40])[step + 1])) // 4
+ WHEN oy IN (0, 15) THEN ((4 * r + ([24, 0, 8, 16])[ph + 1]) // 32 & 31) * 2048 + ((4 * g + ([0, 12, 8, 4])[ph + 1]) // 16 & 63) * 32 + ((4 * bl + ([0, 12, 8, 4])[ph + 1]) // 16 & 31)
+ ELSE ((2 * r + hr + vr + ([24, 0, 8, 16])[ph + 1]) // 32 & 31) * 2048 + ((2 * g + hg + vg + ([0, 12, 8, 4])[ph + 1]) // 16 & 63) * 32 + ((2 * bl + hb + vb + ([0, 12, 8, 4])[ph + 1]) // 16 & 31) END AS c FROM n)"""
+
+
+@query("blended_blocks", f"WITH {FRAMES_SQL}, {_LANE_SQL} SELECT frame_no, CAST(oy AS BIGINT) AS y, CAST(sum(c) AS BIGINT) AS total, CAST(sum(c * (ox + 1)) AS BIGINT) AS placed FROM c GROUP BY frame_no, oy")
+def blended_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures rendered from blocks in tiles, flat ones blended with their neighbours: sums of the pixels of every row."""
+    v = F.col("luma")
+    lanes = {"green": v * 4, "blue": v * 3 % 32 * 4, "red": v * 7 % 32 * 8, "textured": v % 5 == 0, "step": v % 4, "signs": (v * 37 + 11) % 256}
+    b = frames(spark, sf_dir).select("frame_no", F.col("x").alias("bx"), F.col("y").alias("by"), *[c.alias(n) for n, c in lanes.items()])
+    p = blended(b, "frame_no", 16, 16, TILE).select("frame_no", "y", "x", F.posexplode("pixels").alias("k", "c"))
+    return p.groupBy("frame_no", "y").agg(F.sum("c").alias("total"), F.sum(F.col("c") * (F.col("x") + F.col("k") + 1)).alias("placed"))
