@@ -242,3 +242,51 @@ def palettes_applied(chunks: DataFrame, keys: list[str], order: str, payload: st
     colour = lambda k: F.aggregate("_x.i", F.lit(0).cast("bigint"), lambda s, i: s + F.col("_x.c")[(3 * i + k).cast("int")])
     sums = [colour(k) for k in range(3)]
     return own.withColumn("pixels", F.size("_x.i").cast("bigint")).withColumn("sums", F.array(*sums)).drop("_palette", "_before", "_x")
+
+
+#: Frames a second of written movies, their samples a second, and bytes of a piece of sound.
+FPS, RATE, PIECE = (2, 1), 101, 64
+_HEAD_SQL = """'ARMovie' || chr(10) || 'movie ' || conv_id || chr(10) || 'c' || chr(10) || chr(10) || '19 video format' || chr(10) || '8 pixels' || chr(10) || '8 pixels' || chr(10) || '16 bits per pixel' || chr(10) || '2 frames per second' || chr(10)
+ || '1 sound format' || chr(10) || '101 Hz samples' || chr(10) || '1 channels' || chr(10) || '8 bits per sample' || chr(10) || shown || ' frames per chunk' || chr(10) || (chunks - 1) || ' number of chunks' || chr(10) || even || ' even chunk size' || chr(10) || odd || ' odd chunk size' || chr(10)"""
+_TAIL = "0 offset to sprite\n0 size of sprite\n-1 (no keys)\n"
+
+
+@query(
+    "movie_files",
+    f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS f, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n, count(*) OVER (PARTITION BY conv_id) AS cnt FROM conversations),
+r AS (SELECT *, CASE WHEN conv_id % 3 = 0 AND cnt >= 2 AND cnt <= 8 THEN cnt WHEN conv_id % 3 = 0 THEN 8 ELSE 3 END AS p, CASE WHEN conv_id % 3 = 0 AND (cnt < 2 OR cnt > 8) THEN 1 ELSE 2 END AS q FROM t),
+c AS (SELECT conv_id, ((f + 1) * q - 1) // p AS chunk, min(f) AS first, count(*) AS k, sum(n) + sum(n) % 2 AS video, any_value(p) AS p, any_value(q) AS q, string_agg(text, '' ORDER BY f) AS text FROM r GROUP BY conv_id, ((f + 1) * q - 1) // p),
+s AS (SELECT *, (2 * first * 101 + 2) // 4 AS s0, (2 * (first + k) * 101 + 2) // 4 AS s1 FROM c),
+b AS (SELECT *, video + s1 - s0 AS size, sum((video + s1 - s0 + 2047) // 2048 * 2048) OVER (PARTITION BY conv_id ORDER BY chunk) - (video + s1 - s0 + 2047) // 2048 * 2048 AS before FROM s),
+m AS (SELECT conv_id, count(*) AS chunks, coalesce(max(size + 1) FILTER (chunk % 2 = 0), 0) AS even, coalesce(max(size + 1) FILTER (chunk % 2 = 1), 0) AS odd, CASE WHEN max(k) > any_value(p) / any_value(q) THEN CAST(max(k) AS VARCHAR) WHEN any_value(p) % any_value(q) = 0 THEN CAST(any_value(p) // any_value(q) AS VARCHAR) ELSE CAST(any_value(p) // any_value(q) AS VARCHAR) || '.5' END AS shown FROM b GROUP BY conv_id),
+h AS (SELECT *, len({_HEAD_SQL}) + 3 + {len(" catalogue offset") + 1 + len(_TAIL)} AS cat FROM m),
+d AS (SELECT *, (cat + chunks * 30 + 2047) // 2048 * 2048 AS data FROM h),
+w AS (SELECT conv_id, hex(encode(string_agg(text, '' ORDER BY f))) AS h, strlen(string_agg(text, '')) AS n FROM t GROUP BY conv_id)
+SELECT b.conv_id AS movie, CAST(chunk AS BIGINT) AS chunk, CAST(data + before AS BIGINT) AS file_offset, CAST(video AS BIGINT) AS video_bytes, CAST(s1 - s0 AS BIGINT) AS sound_bytes, true AS ok,
+ md5(hex(encode(b.text)) || CASE WHEN strlen(b.text) % 2 = 1 THEN '00' ELSE '' END) AS video, md5(substr(w.h, 2 * s0 + 1, 2 * (s1 - s0)) || repeat('00', CAST(greatest(0, s1 - greatest(s0, w.n)) AS BIGINT))) AS sound
+FROM b JOIN d USING (conv_id) JOIN w USING (conv_id)""",
+)
+def movie_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as movie files with sound, and read back: every chunk's place, sizes and bytes."""
+    from pyspark.sql import Window
+
+    from filmloom.sources.movie_sink import write_movies
+    from filmloom.sources.movies import files
+
+    t = turns(spark, sf_dir)
+    # turns of a conversation, which is one of a bounded size, counted from 0
+    f = t.select(F.col("conv_id").alias("movie"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint") - 1).alias("frame_no"), "body")
+    track = _joined(t, F.col("body"), "sound").where(F.octet_length("sound") > 0)
+    pieces = F.transform(F.sequence(F.lit(0), F.octet_length("sound") - 1, F.lit(PIECE)), lambda at: F.substring(F.col("sound"), at + 1, F.lit(PIECE)))
+    sound = track.select(F.col("conv_id").alias("movie"), F.posexplode(pieces).alias("piece", "body")).withColumn("piece", F.col("piece").cast("bigint"))
+    own = {"title": F.concat(F.lit("movie "), F.col("movie").cast("string")), "copyright": F.lit("c"), "author": F.lit(""), "video_codec": F.lit(19), "width": F.lit(8), "height": F.lit(8), "pixel_depth": F.lit(16), "frames_per_second": F.lit(FPS[0]), "sound_codec": F.lit(1), "sound_rate": F.lit(RATE), "sound_channels": F.lit(1), "sound_precision": F.lit(8)}
+    eight = F.col("movie") % 3 == 0
+    m = f.select("movie").distinct().select("movie", F.when(eight, 8).otherwise(3).alias("p"), F.when(eight, 1).otherwise(2).alias("q"), F.struct(*[c.alias(n) for n, c in own.items()]).alias("fields"))
+    path = scratch(spark, "movies")
+    write_movies(f, sound, m, path, FPS, RATE, 1, PIECE)
+    from filmloom.operators.layout import read_movies
+
+    there = files(spark, path).withColumn("path", F.regexp_extract("path", r"(\d+)$", 1))
+    found = read_movies(there).join(there.select("path", "content"), "path")
+    cut = lambda at, n: F.md5(F.encode(F.hex(F.substring(F.col("content"), (at + 1).cast("int"), n.cast("int"))), "US-ASCII"))
+    return found.select(F.col("path").cast("bigint").alias("movie"), F.col("chunk_no").alias("chunk"), "file_offset", "video_bytes", "sound_bytes", "ok", cut(F.col("file_offset"), F.col("video_bytes")).alias("video"), cut(F.col("file_offset") + F.col("video_bytes"), F.col("sound_bytes")).alias("sound"))
