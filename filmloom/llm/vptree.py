@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from filmloom.llm._shared import forget, written
 
-#: Vectors of one length that the top tree is grown over, and its cells, at most; more vectors make more shards a cell.
-SAMPLE, CELLS = 32_768, 4096
+#: Vectors of one length that the top tree is grown over, and its cells, at most; more vectors make more shards a cell. Queries of a shard that one task searches.
+SAMPLE, CELLS, QUERIES = 32_768, 4096, 100_000
 
 
 class Tree:
@@ -194,18 +194,21 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    """Rows of equally long lists."""
-    return np.array(col.flatten().to_numpy(zero_copy_only=False)).reshape(len(col), -1)
+    """Rows of equally long lists, each scaled by a power of two to a largest component of 0.5 to 1.
+
+    Such scaling is exact and leaves cosines as they are, and norms of tiny or huge vectors neither vanish nor overflow.
+    """
+    x = np.array(col.flatten().to_numpy(zero_copy_only=False)).reshape(len(col), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
-def _tops(base: DataFrame, shard_rows: int) -> dict[int, tuple[Top, int]]:
-    """Per vector length the top tree, from the vectors with the smallest hashes, and how many shards a cell has on average."""
+def _tops(base: DataFrame, shard_rows: int) -> dict[int, Top]:
+    """Per vector length the top tree, from the vectors with the smallest hashes."""
     counts = {r["dim"]: r["count"] for r in base.groupBy("dim").count().collect()}
     out = {}
     for dim, n in sorted(counts.items()):
         t = base.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()
-        cells = min(CELLS, -(-n // shard_rows))
-        out[dim] = (Top(_matrix(t["v"].combine_chunks()), cells), max(1, -(-n // (shard_rows * cells))))
+        out[dim] = Top(_matrix(t["v"].combine_chunks()), min(CELLS, -(-n // shard_rows)))
     return out
 
 
@@ -229,7 +232,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, factor: float, id_col:
             for dim in np.unique(dims).tolist():
                 if dim not in sent.value:
                     continue
-                top, _ = sent.value[dim]
+                top = sent.value[dim]
                 own = t.filter(pa.array(dims == dim))
                 x = _matrix(own["v"])
                 unit = x / np.linalg.norm(x, axis=1)[:, None]
@@ -238,8 +241,11 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, factor: float, id_col:
                 yield pa.RecordBatch.from_arrays([own["vec_id"], own["v"], own["dim"], pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "dim", "cell", "away"])
 
     fields = "vec_id bigint, v array<double>, dim int, cell int, away double"
-    parts = F.create_map(*[x for dim, (_, n) in tops.items() for x in (F.lit(dim), F.lit(n))]) if tops else F.create_map().cast("map<int,int>")
-    dealt = b.mapInArrow(deal, fields).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), parts[F.col("dim")])).cast("int"))
+    dealt = b.mapInArrow(deal, fields)
+    # a cell is cut by its own rows, so that many vectors in one place are many shards; a row for each cell
+    parts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("bigint").alias("parts"))
+    parts = base.sparkSession.createDataFrame(parts.toArrow(), "dim int, cell int, parts bigint")
+    dealt = dealt.join(F.broadcast(parts), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
 
     def grow(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -267,7 +273,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, factor: float, id_col:
             for dim in np.unique(dims).tolist():
                 if dim not in sent.value:
                     continue
-                top, own = sent.value[dim][0], t.filter(pa.array(dims == dim))
+                top, own = sent.value[dim], t.filter(pa.array(dims == dim))
                 x = _matrix(own["v"])
                 unit = x / np.linalg.norm(x, axis=1)[:, None]
                 mine, reach = top.cell(unit), own["reach"].to_numpy()
@@ -293,10 +299,18 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, factor: float, id_col:
         a, c, e = (np.concatenate(x) if x else np.zeros(0) for x in out)
         return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(c.astype(np.int64)), "score": pa.array(e.astype(np.float64))})
 
+    split = q.count() > QUERIES
+
     def searched(asked: DataFrame, first: bool) -> DataFrame:
         goes = asked.mapInArrow(lambda batches: route(batches, first), "vec_id bigint, v array<double>, dim int, reach double, cell int, shard int")
-        on = ["dim", "cell", "shard"]
-        return trees.groupBy(*on).cogroup(goes.groupBy(*on)).applyInArrow(look, "query_id bigint, vec_id bigint, score double")
+        on, own = ["dim", "cell", "shard"], trees
+        if split:  # a shard that many queries reach is searched by several tasks, each with some of them; a row for each shard
+            slices = written(goes.groupBy(*on).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slices")), "query-slices")
+            own = trees.join(slices, on).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+            of = slices.select(*[F.col(c).alias(c) for c in on], F.col("slices").alias("of"))
+            goes = goes.join(of, on).withColumn("slice", F.pmod(F.xxhash64("vec_id", "v"), F.col("of")).cast("int")).drop("of")
+            on = [*on, "slice"]
+        return own.groupBy(*on).cogroup(goes.groupBy(*on)).applyInArrow(look, "query_id bigint, vec_id bigint, score double")
 
     def best(hits: DataFrame) -> DataFrame:
         one = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -576,3 +576,26 @@ def test_secrets_match_sql(spark):
 SELECT doc_id, coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(sha, sha256('')) FROM documents LEFT JOIN g USING (doc_id)""")
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in op10_secret_scan(spark, TABLES).collect()}
     assert got == want
+
+
+def test_vptree_tiny_huge_and_equal_vectors(spark, monkeypatch):
+    import filmloom.llm.vptree as vptree
+
+    monkeypatch.setattr(vptree, "QUERIES", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 8))
+    x[:300] = x[0]  # many equal vectors fill a cell
+    x[300:320] *= 1e-200
+    x[320:340] *= 1e200
+    ids = list(range(700))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = vptree.nearest(d, d.where("vec_id % 5 = 0"), 5, 1.0, shard_rows=60, leaf=16).collect()
+    scaled = x / np.abs(x).max(axis=1)[:, None]
+    cos = scaled @ scaled.T / np.outer(np.linalg.norm(scaled, axis=1), np.linalg.norm(scaled, axis=1))
+    for q in range(0, 700, 5):
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+        assert all(np.isfinite(r["score"]) and r["score"] <= 1 + 1e-12 for r in mine)
+        best = np.sort(np.delete(cos[q], q))[::-1][:5]
+        assert np.allclose([r["score"] for r in mine], best, atol=1e-12)
+        assert np.allclose([cos[q, r["vec_id"]] for r in mine], best, atol=1e-12)
