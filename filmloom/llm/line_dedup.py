@@ -119,7 +119,9 @@ def _marked(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Data
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], row_key(id_col, text_col).alias("row"))
     text = F.col(f"c{docs.columns.index(text_col)}")
     every = F.split(text, "\n")
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # the places that stay by a hash set, then their lines, so that a text with many deleted lines takes no longer
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone").cast("array<int>"))
+    kept = F.transform(F.array(every), lambda ls: F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n"))[0]
     # what is gone grows with the documents, so it is merged at every size, never broadcast
     both = own.join(gone.hint("merge"), "row", "left").drop("row")
     return both.withColumn("lines", F.coalesce(F.size(every), F.lit(0))).withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(kept))
