@@ -12,10 +12,11 @@ The machine over whole texts therefore has two kinds of states: inside a run of
 spaces) and inside a word (the transducer's state, and whether the spaces before it filled whole pieces).
 
 Texts of more than ``chunk`` characters are cut into chunks anywhere, inside words as well. A chunk's state map takes an
-entry state to the exit state and the tokens emitted on the way. It is tabulated for the entry that a start somewhat
-before the chunk leads to; the transducer forgets where it started within a few characters, so that is nearly always the
-right one. Maps compose by a tree fold: ``FAN`` neighbours at a time, level by level, where a map's exit must be an entry
-of the next. If it is not, the chunk is tabulated for that entry as well and the fold is done again.
+entry state to the exit state and the tokens emitted on the way. It is tabulated for all entries that the characters
+before the chunk allow: one, where a word begins among them; otherwise those that starts at each of as many places as the
+longest piece has characters lead to, as a token begins at one of these. Most starts lead to one state, and in periodic
+texts to one for each phase. Maps compose by a tree fold: ``FAN`` neighbours at a time, level by level, where a map's exit
+must be an entry of the next. Should it be none, the chunk is tabulated for that entry as well and the fold is done again.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _ONLY_SPACE = (np.arange(256, dtype=np.uint8), np.arange(256) != 32)
 MAX_STATES, MAX_CACHE = 250_000, 300_000
 #: A node with at most so many pieces under it stays open only if one of them may follow the last token.
 FEW = 60
-#: Maps composed at a time, characters before a chunk from which its entry state is guessed, and what checks a model.
+#: Maps composed at a time, characters before a chunk that tell its entry states, and what checks a model.
 FAN, WARM = 64, 256
 PROBES = ["", " ", "a", "  two  spaces ", "tab\tline\nend\r\n", "\uff21\ufb01\u2460 e\u0301 \u00e9 \u1e9b\u0323", "\u3000wide\u00a0hard\u200b", "\u2581mark", "\U0001f642 \u68a6\u0000 <s> </s>"]
 
@@ -67,6 +68,12 @@ class Transducer:
                 raise ValueError(f"a piece has white space inside: {p!r}")
             self.rank[p] = -sp.get_score(i)
         self.token = {p: i for i, p in enumerate(self.rank)}
+        self.longest = max(map(len, self.rank))
+        runs = {p for p in (sp.id_to_piece(i) for i in range(sp.get_piece_size())) if p and not p.strip(SPACE_MARK)}
+        least = [0]  # a run without a piece of its own is two pieces; the probes below tell if that is not so
+        for r in range(1, self.run):
+            least.append(1 if SPACE_MARK * r in runs else 1 + least[1])
+        self.rest = np.array(least, np.int64)
         self.text = list(self.rank)
         self.trie: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -91,7 +98,7 @@ class Transducer:
         self.open: dict[int, bool] = {}
         self.cache: dict[int, int] = {}
         self._reset()
-        for t in PROBES:
+        for t in [*PROBES, *("x" + " " * k + e for k in range(1, 2 * self.run + 2) for e in ("", "y"))]:
             if int(self.counts(_marked(pa.array([t]), True))[0]) != len(sp.encode(t)):
                 raise ValueError(f"not a model with the identity normaliser, a dummy prefix and byte fallback: it counts {t!r} otherwise")
 
@@ -222,46 +229,72 @@ class Transducer:
         """The state behind ``text`` from a state before it, and the tokens emitted on the way.
 
         A state is [r] inside spaces, r + 1 of which (modulo the longest piece) have been read and all but the first
-        counted, or [f, live...] inside a word, f telling that those before it filled whole pieces but for one.
+        counted, or [j, live...] inside a word, j being what changes if the space before it joins those before that.
         """
         own = np.frombuffer(state, np.int64).tolist()
         n, i, last = 0, 0, len(text)
         if len(own) == 1:
             while i < last and text[i] == " ":
                 i += 1
-            n += -(-(own[0] + i) // self.run) - -(-own[0] // self.run)
+            n += self.spaces(own[0] + i) - self.spaces(own[0])
             r = (own[0] + i) % self.run
             if i == last:
                 return self._frozen([r]), n
-            full, s = r == 0, self.start
+            joins, s = self.joining(r), self.start
             n += 1
         else:
-            full, s = bool(own[0]), self._state(tuple(own[1:]))
+            joins, s = own[0], self._state(tuple(own[1:]))
         at = text.find(" ", i)
         s, more = self._walk(s, text[i : last if at < 0 else at])
         n += more
         if at < 0:
-            return self._frozen([int(full), *self.live[s]]), n
-        n += self._ended(full, s)
+            return self._frozen([joins, *self.live[s]]), n
+        n += self._ended(joins, s)
         rest = text[at:]
         whole = rest.rstrip(" ")
         if len(whole) < len(rest):
             k = len(rest) - len(whole)
-            return self._frozen([(k - 1) % self.run]), n + int(self.counts(pa.array([whole]))[0]) + -(-(k - 1) // self.run)
+            return self._frozen([(k - 1) % self.run]), n + int(self.counts(pa.array([whole]))[0]) + self.spaces(k - 1)
         word = rest.rfind(" ") + 1
         inside = rest[:word].rstrip(" ")
         k = word - len(inside)
         s, more = self._walk(self.start, rest[word:])
-        return self._frozen([int((k - 1) % self.run == 0), *self.live[s]]), n + int(self.counts(pa.array([inside]))[0]) + -(-(k - 1) // self.run) + 1 + more
+        return self._frozen([self.joining((k - 1) % self.run), *self.live[s]]), n + int(self.counts(pa.array([inside]))[0]) + self.spaces(k - 1) + 1 + more
+
+    def entries(self, before: str) -> list[bytes]:
+        """The states that a text whose last characters are ``before``, and which has more than these, may be in."""
+        for i in range(len(before) - 1, 0, -1):
+            if before[i] == " " and before[i - 1] != " ":  # a segment begins here
+                return [self.through(BEGIN, before[i + 1 :])[0]]
+        word, joins = before.lstrip(" "), sorted({self.joining(r) for r in range(self.run)})
+        if not word:
+            return [self._frozen([r]) for r in range(self.run)]
+        if len(word) < len(before):
+            return [self._frozen([j, *self.live[self._walk(self.start, word)[0]]]) for j in joins]
+        # inside a word that began earlier: from behind any token, whatever came of the spaces before the word
+        out = {}
+        for lone in (0, 1):
+            for start in range(min(self.longest, len(word))):
+                s = self._walk(self._state((_entry(0, -1, 0, lone),)), word[start:])[0]
+                out |= {self._frozen([j, *self.live[s]]): None for j in joins}
+        return list(out)
 
     def end(self, state: bytes) -> int:
         """The tokens that a text's end adds in a state."""
         own = np.frombuffer(state, np.int64).tolist()
-        return int(own[0] == 0) if len(own) == 1 else self._ended(bool(own[0]), self._state(tuple(own[1:])))
+        return self.spaces(own[0] + 1) - self.spaces(own[0]) if len(own) == 1 else self._ended(own[0], self._state(tuple(own[1:])))
 
-    def _ended(self, full: bool, s: int) -> int:
+    def _ended(self, joins: int, s: int) -> int:
         """What a word's end adds: where the space before the word stays a token of its own, it joins the spaces before it."""
-        return int(full) - 1 if self.live[s][0] & 1 else 0
+        return joins if self.live[s][0] & 1 else 0
+
+    def spaces(self, k):
+        """Tokens of ``k`` spaces: whole longest pieces and what is left, for which there may be no single piece."""
+        return k // self.run + self.rest[k % self.run]
+
+    def joining(self, r: int) -> int:
+        """What changes where a space joins ``r`` others, whole longest pieces aside, instead of being a token of its own."""
+        return int(self.spaces(r + 1) - self.spaces(r) - 1)
 
     def _walk(self, s: int, word: str) -> tuple[int, int]:
         n = 0
@@ -305,12 +338,11 @@ class Transducer:
                 before[0] = 0
                 before = np.maximum(before, at[w.doc])
                 k = w.start - before
-                spaces = np.where(lone == 1, k, k - 1)
-                np.add.at(of, w.doc, np.where(lone == 1, n - 1, n) + -(-spaces // self.run))
+                np.add.at(of, w.doc, np.where(lone == 1, n - 1, n) + self.spaces(np.where(lone == 1, k, k - 1)))
             last = at[:-1].copy()
             has = np.diff(w.first) > 0
             last[has] = w.end[w.first[1:][has] - 1]
-            of += -(-(at[1:] - last) // self.run)
+            of += self.spaces(at[1:] - last)
             total[w.rows] = of
         return total
 
@@ -385,9 +417,9 @@ def _long_counts(long: DataFrame, model_path: str, chunk: int) -> DataFrame:
             rows = []
             for r in b.to_pylist():
                 text, warm = (x and x.replace(SPACE_MARK, " ") for x in (r["_t"], r["warm"]))
-                entry = r.get("entry") or (BEGIN if warm is None else t.through(BEGIN, warm)[0])
-                state, n = t.through(entry, text)
-                rows.append((r["_row"], r["_k"], r["_k"], entry, state, n, -1))
+                for entry in [r["entry"]] if r.get("entry") else [BEGIN] if warm is None else t.entries(warm):
+                    state, n = t.through(entry, text)
+                    rows.append((r["_row"], r["_k"], r["_k"], entry, state, n, -1))
             yield from _table(rows).to_batches()
 
     known = written(cut.mapInArrow(maps, _MAPS), "state-maps")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -599,3 +600,39 @@ def test_vptree_tiny_huge_and_equal_vectors(spark, monkeypatch):
         best = np.sort(np.delete(cos[q], q))[::-1][:5]
         assert np.allclose([r["score"] for r in mine], best, atol=1e-12)
         assert np.allclose([cos[q, r["vec_id"]] for r in mine], best, atol=1e-12)
+
+
+def test_token_counts_of_periodic_texts_take_one_round(spark, monkeypatch):
+    import sentencepiece
+
+    import filmloom.llm.token_counts as token_counts
+    from filmloom.llm.q_token_counts import model_path
+
+    folds, write = [], token_counts.written
+
+    def counted(df, name):
+        folds.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(token_counts, "written", counted)
+    texts = ["hello" * 1500, "ing" * 2600, "a" * 6000, "ab" * 3000, "word " + "of" * 2500, " " * 5000, "x" + " " * 4000 + "y" * 3000, "日本語" * 900, "".join(random.Random(3).choices("ABCDEFabcdef0123456789+/", k=5000)), "internationalisation" * 300, "end  " * 900, "\U0001f642" * 1200]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.with_token_counts(d, model_path(), chunk=700).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    assert folds.count("folded-maps") == 1
+
+
+def test_many_deleted_lines_in_one_text(spark):
+    import time
+
+    from filmloom.llm.line_dedup import marked
+
+    lines = [f"line {i} of a long text" for i in range(60_000)]
+    d = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["own first", *lines, "own last"]))], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in marked(d).collect()}
+    assert time.time() - began < 120
+    assert got[1]["kept"] == "\n".join(lines)
+    assert got[2]["kept"] == "own first\nown last"
+    assert len(got[2]["gone"]) == 60_000
