@@ -89,7 +89,7 @@ def full_range(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]
 
 
 #: Fixed values, by layout: bits of luma and of each chroma in a pixel's word.
-LAYOUTS = {"6Y5UV": (6, 5), "YUV555": (5, 5), "6Y6UV": (6, 6)}
+LAYOUTS = {"6Y5UV": (6, 5), "YUV555": (5, 5), "6Y6UV": (6, 6), "YUV888": (8, 8), "RGB888": (8, 8)}
 
 
 def word(layout: str, y: Column, u: Column, v: Column) -> Column:
@@ -103,3 +103,9 @@ def fields(layout: str, w: Column) -> tuple[Column, Column, Column]:
     """Luma and chroma of a pixel's word."""
     a, b = LAYOUTS[layout]
     return w.bitwiseAND(F.lit((1 << a) - 1)), F.shiftright(w, a).bitwiseAND(F.lit((1 << b) - 1)), F.shiftright(w, a + b).bitwiseAND(F.lit((1 << b) - 1))
+
+
+def turned_over(pixels: Column, width: int) -> Column:
+    """A plane's pixels with its rows in the opposite order."""
+    rows = F.sequence(F.floor(F.size(pixels) / width).cast("int") - 1, F.lit(0), F.lit(-1))
+    return F.when(F.size(pixels) >= width, F.flatten(F.transform(rows, lambda r: F.slice(pixels, r * width + 1, F.lit(width))))).otherwise(pixels)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions import audio, bits
@@ -81,3 +81,27 @@ def sound(films: DataFrame, id_col: str, content: str = "content") -> DataFrame:
     plain = blocks.where("kind = 'WAV1'").select(id_col, "kind", "block", F.transform(bits.byte_values(F.col("_b")), audio.e8_to_s16).alias("samples"))
     coded = blocks.where("kind = 'WAV2'").withColumn("_codes", audio.nibbles(F.col("_b"), True))
     return plain.union(adpcm_track(coded, [id_col], "block", "_codes", "ima").select(id_col, "kind", "block", "samples"))
+
+
+def unpacked(stored: Column, width: Column, height: Column, mode: Column) -> Column:
+    """The pixels of a whole screen, row by row, from an array of a frame's stored bytes.
+
+    Modes of 16 colours have two pixels a byte, the left one low; modes that are stored at half their height show each row twice.
+    """
+    packed, half = mode.isin(27, 12, 13, 39), mode.isin(12, 13, 39, 15, 36, 40)
+
+    def pixel(k: Column) -> Column:
+        x, y = k % width, F.floor(k / width)
+        row = F.when(half, F.floor(y / 2)).otherwise(y)
+        byte = F.get(stored, F.when(packed, row * F.floor(width / 2) + F.floor(x / 2)).otherwise(row * width + x).cast("int"))
+        return F.when(~packed, byte).when(x % 2 == 0, byte.bitwiseAND(F.lit(15).cast("bigint"))).otherwise(F.shiftright(byte, 4)).cast("bigint")
+
+    return F.transform(F.sequence(F.lit(0), (width * height - 1).cast("int")), pixel)
+
+
+def true_size(chunk: Column, has_palette: Column, width: Column, height: Column) -> Column:
+    """(width, height) that a movie's first wrapper tells, if each is from 1 to 4096, else the header's."""
+    at = F.when(has_palette, 1028).otherwise(0)
+    w, h = (bits.word_at(chunk, at + n) for n in (8, 12))
+    good = F.coalesce(w.between(1, 4096) & h.between(1, 4096), F.lit(False))
+    return F.struct(F.when(good, w).otherwise(width).cast("bigint").alias("width"), F.when(good, h).otherwise(height).cast("bigint").alias("height"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from filmloom.plans import films, media, modes, pictures, queries, reports, streams  # noqa: F401
+from filmloom.plans import descriptors, films, media, modes, pictures, queries, reports, streams  # noqa: F401
 from filmloom.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
