@@ -118,3 +118,30 @@ def split_modes(pairs: DataFrame, planes: list[str], level: int, lengths: list[i
                     )
 
     return pairs.mapInArrow(run, "frame_no bigint, policy string, k bigint, mode string, children string, bits bigint")
+
+
+def spatial_sources(pictures: DataFrame, planes: list[str], side: int = 8) -> DataFrame:
+    """Copies of blocks of both sizes from the picture itself: frame_no, size, k, s, sources, ord, err.
+
+    ``sources`` are the format's vectors that point to pixels coded before the block, ``ord`` the one of least error, first of
+    equals, and ``err`` that error; both null where there is none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            now, n = _planes(b, planes, side), b.num_rows
+            for block in (4, 2):
+                for k, s, x, y in places(side, block):
+                    best, at, sources = np.full(n, NONE), np.zeros(n, np.int64), 0
+                    mine = [p[:, y : y + block, x : x + block] for p in now]
+                    for order, (dx, dy) in enumerate(SPATIAL[block]):
+                        if coded_before(x, y, dx, dy, block, side):
+                            sources += 1
+                            err = _profile(mine, [p[:, y + dy : y + dy + block, x + dx : x + dx + block] for p in now])[0]
+                            less = err < best
+                            best[less], at[less] = err[less], order
+                    none = best == NONE
+                    fixed = [pa.array(np.full(n, v)) for v in (block, k, s, sources)]
+                    yield pa.RecordBatch.from_arrays([b.column("frame_no"), *fixed, pa.array(at, mask=none), pa.array(best, mask=none)], ["frame_no", "size", "k", "s", "sources", "ord", "err"])
+
+    return pictures.mapInArrow(run, "frame_no bigint, size bigint, k bigint, s bigint, sources bigint, ord bigint, err bigint")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filmloom.operators.pictures import signed
 from filmloom.operators.quality import THRESHOLDS
 from filmloom.operators.render import blended
 from filmloom.operators.split import SPATIAL, split_modes
+from filmloom.operators.split import spatial_sources as sources
 from filmloom.plans.media import LUMA_BITS
-from filmloom.plans.pictures import _V_SQL, YUV, YUV_SQL, _copies_sql, coloured_pairs
+from filmloom.plans.pictures import _V_SQL, YUV, YUV_SQL, _copies_sql, coloured, coloured_pairs
 from filmloom.plans.queries import FRAMES_SQL, frames
 from filmloom.plans.registry import query
 
@@ -87,6 +89,26 @@ def split_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unpivot("policy", _CELLS, "cell", "blocks")
 
 
+def _spatial_sql(block: int) -> str:
+    moves = ", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate(SPATIAL[block]))
+    own, child = "(p.row_no // 4 * 2 + p.x // 4)", "p.row_no % 4 // 2 * 2 + p.x % 4 // 2" if block == 2 else "0"
+    pair = f"""FROM places b JOIN (SELECT * FROM (VALUES {moves}) AS m(ord, dx, dy)) v ON b.x + dx BETWEEN 0 AND {8 - block} AND b.y + dy BETWEEN 0 AND {8 - block} JOIN yuv c ON c.x BETWEEN b.x AND b.x + {block - 1} AND c.row_no BETWEEN b.y AND b.y + {block - 1}
+ JOIN yuv p ON p.frame_no = c.frame_no AND p.x = c.x + dx AND p.row_no = c.row_no + dy WHERE size = {block} GROUP BY c.frame_no, k, s, ord HAVING bool_and({own} < k OR {own} = k AND {child} < s)"""
+    return f"SELECT c.frame_no AS frame_no, {block} AS size, k, s, ord, {_copies_sql(block, pair)}"
+
+
+@query(
+    "spatial_sources",
+    f"""{_MODES_SQL.split("copies AS")[0]} found AS ({" UNION ALL ".join(f"SELECT frame_no, size, k, s, ord, total FROM ({_spatial_sql(b)})" for b in (4, 2))}),
+g AS (SELECT frame_no, size, k, s, count(*) AS sources, min(total) AS err, arg_min(ord, total * 8 + ord) AS ord FROM found GROUP BY frame_no, size, k, s)
+SELECT f.frame_no, CAST(b.size AS BIGINT) AS size, CAST(b.k AS BIGINT) AS k, CAST(b.s AS BIGINT) AS s, CAST(coalesce(sources, 0) AS BIGINT) AS sources, CAST(ord AS BIGINT) AS ord, err FROM places b CROSS JOIN (SELECT DISTINCT frame_no FROM yuv) f LEFT JOIN g ON g.frame_no = f.frame_no AND g.size = b.size AND g.k = b.k AND g.s = b.s""",
+)
+def spatial_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per block of both sizes the vectors into the picture itself whose source is coded before, and the best of them."""
+    c = coloured(spark, sf_dir).select("frame_no", "y", *[F.transform(p, lambda v: signed(v)).alias(p) for p in ("u", "v")])
+    return sources(c, YUV)
+
+
 #: Blocks a side of a tile in the rendering query; pictures are of eight by eight blocks.
 TILE = 4
 _LANE_SQL = """b AS (SELECT frame_no, x AS bx, y AS brow, luma * 4 AS g, (luma * 3 % 32) * 4 AS bl, (luma * 7 % 32) * 8 AS r, luma % 5 = 0 AS tex, luma % 4 AS step, (luma * 37 + 11) % 256 AS signs FROM frames),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmloom.plans.registry import query, table
@@ -141,17 +141,21 @@ SELECT n.frame_no, n.x, n.y, CAST((luma - CASE WHEN l IS NULL AND a IS NULL THEN
 FROM n JOIN c USING (frame_no, bx, brow)""",
 )
 def luma_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction residuals mod 64 of 4x4 blocks: from left and above, the first pixel from the last block's mean."""
-    from pyspark.sql import Window
-
-    b = frames(spark, sf_dir).withColumns({"bx": F.floor(F.col("x") / 4), "brow": F.floor(F.col("y") / 4)})
-    mean = b.groupBy("frame_no", "bx", "brow").agg(F.floor(F.sum("luma") / 16).alias("mean"))
-    carried = mean.select("frame_no", "bx", "brow", F.coalesce(F.lag("mean").over(Window.partitionBy("frame_no").orderBy("brow", "bx")), F.lit(0)).alias("carried"))
-    left = F.lag("luma").over(Window.partitionBy("frame_no", "bx", "brow", "y").orderBy("x"))
-    above = F.lag("luma").over(Window.partitionBy("frame_no", "bx", "brow", "x").orderBy("y"))
-    n = b.withColumn("l", left).withColumn("a", above).join(carried, ["frame_no", "bx", "brow"])
-    guess = F.coalesce(F.floor((F.col("l") + F.col("a")) / 2), F.col("l"), F.col("a"), F.col("carried"))
-    return n.select("frame_no", "x", "y", ((F.col("luma") - guess + 64) % 64).cast("bigint").alias("residual"))
+    """Prediction residuals mod 64 of 4x4 blocks: from left and above, the first pixel from the last block's mean. One expression a picture."""
+    p = pictures(spark, sf_dir)
+    at = lambda x, y: F.get("luma", (y * 8 + x).cast("int"))
+    mean = lambda k: F.floor(F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: at(k % 2 * 4 + i % 4, F.floor(k / 2) * 4 + F.floor(i / 4))), F.lit(0).cast("bigint"), lambda a, v: a + v) / 16)
+    # what is carried to each of the four blocks
+    p = p.withColumn("carried", F.array(F.lit(0).cast("bigint"), *[mean(F.lit(k)).cast("bigint") for k in range(3)]))
+
+    def residual(v: Column, i: Column) -> Column:
+        x, y = i % 8, F.floor(i / 8)
+        left, above = at(x - 1, y), at(x, y - 1)
+        first = F.get("carried", (F.floor(y / 4) * 2 + F.floor(x / 4)).cast("int"))
+        guess = F.when((x % 4 == 0) & (y % 4 == 0), first).when(y % 4 == 0, left).when(x % 4 == 0, above).otherwise(F.floor((left + above) / 2))
+        return F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), ((v - guess + 64) % 64).cast("bigint").alias("residual"))
+
+    return p.select("frame_no", F.explode(F.transform("luma", residual)).alias("r")).select("frame_no", "r.*")
 
 
 RGB_SQL = "rgb AS (SELECT event_id, (user_id * 37 + event_id * 11) & 255 AS r, CAST(floor(value) AS BIGINT) & 255 AS g, (event_id * 73) & 255 AS b FROM events)"

@@ -169,26 +169,6 @@ def prefix_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("frame_no", "bx", "brow", F.length("written").cast("bigint").alias("bits"), F.array_join(codes.read(F.col("written"), own), ",").alias("symbols"))
 
 
-@query(
-    "spatial_sources",
-    """WITH v AS (SELECT * FROM (VALUES (-4, -4), (0, -4), (4, -4), (-4, 0), (-5, -1), (-1, -5), (4, 0), (-2, 2)) AS t(dx, dy)), p AS (SELECT vec_id AS frame_no, unnest(range(16)) AS k FROM embeddings),
-b AS (SELECT frame_no, k % 4 * 4 AS x, k // 4 * 4 AS y FROM p)
-SELECT frame_no, CAST(count(*) AS BIGINT) AS sources FROM b, v WHERE x + dx >= 0 AND y + dy >= 0 AND x + dx + 4 <= 16 AND y + dy + 4 <= 16 AND (y + dy + 4 <= y OR (y + dy <= y AND x + dx + 4 <= x)) GROUP BY frame_no""",
-)
-def spatial_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In pictures of 4x4 blocks of four pixels, the pairs of block and vector whose source is all decoded before: above, or left and not below."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_no"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    vectors = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((-4, -4), (0, -4), (4, -4), (-4, 0), (-5, -1), (-1, -5), (4, 0), (-2, 2))])
-    x, y = F.col("k") % 4 * 4, F.floor(F.col("k") / 4).cast("int") * 4
-
-    def ready(v: Column) -> Column:
-        sx, sy = x + v["dx"], y + v["dy"]
-        inside = (sx >= 0) & (sy >= 0) & (sx <= 12) & (sy <= 12)
-        return inside & ((sy + 4 <= y) | ((sy <= y) & (sx + 4 <= x)))
-
-    return e.groupBy("frame_no").agg(F.sum(F.size(F.filter(vectors, ready))).alias("sources"))
-
-
 @query(
     "picture_files",
     f"""WITH {YUV_SQL}, s AS (SELECT frame_no, row_no * 8 + x AS k, CAST(sign(y * 255) * floor((y * 255 + 31) / 63) AS BIGINT) AS g FROM yuv)
