@@ -32,8 +32,8 @@ from filmloom.llm._shared import forget, release, written
 from filmloom.llm._text import SPACE, mix, words
 
 CHUNK, SHARD_KEYS = 3 << 18, 2_000_000
-#: How many occurrences the lower order is worth, behind one word and behind two; good on held-out texts of sf0.1.
-BEHIND_ONE, BEHIND_TWO = 3000.0, 10.0
+#: How many occurrences the lower order is worth, behind one word and behind two; ``tuning`` tries others inside the training rows.
+WORTH = (10000.0, 3.0)
 _START, _END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 _BY = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -122,11 +122,11 @@ class Grams:
 class Automaton:
     """States and arcs that the texts of a chunk walk through; ``n``: the training counts of the keys of every order of ``g``."""
 
-    def __init__(self, g: Grams, n: list[np.ndarray], tokens: int, kinds: int):
+    def __init__(self, g: Grams, n: list[np.ndarray], tokens: int, kinds: int, worths: tuple[float, float] = WORTH):
         self.g, self.n, self.word_log = g, n, np.log10((n[0] + 0.5) / (tokens + 0.5 * (kinds + 1)))
         p = 10.0**self.word_log
         self.arc, self.fail = [], []
-        for o, worth in ((1, BEHIND_ONE), (2, BEHIND_TWO)):
+        for o, worth in zip((1, 2), worths, strict=True):
             j = g.some[o]  # an n-gram's arc is that of any of its occurrences
             context = g.at[o - 1][j - 1]
             if o == 1:  # the start mark is a context as often as there are ends
@@ -242,7 +242,7 @@ def _told(t: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return told >> 1, told & 1 > 0
 
 
-def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens: int = CHUNK, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens: int = CHUNK, shard_keys: int = SHARD_KEYS, worths: tuple[float, float] = WORTH) -> DataFrame:
     """``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score; learnt from the rows where ``train`` is true.
 
     Words are runs of other than ASCII white space, A-Z in lower case; a text is its words and one end. Null and empty
@@ -282,7 +282,7 @@ def scores(docs: DataFrame, train: Column, text_col: str = "text", chunk_tokens:
         two, shared = _told(told, 2)
         three = g.seen(train, 3)
         three[g.elsewhere(shared)] = _told(told, 3)[0]
-        a = Automaton(g, [_told(told, 1)[0], two, three], tokens, kinds)
+        a = Automaton(g, [_told(told, 1)[0], two, three], tokens, kinds, worths)
         base, full = a.read()
         n, known = (np.bincount(g.text, x, minlength=len(rows)) for x in (g.token, g.token & (a.n[0][g.at[0]] > 0)))
         own = [rows.field(f"c{i}") for i in range(len(cols))]

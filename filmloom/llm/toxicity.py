@@ -54,6 +54,7 @@ class Lexicon:
 
     def __init__(self, whole: list[str], stems: list[str], ordinary: list[str] | None = None, exact: set[str] | None = None):
         self.whole, self.stems, self.ordinary = set(whole), set(stems), set(ordinary or [])
+        self.misspelled, self.quoted = MISSPELLED, QUOTED
         exact = exact or set()
         self.trie: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]  # 1 a term ends here, 2 a stem
@@ -155,7 +156,7 @@ class Lexicon:
             abuse = np.zeros(rows)
             for i in np.flatnonzero(kind).tolist():
                 d = int(w.doc[i])
-                abuse[d] += (MISSPELLED if kind[i] == 3 else 1.0) * (QUOTED if self._quoted(w, blob, i, d) else 1.0)
+                abuse[d] += (self.misspelled if kind[i] == 3 else 1.0) * (self.quoted if self._quoted(w, blob, i, d) else 1.0)
             n = np.maximum(1, np.diff(w.first))
             out[w.rows] = np.stack([np.minimum(1.0, abuse), np.log1p(abuse), np.minimum(1.0, 20 * abuse / n)], axis=1)
         return out
@@ -196,7 +197,7 @@ def _candidates(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(sample: DataFrame, share: float = 0.01, odds: float = 25.0) -> Lexicon:
+def learn_lexicon(sample: DataFrame, share: float = 0.01, odds: float = 25.0, crowded: int = CROWDED) -> Lexicon:
     """Words and stems in at least ``share`` of the toxic documents (three or more), ``odds`` times as likely as in others."""
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     t, c = n.get(1, 0), n.get(0, 0)
@@ -228,7 +229,7 @@ def learn_lexicon(sample: DataFrame, share: float = 0.01, odds: float = 25.0) ->
     for term in {*whole, *families}:
         one = Lexicon([term] if term in lex.whole else [], [term] if term in lex.stems else [])
         crowd[term] = sum(one.kind(w) == 3 for w in near)
-    return Lexicon(whole, families, near, {term for term, n in crowd.items() if n >= CROWDED})
+    return Lexicon(whole, families, near, {term for term, n in crowd.items() if n >= crowded})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40, weigh: np.ndarray | None = None) -> np.ndarray:
@@ -255,7 +256,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", misspelled: float = MISSPELLED, quoted: float = QUOTED, crowded: int = CROWDED) -> Scorer:
     """A scorer from the labelled documents of the training folds; without both labels it scores everything 0.
 
     Labels that are null or neither 0 nor 1, and rows without an id, are left out; of several labels for an id the
@@ -268,7 +269,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str =
     some = lab.where("toxic = 1").orderBy(order, "_id").limit(sample).union(lab.where("toxic = 0").orderBy(order, "_id").limit(sample))
     some = written(some, "labelled")
     got = written(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "_id").select("text", "toxic"), "labelled-texts")
-    lex = learn_lexicon(got)
+    lex = learn_lexicon(got, crowded=crowded)
+    lex.misspelled, lex.quoted = misspelled, quoted
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

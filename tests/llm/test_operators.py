@@ -383,10 +383,10 @@ def test_lm(docs, nothing, chunk, keys):
         return (c[x] + 0.5) / (n + 0.5 * (v + 1))
 
     def pair(a, b):
-        return (two[a, b] + lm.BEHIND_ONE * one(b)) / (context[a] + lm.BEHIND_ONE)
+        return (two[a, b] + lm.WORTH[0] * one(b)) / (context[a] + lm.WORTH[0])
 
     def triple(a, b, x):
-        return pair(b, x) if a == "" else (three[a, b, x] + lm.BEHIND_TWO * pair(b, x)) / (two[a, b] + lm.BEHIND_TWO)
+        return pair(b, x) if a == "" else (three[a, b, x] + lm.WORTH[1] * pair(b, x)) / (two[a, b] + lm.WORTH[1])
 
     assert math.isclose(sum(triple("<", VOCAB[0], x) for x in c) + triple("<", VOCAB[0], "unseen"), 1)
     # the sizes decide how the work is cut, not what comes out
