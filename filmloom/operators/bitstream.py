@@ -56,6 +56,11 @@ def _digits(body: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda h: F.reverse(F.lpad(F.conv(h, 16, 2), 8, "0"))), "")
 
 
+def _pattern(begun: str, codes: set[str]) -> str:
+    """A pattern of the codes that begin so, in which every digit is looked at once."""
+    return "" if begun in codes else f"(?:0{_pattern(begun + '0', codes)}|1{_pattern(begun + '1', codes)})"
+
+
 def read_codes(chunks: DataFrame, keys: list[str], order: str, body: str, codes: list[tuple[int, int]]) -> DataFrame:
     """``chunks`` with ``skip``, the bits at a chunk's beginning that end a code of the chunk before, and ``symbols``, of the codes that begin in it.
 
@@ -65,7 +70,7 @@ def read_codes(chunks: DataFrame, keys: list[str], order: str, body: str, codes:
     code are no symbol.
     """
     own, most = strings(codes), max(n for _, n in codes)
-    one = F.lit("|".join(sorted(own, key=len)))
+    one = F.lit(_pattern("", set(own)))
     symbol = F.create_map(*[x for s, c in enumerate(own) for x in (F.lit(c), F.lit(s).cast("bigint"))])
     after = chunks.select(*keys, (F.col(order) - 1).alias(order), F.substring(F.col(body), 1, 2).alias("_next"))
     c = chunks.join(after, [*keys, order], "left").withColumn("_b", _digits(F.col(body))).withColumn("_ahead", F.coalesce(_digits(F.col("_next")), F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.functions import audio
+from filmloom.sources.scratch import kept
 
 
 def prefix_scan(rows: DataFrame, keys: list[str], order: str, state: Column, compose: Callable[[Column, Column], Column], identity: Column, out: str, fan: int = 64) -> DataFrame:
@@ -17,8 +18,8 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: str, state: Column, com
     their compositions as many again, and so on; then what comes before each group is handed down the same way. No task
     sees more than ``fan`` states of a group at once.
     """
-    own = rows.select(*keys, F.col(order).cast("bigint").alias("_o"), state.alias("_s"))
-    most, levels, now = rows.agg(F.max(order)).first()[0] or 0, [], own
+    own = kept(rows.select(*keys, F.col(order).cast("bigint").alias("_o"), state.alias("_s")), "scan-states")
+    most, levels, now = own.agg(F.max("_o")).first()[0] or 0, [], own
     while True:
         up = now.groupBy(*keys, F.floor(F.col("_o") / fan).alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_o", "_s"))).alias("_m"))
         levels.append(up)

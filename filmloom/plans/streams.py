@@ -9,6 +9,7 @@ from filmloom.functions import bits
 from filmloom.operators.bitstream import LUMA_CODES, read_codes, strict_end, strings, write_codes
 from filmloom.plans.films import turns
 from filmloom.plans.registry import query
+from filmloom.sources.scratch import kept
 
 #: Bytes of a chunk that is read apart from others.
 CHUNK = 48
@@ -24,7 +25,7 @@ def code_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = write_codes(t, ["conv_id"], "turn", "symbols", LUMA_CODES)
     lengths = F.array(*[F.lit(n) for _, n in LUMA_CODES])
     used = t.groupBy("conv_id").agg(F.sum(F.size("symbols")).cast("bigint").alias("n"), F.sum(F.aggregate("symbols", F.lit(0).cast("bigint"), lambda a, s: a + lengths[s.cast("int")])).alias("used_bits"))
-    return pieces.groupBy("conv_id").agg(F.expr("listagg(body, X'') WITHIN GROUP (ORDER BY at)").alias("payload")).join(used, "conv_id")
+    return kept(pieces.groupBy("conv_id").agg(F.expr("listagg(body, X'') WITHIN GROUP (ORDER BY at)").alias("payload")).join(used, "conv_id"), "code-payloads")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filmloom.functions import audio, bits
 from filmloom.operators.scan import adpcm_track
+from filmloom.sources.scratch import kept
 from filmloom.sources.walks import sized_blocks, tags, walked
 
 #: Bytes of a film's header behind its tag, before palette entries, and before samples behind a sound's inner tag.
@@ -77,7 +78,7 @@ def sound(films: DataFrame, id_col: str, content: str = "content") -> DataFrame:
     )
     own = own.where(F.col("kind").isin("WAV1", "WAV2") & (F.col("_n") > 0))
     cuts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(BLOCK).cast("bigint")), lambda k: F.substring(F.col(content), (F.col("_at") + k).cast("int") + 1, F.least(F.lit(BLOCK), F.col("_n") - k).cast("int")))
-    blocks = own.select(id_col, "kind", F.posexplode(cuts).alias("block", "_b")).withColumn("block", F.col("block").cast("bigint"))
+    blocks = kept(own.select(id_col, "kind", F.posexplode(cuts).alias("block", "_b")).withColumn("block", F.col("block").cast("bigint")), "sound-blocks")
     plain = blocks.where("kind = 'WAV1'").select(id_col, "kind", "block", F.transform(bits.byte_values(F.col("_b")), audio.e8_to_s16).alias("samples"))
     coded = blocks.where("kind = 'WAV2'").withColumn("_codes", audio.nibbles(F.col("_b"), True))
     return plain.union(adpcm_track(coded, [id_col], "block", "_codes", "ima").select(id_col, "kind", "block", "samples"))
