@@ -30,15 +30,21 @@ def parse_catalogue(movies: DataFrame, id_col: str, text_col: str, keep: list[st
     )
 
 
+#: The largest number of a header's field: 32 bits.
+MOST = (1 << 32) - 1
+
+
 def parse_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` (as read by the binaryFile source) with ``head``, the fields of a movie's header, and ``status``.
 
     Three lines of text follow the magic; then come numbers, each with a label behind it. A blank number is 0. A sample
-    rate given as a period in microseconds becomes one in Hz. A key offset that cannot be read is -1.
+    rate given as a period in microseconds becomes one in Hz. A key offset that cannot be read is -1. A number of more than
+    32 bits makes a header malformed.
     """
     ls = F.split(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), "\n")
     at = lambda n: F.coalesce(F.get(F.col("_ls"), F.lit(n - 1)), F.lit(""))
-    num = lambda n: F.when(F.trim(at(n)) == "", F.lit(0).cast("bigint")).otherwise(F.regexp_extract(at(n), r"^ *(\d+)", 1).try_cast("bigint"))
+    narrow = lambda v: F.when(v <= MOST, v)
+    num = lambda n: F.when(F.trim(at(n)) == "", F.lit(0).cast("bigint")).otherwise(narrow(F.regexp_extract(at(n), r"^ *(\d+)", 1).try_cast("bigint")))
     label = lambda n: F.regexp_extract(at(n), r"^ *\d* *(.*)$", 1)
     period = label(11).rlike("^(µ[sS]|Âµ[sS]|[uU][sS]( |$))")
     rate = F.when(period & (num(11) > 0), F.floor((1000000 + F.floor(num(11) / 2)) / num(11))).otherwise(num(11)).cast("bigint")

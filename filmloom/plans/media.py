@@ -420,18 +420,10 @@ REEL = 64
 )
 def streamed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picture differences by a streaming query with state per movie, run over all that is there and then read."""
-    import tempfile
-    import uuid
-
+    from filmloom.sources.scratch import scratch
     from filmloom.streaming.deltas import OUT, frame_deltas
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="filmloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    run = f"{base.rstrip('/')}/deltas-{uuid.uuid4().hex}"
+    run = scratch(spark, "deltas")
     schema = table(spark, sf_dir, "embeddings").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")
     luma = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(63), F.floor((v.cast("double") + 1.0) * 32.0))).cast("int"))

@@ -169,3 +169,13 @@ def test_tiles_do_not_show(spark):
     whole = picture(16)
     assert len(whole) == 140
     assert picture(1) == picture(2) == picture(3) == whole
+
+
+@pytest.mark.parametrize(("number", "status"), [("320", "ok"), ("4294967295", "ok"), ("4294967296", "malformed"), ("99999999999999999999", "malformed"), ("x", "malformed")])
+def test_numbers_of_headers_have_32_bits(spark, number, status):
+    from filmloom.operators.layout import parse_headers
+
+    lines = ["ARMovie", "t", "c", "a", "19", number, "8", "16", "25", "1", "8000", "1", "8", "25", "0", "0", "0", "300", "0", "0", "-1 (no keys)"]
+    content = ("\n".join(lines) + "\n").encode().ljust(400, b"\0")
+    got = parse_headers(spark.createDataFrame([(content,)], "content binary")).first()
+    assert got["status"] == status
