@@ -20,6 +20,8 @@ from filmloom.llm.ngram_join import jaccard_components
 from filmloom.llm.toxicity import learn, with_scores
 
 REJECT, MIN_WORDS, SHINGLE, PERCENT, WINDOW = 0.7, 50, 5, 80, 10
+#: Most bytes of texts sent to a Python worker at once: buffers on both sides are a few times as large, for every task.
+BATCH_BYTES = 4 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,8 +94,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        last, docs = docs, written(stage(spark, docs, sf_dir), name)
-        if k:
-            forget(last)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            last, docs = docs, written(stage(spark, docs, sf_dir), name)
+            if k:
+                forget(last)
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,7 +13,7 @@ after another, the spans found so far written to the shared folder between them
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -196,8 +196,8 @@ def _offsets(w, col: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(size)])
 
 
-def item_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[int]]]]:
-    """The items as (id as text, word hashes), one block after another."""
+def item_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[bool, list[tuple[str, list[int]]]]]:
+    """The items as (id as text, word hashes), one block after another, each with whether it is the last."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,7 +211,7 @@ def item_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int)
     blocks = max(1, -(-total // block_words))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "h").toArrow()
-        yield [(i, np.array(h, np.int64).view(np.uint64).tolist()) for i, h in zip(own["i"].to_pylist(), own["h"].to_pylist(), strict=True)]
+        yield k == blocks - 1, [(i, np.array(h, np.int64).view(np.uint64).tolist()) for i, h in zip(own["i"].to_pylist(), own["h"].to_pylist(), strict=True)]
     forget(items)
 
 
@@ -223,13 +223,26 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, block_wo
     share an id are that item together; empty tables give no rows and no hits; columns named like the new ones are
     replaced.
     """
-    spark = docs.sparkSession
-    new = ["n_words", "n_hit", "hit_items", "hit_bytes"]
-    cols = [c for c in docs.columns if c not in new]
-    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    name = f"c{cols.index(text_col)}"
+    cols = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hit_bytes")]
+    own = _passed(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]), f"c{cols.index(text_col)}", item_blocks(bench, item_id, item_text, block_words), window)
+    n_hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
+    return own.select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)],
+        F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("hit_items"), F.col("_bytes").alias("hit_bytes"),
+    )
+
+
+def _passed(own: DataFrame, name: str, blocks: Iterator[tuple[bool, list[tuple[str, list[int]]]]], window: int, finish: Callable | None = None) -> DataFrame:
+    """``own``, its columns named c0, c1 and so on, with _n, _spans, _items and _bytes.
+
+    With ``finish`` it has its own columns only: the rows that ``finish`` makes, in the pass of the last block, of a batch
+    of them, its texts' words, hit word ranges and hit byte ranges.
+    """
+    spark = own.sparkSession
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    kept = own.columns
     first, between, sent = True, [], None
-    for block in item_blocks(bench, item_id, item_text, block_words):
+    for last, block in blocks:
         if not first:
             own = written(own, "block-hits")
             between.append(own)
@@ -239,8 +252,9 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, block_wo
             between = between[-1:]
         auto = Automaton(window).build([(k, seq) for k, (_, seq) in enumerate(block)])
         sent = spark.sparkContext.broadcast((auto, [i for i, _ in block]))
+        end = finish if last else None
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, first=first) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, first=first, end=end) -> Iterator[pa.RecordBatch]:
             auto, ids = sent.value
             for b in batches:
                 n, spans, found, byte_spans = hits(b.column(name), auto)
@@ -251,10 +265,13 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, block_wo
                             spans[row] = _union(spans[row] + [(s["a"], s["b"]) for s in had_spans])
                             items[row] = items[row] + had_items
                     byte_spans = _byte_spans(b.column(name), spans)
-                kept = [x for x in b.schema.names if x[0] == "c"]
+                mine = b.select(kept)
+                if end:
+                    yield end(mine, n, spans, byte_spans)
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[b.column(x) for x in kept],
+                        *mine.columns,
                         pa.array(n),
                         pa.array([[{"a": a, "b": z} for a, z in s] for s in spans], _SPANS),
                         pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
@@ -263,15 +280,10 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, block_wo
                     [*kept, "_n", "_spans", "_items", "_bytes"],
                 )
 
-        base = own if first else own.select(*[c for c in own.columns if c[0] == "c"], "_spans", "_items")
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name[0] == "c")
-        own = base.mapInArrow(scan, f"{fields}, _n bigint, _spans array<struct<a:bigint,b:bigint>>, _items array<string>, _bytes array<struct<a:bigint,b:bigint>>")
+        base = own if first else own.select(*kept, "_spans", "_items")
+        own = base.mapInArrow(scan, fields if end else f"{fields}, _n bigint, _spans array<struct<a:bigint,b:bigint>>, _items array<string>, _bytes array<struct<a:bigint,b:bigint>>")
         first = False
-    n_hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
-    return own.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)],
-        F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("hit_items"), F.col("_bytes").alias("hit_bytes"),
-    )
+    return own
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -297,38 +309,33 @@ def _byte_spans(col: pa.Array, spans: list[list[tuple[int, int]]]) -> list[list[
     return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: float = 0.5, **kw) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 500_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without what they share with the benchmark; the columns stay as they are.
 
     Hit spans are cut out of the text, a space in their place. A document of which more than ``max_coverage`` is hit
     goes altogether. Documents without a hit keep their text byte for byte.
     """
-    text_col = kw.pop("text_col", "text")
-    own = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)])
-    text = f"d{docs.columns.index(text_col)}"
-    marked = benchmark_hits(own, bench, window, text_col=text, **kw)
-    keep = marked.where((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, spans = b.schema.names.index(text), b.column("hit_bytes")
-            dirty = np.flatnonzero(np.diff(spans.offsets.to_numpy()))
-            b = b.drop_columns(["hit_bytes"])
-            if len(dirty):
-                texts = b.column(at).to_pylist()
-                for i in dirty.tolist():
-                    t, parts, last = texts[i].encode(), [], 0
-                    for s in spans[i].as_py():
-                        parts.append(t[last : s["a"]])
-                        last = s["b"]
-                    texts[i] = b" ".join([*parts, t[last:]]).decode()
-                b = b.set_column(at, text, pa.array(texts, b.column(at).type))
-            yield b
-
-    # in one pass, so that texts walk the automaton once
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
-    out = keep.select(*own.columns, "hit_bytes").mapInArrow(cut, fields)
-    return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
+    at = docs.columns.index(text_col)
+
+    def cut(b: pa.RecordBatch, n: np.ndarray, spans: list[list[tuple[int, int]]], byte_spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        n_hit = np.array([sum(z - a for a, z in s) for s in spans], np.int64)
+        keep = (n_hit == 0) | (n_hit <= max_coverage * n)
+        dirty = np.flatnonzero(keep & (n_hit > 0))
+        if len(dirty):
+            texts = b.column(at).to_pylist()
+            for i in dirty.tolist():
+                t, parts, last = texts[i].encode(), [], 0
+                for a, z in byte_spans[i]:
+                    parts.append(t[last:a])
+                    last = z
+                texts[i] = b" ".join([*parts, t[last:]]).decode()
+            b = b.set_column(at, b.schema.names[at], pa.array(texts, b.column(at).type))
+        return b if keep.all() else b.filter(pa.array(keep))
+
+    # in the same pass, so that texts walk the automaton once and a task has one Python worker
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    out = _passed(own, f"c{at}", item_blocks(bench, item_id, item_text, block_words), window, cut)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def digest(items: list[str]) -> str:

@@ -145,6 +145,12 @@ def test_decontamination(spark, tables):
     assert not {14, 15} & {r.doc_id for r in got} and 13 in {r.doc_id for r in got}
 
 
+def test_decontamination_has_one_python_worker_a_task(spark, tables):
+    at, docs, _ = tables
+    plan = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, at)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_mixing(spark, tables):
     at, docs, _ = tables
     got = run(spark, "mixing", docs, at)
