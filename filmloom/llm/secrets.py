@@ -7,8 +7,8 @@ correlation. The smallest p-value, corrected for three tests, is the candidate's
 tiny for ordinary text.
 
 What is reported is controlled by the false-discovery rate against ordinary text. For the strata of alphabet and length
-class that candidates have, every text of the corpus whose hash falls in the length class yields one probe, characters of
-its own prose, and the probes' statistics are the stratum's null distribution; without candidates there are no probes. A candidate's p-value is the share of probes in
+class that candidates have, the whole prose of every text of the corpus is cut into probes of that length, and the probes'
+statistics are the stratum's null distribution; without candidates there are no probes. A candidate's p-value is the share of probes in
 its stratum that look as random as it does, and the Benjamini-Hochberg rule at level ``fdr`` decides per stratum which
 candidates are not ordinary text: these are the secrets. Strata make the decision length-aware: where runs are too short
 to tell keys from prose, many probes look random and nothing is reported. The rule works on statistics in bins, counted
@@ -33,8 +33,8 @@ MIN_VALUE = 6
 MIN_RUN = 20
 RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{{MIN_RUN}}})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+"
 ALPHABETS = {"hex": "0123456789abcdef", "36": "0123456789abcdefghijklmnopqrstuvwxyz", "64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Length classes begin here; longer candidates count by their first LONGEST characters.
-CLASSES, LONGEST = (20, 24, 32, 48, 96), 512
+#: Length classes begin here; every candidate is judged by all its characters.
+CLASSES = (20, 24, 32, 48, 96)
 #: Statistics are ranked in bins of a quarter of a factor two, down to 2^-BINS/4.
 BINS = 400
 #: Matches whose lengths are added up one after another; blocks of them are offset by a second sum over the blocks.
@@ -110,7 +110,7 @@ def battery(c: Column) -> Column:
         run = F.when(v == s["last"], s["run"] + 1).otherwise(1)
         return F.struct(v.alias("last"), run.alias("run"), (s["sum"] + 2 * run - 1).alias("sum"))
 
-    squares = F.aggregate(F.array_sort(x), F.struct(F.lit(-9).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("sum")), counted)["sum"].cast("double")
+    squares = F.aggregate(F.array_sort(x), F.struct(F.lit(-9).alias("last"), F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("sum")), counted)["sum"].cast("double")
     chi = squares * k / n - n
     z1 = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
     neighbours = lambda arr, f: F.zip_with(F.slice(arr, 1, F.greatest(F.lit(1), c["n"] - 1)), F.slice(arr, 2, F.greatest(F.lit(1), c["n"] - 1)), f)
@@ -129,7 +129,7 @@ def battery(c: Column) -> Column:
         sums = F.struct(dsum(neighbours(dev, lambda a, b: F.coalesce(a * b, F.lit(0.0)))).alias("top"), dsum(F.transform(dev, lambda v: v * v)).alias("below"))
         return bound(sums, lambda r: F.when(r["below"] > 0, F.abs(r["top"] / r["below"]) * F.sqrt(n)).otherwise(F.lit(9.0)))
 
-    z3 = bound(F.aggregate(x, F.lit(0), lambda s, v: s + v).cast("double") / n, lambda m: bound(F.transform(x, lambda v: v - m), serial))
+    z3 = bound(F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + v).cast("double") / n, lambda m: bound(F.transform(x, lambda v: v - m), serial))
     p = F.least(upper_tail(z1), 2 * upper_tail(z2), 2 * upper_tail(z3)) * 3
     return F.greatest(F.lit(1e-30), F.least(F.lit(1.0), p))
 
@@ -145,24 +145,22 @@ def stratum(enc: Column, n: Column) -> Column:
     return F.concat_ws("/", enc, size.cast("string"))
 
 
-def probes(text: Column, strata: list[str]) -> Column:
-    """Array of (stratum, bin): what the tests say of the text's own prose, a string for each of ``strata`` in the length class of the text's hash.
+def probes(docs: DataFrame, text: Column, strata: list[str]) -> DataFrame:
+    """Rows (stratum, bin): what the tests say of the prose of every text of ``docs``, cut whole into strings for each of ``strata``.
 
-    A string is the first characters of the alphabet in a stretch of the text that begins where its hash says. Texts
-    without enough of them have no probe of that alphabet.
+    The characters of the alphabet in a text's prose, in their order, are cut one string after another at the class's
+    length; the rest at the end that is shorter is none.
     """
-    size = F.element_at(F.array(*map(F.lit, CLASSES)), F.pmod(F.hash(text), F.lit(len(CLASSES))) + 1)
-    begin = 1 + F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - 8 * size)).cast("int")
-    part = F.regexp_replace(text.substr(begin, 8 * size), r"\S*[0-9]\S*", "")  # words with digits may be candidates
-    own = []
-    for enc, other in (("hex", "[^0-9a-f]"), ("36", "[^0-9a-z]"), ("64", "[^A-Za-z0-9+/]")):
-        s = F.regexp_replace(part, other, "").substr(F.lit(1), size)
-        wanted = F.concat_ws("/", F.lit(enc), size.cast("string")).isin(*strata)
-        own.append(F.when(wanted, F.when(F.length(s) == size, F.struct(F.lit(enc).alias("enc"), s.alias("s")))))
-    return F.transform(
-        F.filter(F.array(*own), lambda p: p.isNotNull()),
-        lambda p: bound(scored(p["s"], p["enc"]), lambda c: F.struct(stratum(c["enc"], c["n"]).alias("stratum"), _bin(battery(c)).alias("bin"))),
-    )
+    prose = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "")  # words with digits may be candidates
+
+    def cut(p: Column, enc: str, other: str) -> Column:
+        sizes = [n for n in CLASSES if f"{enc}/{n}" in strata]
+        strings = lambda s: F.flatten(F.array(*[F.regexp_extract_all(s, F.lit(f".{{{n}}}"), F.lit(0)) for n in sizes]))
+        return F.transform(bound(F.regexp_replace(p, other, ""), strings), lambda x: F.struct(F.lit(enc).alias("enc"), x.alias("s")))
+
+    wanted = [(enc, other) for enc, other in (("hex", "[^0-9a-f]"), ("36", "[^0-9a-z]"), ("64", "[^A-Za-z0-9+/]")) if any(x.startswith(f"{enc}/") for x in strata)]
+    d = docs.select(F.explode(bound(prose, lambda p: F.flatten(F.array(*[cut(p, *x) for x in wanted])))).alias("p"))
+    return d.select(bound(scored(F.col("p.s"), F.col("p.enc")), lambda c: F.struct(stratum(c["enc"], c["n"]).alias("stratum"), _bin(battery(c)).alias("bin"))).alias("r")).select("r.stratum", "r.bin")
 
 
 def secret_spans(docs: DataFrame, fdr: float = 0.05, text_col: str = "text") -> DataFrame:
@@ -182,14 +180,13 @@ def secret_spans(docs: DataFrame, fdr: float = 0.05, text_col: str = "text") ->
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["at"] < r["until"]) & (r["at"] < b["until"])))
 
     def judged(r: Column) -> Column:
-        s = r["hit"].substr(F.lit(1), F.lit(LONGEST))
-        return bound(scored(s, inferred(s)), lambda c: F.struct(r["at"].alias("at"), r["ord"].alias("ord"), r["kind"].alias("kind"), r["until"].alias("until"), stratum(c["enc"], c["n"]).alias("stratum"), _bin(battery(c)).alias("bin")))
+        return bound(scored(r["hit"], inferred(r["hit"])), lambda c: F.struct(r["at"].alias("at"), r["ord"].alias("ord"), r["kind"].alias("kind"), r["until"].alias("until"), stratum(c["enc"], c["n"]).alias("stratum"), _bin(battery(c)).alias("bin")))
 
     d = d.select("_key", F.transform("base", lambda b: b.dropFields("hit")).alias("base"), F.transform(free, judged).alias("runs"))
     d = written(d, "secret-candidates")
     candidates = d.select(F.explode("runs").alias("r")).select("r.stratum", "r.bin")
     strata = [r["stratum"] for r in candidates.select("stratum").distinct().collect()]  # a few: alphabets by length classes
-    limits = thresholds(candidates, docs.select(F.explode(probes(text, strata)).alias("r")).select("r.stratum", "r.bin"), fdr) if strata else {}
+    limits = thresholds(candidates, probes(docs, text, strata), fdr) if strata else {}
 
     def limit(of: Column) -> Column:
         out = F.lit(-1)
