@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Bytes read or written at once.
 STEP = 4 << 20
+#: Tasks that short ranges are dealt to, about, and bytes that make a task of their own however many tasks there are.
+TASKS, TASK_BYTES = 1024, 64 << 20
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -51,7 +53,7 @@ class _NamedWriter(DataSourceArrowWriter):
         files, root = _opened(self.path)
         folder = posixpath.join(root, self.stage, uuid.uuid4().hex)  # an attempt's own
         files.create_dir(folder, recursive=True)
-        names, stream, now = [], None, None
+        names, stream, now = {}, None, None  # in order, and found without a walk
         try:
             for b in iterator:
                 for name, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -60,14 +62,14 @@ class _NamedWriter(DataSourceArrowWriter):
                             raise ValueError(f"rows of a file must have a name and be in one run: {name!r}")
                         if stream is not None:
                             stream.close()
-                        names.append(name)
+                        names[name] = None
                         stream, now = files.open_output_stream(posixpath.join(folder, quote(name, safe="-_. "))), name
                     if body.is_valid:
                         stream.write(body.as_buffer())
         finally:
             if stream is not None:
                 stream.close()
-        return _Staged(folder, names)
+        return _Staged(folder, list(names))
 
     def commit(self, messages) -> None:
         files, root = _opened(self.path)
@@ -104,16 +106,20 @@ def write_files(rows: DataFrame, path: str, name: Column, order: list[Column], b
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     path: str
-    file: str
     first: int
     frames: int
     rest: int
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list[_Range]
+
+
 class FrameFiles(DataSource):
-    """Files of frames of ``frame_bytes`` each, in partitions of about ``partition_bytes``. Use ``raw_frames``."""
+    """Files of frames of ``frame_bytes`` each, in ranges of about ``partition_bytes``. Use ``raw_frames``."""
 
     @classmethod
     def name(cls) -> str:
@@ -132,44 +138,55 @@ class _FrameReader(DataSourceReader):
             raise ValueError("a frame must have bytes")
         self.path, self.size, self.most = path, frame_bytes, max(1, partition_bytes // frame_bytes)
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
+        """A range a partition; where there would be far more than ``TASKS``, neighbouring ranges share one."""
         files, root = _opened(self.path)
         info = files.get_file_info(root)
         there = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root, recursive=True))
-        out = []
-        for f in sorted((f for f in there if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(("_", "."))), key=lambda f: f.path):
-            whole, rest = divmod(f.size, self.size)
-            out += [_Range(f.path, posixpath.basename(f.path), k, min(self.most, whole - k), 0) for k in range(0, whole, self.most)]
-            if rest:
-                out.append(_Range(f.path, posixpath.basename(f.path), whole, 0, rest))
-        return out or [_Range("", "", 0, 0, 0)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        sizes = sorted((f.path, *divmod(f.size, self.size)) for f in there if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(("_", ".")))
+        most = max(1, sum(-(-whole // self.most) + (rest > 0) for _, whole, rest in sizes) // TASKS)
+        enough = max(self.most * self.size, min(TASK_BYTES, sum(whole * self.size + rest for _, whole, rest in sizes) // TASKS))
+        out, n, held = [], most, 0
+        for path, whole, rest in sizes:
+            parts = [(k, min(self.most, whole - k), 0) for k in range(0, whole, self.most)] + [(whole, 0, rest)] * (rest > 0)
+            for first, frames, rest in parts:
+                if n == most or held + frames * self.size + rest > enough:
+                    out.append(_Ranges([]))
+                    n = held = 0
+                n, held = n + 1, held + frames * self.size + rest
+                own = out[-1].ranges
+                if own and frames and own[-1].path == path:
+                    own[-1].frames += frames
+                else:
+                    own.append(_Range(path, first, frames, rest))
+        return out or [_Ranges([])]
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("file", pa.string()), ("frame_no", pa.int64()), ("frame", pa.binary()), ("status", pa.string())])
-        if partition.rest:
-            yield pa.RecordBatch.from_pydict({"file": [partition.file], "frame_no": [partition.first], "frame": [None], "status": ["partial"]}, kinds)
-            return
-        if not partition.frames:
-            return
         files, _ = _opened(self.path)
-        with files.open_input_file(partition.path) as f:
-            f.seek(partition.first * self.size)
-            done, at_once = 0, max(1, STEP // self.size)
-            while done < partition.frames:
-                n = min(at_once, partition.frames - done)
-                data = f.read(n * self.size)
-                if len(data) < n * self.size:
-                    raise OSError(f"{partition.path} is shorter than it was")
-                frames = [data[k * self.size : (k + 1) * self.size] for k in range(n)]
-                yield pa.RecordBatch.from_pydict({"file": [partition.file] * n, "frame_no": list(range(partition.first + done, partition.first + done + n)), "frame": frames, "status": ["ok"] * n}, kinds)
-                done += n
+        for r in partition.ranges:
+            file = posixpath.basename(r.path)
+            if r.rest:
+                yield pa.RecordBatch.from_pydict({"file": [file], "frame_no": [r.first], "frame": [None], "status": ["partial"]}, kinds)
+                continue
+            with files.open_input_file(r.path) as f:
+                f.seek(r.first * self.size)
+                done, at_once = 0, max(1, STEP // self.size)
+                while done < r.frames:
+                    n = min(at_once, r.frames - done)
+                    data = f.read(n * self.size)
+                    if len(data) < n * self.size:
+                        raise OSError(f"{r.path} is shorter than it was")
+                    frames = [data[k * self.size : (k + 1) * self.size] for k in range(n)]
+                    yield pa.RecordBatch.from_pydict({"file": [file] * n, "frame_no": list(range(r.first + done, r.first + done + n)), "frame": frames, "status": ["ok"] * n}, kinds)
+                    done += n
 
 
 def raw_frames(spark: SparkSession, path: str, width: int, height: int, partition_bytes: int = 64 << 20) -> DataFrame:
     """(file, frame_no, frame, status) of files of frames of three bytes a pixel and nothing between them.
 
-    Long files are read by several tasks, each from its own offset. Bytes that do not fill a frame are one row with status
-    ``partial`` and no frame; an empty file has no rows.
+    Long files are read by several tasks, each from its own offset; a task reads several short ranges or files where there
+    are many. Bytes that do not fill a frame are one row with status ``partial`` and no frame; an empty file has no rows.
     """
     spark.dataSource.register(FrameFiles)
     return spark.read.format("frame_files").option("path", path).option("frame_bytes", width * height * 3).option("partition_bytes", partition_bytes).load()

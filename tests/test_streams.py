@@ -128,6 +128,19 @@ def test_files_by_ranges(spark, tmp_path):
         raw_frames(spark, str(tmp_path), 0, 2).count()
 
 
+def test_many_short_files_share_tasks(spark, tmp_path):
+    sizes = {f"{n:04d}": 12 * (n % 4) + 5 * (n % 3 == 1) for n in range(3000)}
+    for n, size in sizes.items():
+        (tmp_path / n).write_bytes(bytes((int(n) + i) % 251 for i in range(size)))
+    (tmp_path / "long").write_bytes(bytes(i % 251 for i in range(12 * 5000)))
+    got = raw_frames(spark, str(tmp_path), 2, 2, partition_bytes=24)
+    assert 256 < got.rdd.getNumPartitions() < 3100
+    want = [(n, k, bytes((int(n) + i) % 251 for i in range(12 * k, 12 * k + 12)), "ok") for n, size in sizes.items() for k in range(size // 12)]
+    want += [(n, size // 12, None, "partial") for n, size in sizes.items() if size % 12]
+    want += [("long", k, bytes(i % 251 for i in range(12 * k, 12 * k + 12)), "ok") for k in range(5000)]
+    assert sorted(map(tuple, got.coalesce(8).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
 def test_sink(spark, tmp_path):
     rows = [(f"file {k}", n, None if n == 3 else f"{k}:{n};".encode()) for k in range(5) for n in range(20)]
     random.Random(1).shuffle(rows)
