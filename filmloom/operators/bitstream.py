@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from filmloom.operators.scan import prefix_scan
+from filmloom.operators.scan import states_before
+from filmloom.sources.scratch import kept
 
 #: The codes of six-bit luma residuals, by residual, as (bits, length); the lowest bit is written first.
 LUMA_CODES = [
@@ -25,70 +31,214 @@ def strings(codes: list[tuple[int, int]]) -> list[str]:
     return out
 
 
+#: Bytes of chunks that are read at once; a longer chunk is read alone.
+AT_ONCE = 1 << 18
+
+
+def _fields(d: DataFrame, columns: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*[d.schema[c] for c in columns], *[T.StructField(n, kind) for n, kind in more]])
+
+
+def _flat_symbols(column: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a batch one behind the other, and where each chunk's begin. Raises a ValueError at one without a code."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        values, offsets = column.flatten(), np.asarray(column.offsets)
+        bad = values.null_count
+        values = np.asarray(values.fill_null(0))
+        offsets = offsets - offsets[0]
+    else:
+        (values, offsets), bad = _flat_bytes(column), 0
+        values, offsets = values[offsets[0] : offsets[-1]], offsets - offsets[0]
+    if bad or column.null_count or len(values) and not 0 <= values.min() <= values.max() < most:
+        raise ValueError("a symbol without a code")
+    return values, offsets
+
+
+def _flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
+
+
+def code_bits(chunks: DataFrame, keys: list[str], order: str, symbols: str, codes: list[tuple[int, int]]) -> DataFrame:
+    """keys, ``order``, symbols as ``_n`` and their bits as ``_bits`` of each chunk; ``symbols`` is an array of numbers or a binary of bytes."""
+    lengths, wide = np.array([n for _, n in codes]), len(keys) + 1
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, offsets = _flat_symbols(b.column(wide), len(codes))
+            ends = np.concatenate([[0], np.cumsum(lengths[values])])
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array(np.diff(offsets).astype(np.int64)), pa.array(np.diff(ends[offsets]).astype(np.int64))], [*keys, order, "_n", "_bits"])
+
+    return chunks.select(*keys, order, symbols).mapInArrow(counted, _fields(chunks, [*keys, order], ("_n", T.LongType()), ("_bits", T.LongType())))
+
+
 def write_codes(chunks: DataFrame, keys: list[str], order: str, symbols: str, codes: list[tuple[int, int]]) -> DataFrame:
     """The bytes of each stream in pieces: keys, at (the first byte's place), body. A stream's end is filled with zero bits.
 
-    A chunk's place is the sum of the bits before it, so chunks are written apart from each other; a byte that several of
-    them touch is put together from what each sets in it. A null symbol, or one without a code, makes its chunk's length
-    null and is an error.
+    ``symbols`` is an array of numbers or a binary of bytes. A chunk's place is the sum of the bits before it, so chunks are
+    written apart from each other; a byte that several of them touch is put together from what each sets in it. A null
+    symbol, or one without a code, is an error.
     """
-    table = F.array(*map(F.lit, strings(codes)))
-    known = F.coalesce(F.forall(symbols, lambda s: s.between(0, len(codes) - 1)), F.lit(False))
-    symbol_bits = F.array_join(F.transform(symbols, lambda s: table[s.cast("int")]), "")
-    c = chunks.withColumn("_bits", F.when(known, symbol_bits).otherwise(F.raise_error(F.lit("a symbol without a code"))))
-    c = c.withColumn("_n", F.length("_bits").cast("bigint"))
-    start = prefix_scan(c.select(*keys, order, "_n"), keys, order, F.struct(F.col("_n").alias("n")), lambda a, b: F.struct((a["n"] + b["n"]).alias("n")), F.struct(F.lit(0).cast("bigint").alias("n")), "_at")
-    c = c.where("_n > 0").join(start.select(*keys, order, F.col("_at.n").alias("_at")), [*keys, order])
-    lead = F.repeat(F.lit("0"), (F.col("_at") % 8).cast("int"))
-    tail = F.repeat(F.lit("0"), F.pmod(-(F.col("_at") + F.col("_n")), F.lit(8)).cast("int"))
-    eights = F.regexp_extract_all(F.concat(lead, "_bits", tail), F.lit("[01]{8}"), F.lit(0))
-    c = c.select(*keys, F.floor(F.col("_at") / 8).alias("at"), F.transform(eights, lambda b: F.lpad(F.conv(F.reverse(b), 2, 16), 2, "0")).alias("_h"))
-    inner = c.where(F.size("_h") > 2).select(*keys, (F.col("at") + 1).alias("at"), F.unhex(F.array_join(F.slice("_h", F.lit(2), F.size("_h") - 2), "")).alias("body"))
-    last = F.when(F.size("_h") > 1, F.struct((F.col("at") + F.size("_h") - 1).alias("at"), F.element_at("_h", -1).alias("h")))
-    ends = c.select(*keys, F.explode(F.array_compact(F.array(F.struct("at", F.element_at("_h", 1).alias("h")), last))).alias("_e"))
-    ends = ends.groupBy(*keys, "_e.at").agg(F.bit_or(F.conv("_e.h", 16, 10).cast("bigint")).alias("v"))
-    return inner.union(ends.select(*keys, "at", F.unhex(F.lpad(F.hex("v"), 2, "0"))))
-
-
-def _digits(body: Column) -> Column:
-    """Bits of a binary column in the order in which they are read."""
-    pairs = F.regexp_extract_all(F.hex(body), F.lit("[0-9A-F]{2}"), F.lit(0))
-    return F.array_join(F.transform(pairs, lambda h: F.reverse(F.lpad(F.conv(h, 16, 2), 8, "0"))), "")
-
-
-def _pattern(begun: str, codes: set[str]) -> str:
-    """A pattern of the codes that begin so, in which every digit is looked at once."""
-    return "" if begun in codes else f"(?:0{_pattern(begun + '0', codes)}|1{_pattern(begun + '1', codes)})"
-
-
-def read_codes(chunks: DataFrame, keys: list[str], order: str, body: str, codes: list[tuple[int, int]]) -> DataFrame:
+    strings(codes)
+    own, lengths, wide = np.array([v for v, _ in codes]), np.array([n for _, n in codes]), len(keys)
+    add = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"))
+    start = states_before(code_bits(chunks, keys, order, symbols, codes), keys, order, F.struct(F.col("_bits").alias("n")), add, F.struct(F.lit(0).cast("bigint").alias("n")), "_at")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, offsets = _flat_symbols(b.column(wide), len(codes))
+            at = np.asarray(b.column(wide + 1))
+            ends = np.concatenate([[0], np.cumsum(lengths[values])])
+            bits, lead = np.diff(ends[offsets]), at % 8
+            size = np.where(bits > 0, (lead + bits + 7) // 8, 0)
+            begin = np.cumsum(size) - size
+            place = ends[:-1] + np.repeat(8 * begin + lead - ends[offsets[:-1]], np.diff(offsets))
+            v, k, total = own[values] << (place & 7), place >> 3, int(size.sum())
+            data = np.zeros(total + 3)
+            for j in range(3):  # no two codes set the same bit, so sums are what is set
+                data += np.bincount(k + j, (v >> 8 * j) & 255, total + 3)
+            data = data.astype(np.uint8)
+            edge = np.zeros(total + 3, bool)
+            some, more, inside = np.flatnonzero(size > 0), np.flatnonzero(size > 1), np.flatnonzero(size > 2)
+            first, last = begin[some], begin[more] + size[more] - 1
+            edge[first] = edge[last] = edge[total:] = True
+            rows = pa.array(np.concatenate([some, more, inside]))
+            where = np.concatenate([at[some] // 8, at[more] // 8 + size[more] - 1, at[inside] // 8 + 1])
+            byte = pa.concat_arrays([pa.array(data[np.concatenate([first, last])].astype(np.int64)), pa.nulls(len(inside), pa.int64())])
+            body = pa.concat_arrays([pa.nulls(len(some) + len(more), pa.binary()), _binary(data[~edge], size[inside] - 2)])
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in b.columns[:wide]], pa.array(where), byte, body], [*keys, "at", "_byte", "body"])
+
+    c = chunks.select(*keys, order, symbols).join(start, [*keys, order]).select(*keys, symbols, F.col("_at.n").alias("_at"))
+    w = kept(c.mapInArrow(written, _fields(chunks, keys, ("at", T.LongType()), ("_byte", T.LongType()), ("body", T.BinaryType()))), "code-pieces")
+    ends = w.where(F.col("_byte").isNotNull()).groupBy(*keys, "at").agg(F.bit_or("_byte").alias("_byte"))
+    return w.where(F.col("_byte").isNull()).select(*keys, "at", "body").union(ends.select(*keys, "at", F.unhex(F.lpad(F.hex("_byte"), 2, "0")).alias("body")))
+
+
+def _lookup(codes: list[tuple[int, int]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The longest code, and by that many next bits the symbol and length of the code that they begin with."""
+    most = max(n for _, n in codes)
+    symbol, length = np.zeros(1 << most, np.int64), np.zeros(1 << most, np.int64)
+    for s, (v, n) in enumerate(codes):
+        symbol[v :: 1 << n], length[v :: 1 << n] = s, n
+    return most, symbol, length
+
+
+def _lanes(bodies: pa.Array, ahead: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks in runs of about ``AT_ONCE`` bytes: their rows, the 24 bits from each byte on, places by chunks, and the bits of chunks and of all that is there."""
+    (data, begin), (data2, begin2) = _flat_bytes(bodies), _flat_bytes(ahead)
+    size, size2 = np.diff(begin), np.diff(begin2)
+    step = max(1, AT_ONCE // max(1, int(size.max(initial=0))))
+    for a in range(0, len(size), step):
+        rows = slice(a, min(a + step, len(size)))
+        n, most = rows.stop - a, int(size[rows].max())
+        b = np.zeros((most + 5, n), np.int64)
+        for flat, offsets, sizes, behind in ((data, begin, size[rows], 0), (data2, begin2, size2[rows], size[rows])):
+            lane = np.repeat(np.arange(n), sizes)
+            place = np.arange(len(lane)) - np.repeat(np.cumsum(sizes) - sizes - behind, sizes)
+            b[place, lane] = flat[offsets[a] : offsets[rows.stop]]
+        yield rows, b[:-2] | b[1:-1] << 8 | b[2:] << 16, 8 * size[rows], 8 * (size[rows] + size2[rows])
+
+
+def _overs(words: np.ndarray, own: np.ndarray, most: int, length: np.ndarray) -> np.ndarray:
+    """By the place where a chunk's first code begins and by chunk: the bits that its last code takes of the next."""
+    bits, n = int(own.max()), words.shape[1]
+    mixed = own.min() < bits
+    over = np.maximum(0, np.arange(bits + most)[:, None] - own).astype(np.int16)
+    flat, lane, far = over.reshape(-1), np.arange(n), length * n
+    w, to = np.empty(n, np.int64), np.empty(n, np.int16)
+    for b in range(bits - 1, -1, -1):
+        np.right_shift(words[b >> 3], b & 7, out=w)
+        np.bitwise_and(w, (1 << most) - 1, out=w)
+        k = far[w]
+        k += lane
+        np.take(flat, np.add(k, b * n, out=k), out=to, mode="clip")
+        over[b] = np.where(b < own, to, over[b]) if mixed else to
+    return over[:most]
+
+
+def _symbols(words: np.ndarray, skip: np.ndarray, own: np.ndarray, there: np.ndarray, most: int, symbol: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that begin in each chunk from ``skip`` on, one chunk's behind the other's, and how many each has."""
+    n, flat = words.shape[1], words.reshape(-1)
+    lane = np.flatnonzero(skip < own)
+    at, count, found = skip[lane], np.zeros(n, np.int64), []
+    while len(lane):
+        w = (flat[(at >> 3) * n + lane] >> (at & 7)) & ((1 << most) - 1)
+        at = at + length[w]
+        whole = at <= there[lane]
+        if not whole.all():
+            lane, at, w = lane[whole], at[whole], w[whole]
+        found.append((lane, symbol[w]))
+        count[lane] += 1
+        left = at < own[lane]
+        lane, at = lane[left], at[left]
+    out, begin = np.empty(int(count.sum()), np.int64), np.cumsum(count) - count
+    for k, (lane, s) in enumerate(found):
+        out[begin[lane] + k] = s
+    return out, count
+
+
+def read_codes(
+    chunks: DataFrame, keys: list[str], order: str, body: str, codes: list[tuple[int, int]], ahead: str | None = None, used: str | None = None, told: tuple[list[str], Callable[[np.ndarray, np.ndarray], list[np.ndarray]]] | None = None
+) -> DataFrame:
     """``chunks`` with ``skip``, the bits at a chunk's beginning that end a code of the chunk before, and ``symbols``, of the codes that begin in it.
 
     ``order`` counts from 0 without gaps, and all chunks but a stream's last have at least two bytes. What a chunk leaves of
     its last code depends on where its first begins, and there are few such places: a chunk is a table from one to the
     other, tables are scanned, and then every chunk is read from its own place. Digits that the stream's end leaves of a
-    code are no symbol.
+    code are no symbol. ``ahead`` is a column of the next chunk's first two bytes, where they are at hand; ``used`` one of
+    the bits of a chunk in which codes may begin, where a stream's end is padded. ``told`` has names of numbers to return in
+    place of ``symbols``, and what makes them of the symbols of many chunks and how many each has.
     """
-    own, most = strings(codes), max(n for _, n in codes)
-    one = F.lit(_pattern("", set(own)))
-    symbol = F.create_map(*[x for s, c in enumerate(own) for x in (F.lit(c), F.lit(s).cast("bigint"))])
-    after = chunks.select(*keys, (F.col(order) - 1).alias(order), F.substring(F.col(body), 1, 2).alias("_next"))
-    c = chunks.join(after, [*keys, order], "left").withColumn("_b", _digits(F.col(body))).withColumn("_ahead", F.coalesce(_digits(F.col("_next")), F.lit("")))
-    length = 8 * F.octet_length(body)
-
-    def begun(skip: Column) -> Column:
-        """The codes that begin in the chunk, and where the last of them ends."""
-        found = F.regexp_extract_all(F.substring(F.concat("_b", "_ahead"), skip + 1, length + 16), one, F.lit(0))
-        start = F.struct(skip.cast("int").alias("at"), F.lit(0).alias("n"))
-        fold = F.aggregate(found, start, lambda s, x: F.when(s["at"] < length, F.struct((s["at"] + F.length(x)).alias("at"), (s["n"] + 1).alias("n"))).otherwise(s))
-        return F.transform(F.array(F.struct(found.alias("found"), fold.alias("end"))), lambda r: F.struct(F.slice(r["found"], F.lit(1), r["end"]["n"]).alias("codes"), F.greatest(F.lit(0), r["end"]["at"] - length).alias("over")))[0]
-
-    table = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda s: begun(s)["over"])
+    strings(codes)
+    most, symbol, length = _lookup(codes)
+    c, wide = chunks, len(keys) + 1
+    if ahead is None:
+        ahead, after = "_next", chunks.select(*keys, (F.col(order) - 1).alias(order), F.substring(F.col(body), 1, 2).alias("_next"))
+        c = chunks.join(after, [*keys, order], "left")
+    c = c.withColumn(ahead, F.coalesce(F.col(ahead), F.unhex(F.lit(""))))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = [_overs(words, own, most, length).T.reshape(-1) for _, words, own, _ in _lanes(b.column(wide), b.column(wide + 1))]
+            t = np.concatenate(t or [np.zeros(0)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.ListArray.from_arrays(pa.array(np.arange(0, len(t) + 1, most, dtype=np.int32)), pa.array(t))], [*keys, order, "_t"])
+
     chained = lambda a, b: F.struct(F.transform(a["t"], lambda s: b["t"][s]).alias("t"))
     same = F.struct(F.sequence(F.lit(0), F.lit(most - 1)).alias("t"))
-    scanned = prefix_scan(c.select(*keys, order, F.struct(table.alias("t")).alias("_t")), keys, order, F.col("_t"), chained, same, "_before")
-    c = c.join(scanned.select(*keys, order, F.col("_before.t")[0].alias("skip")), [*keys, order])
-    return c.withColumn("symbols", F.transform(begun(F.col("skip"))["codes"], lambda x: symbol[x])).drop("_next", "_b", "_ahead")
+    t = c.select(*keys, order, body, ahead).mapInArrow(tables, _fields(chunks, [*keys, order], ("_t", T.ArrayType(T.IntegerType()))))
+    before = states_before(t, keys, order, F.struct(F.col("_t").alias("t")), chained, same, "_before")
+    before = before.select(*keys, F.col(order).cast(chunks.schema[order].dataType).alias(order), F.col("_before.t")[0].alias("skip"))
+    rest = [n for n in chunks.columns if n not in (*keys, order, body, ahead, used)]
+    first = [*keys, order, body, ahead, *([used] if used else []), *rest]
+    back = [*keys, order, *[n for n in chunks.columns if n not in (*keys, order)]]
+    names = [*back, "skip", *(told[0] if told else ["symbols"])]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            skip = np.asarray(b.column("skip")).astype(np.int64)
+            out, counts = [], []
+            for rows, words, own, there in _lanes(b.column(wide), b.column(wide + 1)):
+                until = np.minimum(own, np.asarray(b.column(used))[rows]) if used else own
+                for into, x in zip((out, counts), _symbols(words, skip[rows], until, there, most, symbol, length), strict=True):
+                    into.append(x)
+            out, counts = np.concatenate(out), np.concatenate(counts)
+            if told:
+                found = [pa.array(x, pa.int64()) for x in told[1](out, counts)]
+            else:
+                found = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(out))]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in back], b.column("skip"), *found], names)
+
+    more = [(n, T.LongType()) for n in told[0]] if told else [("symbols", T.ArrayType(T.LongType()))]
+    # tables take far more room than their files tell, so they are not sent to every task
+    return c.select(*first).join(before.hint("merge"), [*keys, order]).select(*first, "skip").mapInArrow(read, _fields(chunks, back, ("skip", T.IntegerType()), *more))
 
 
 def strict_end(stream: Column, used_bits: Column) -> Column:

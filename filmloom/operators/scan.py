@@ -18,14 +18,17 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: str, state: Column, com
     their compositions as many again, and so on; then what comes before each group is handed down the same way. No task
     sees more than ``fan`` states of a group at once.
     """
-    own = kept(rows.select(*keys, F.col(order).cast("bigint").alias("_o"), state.alias("_s")), "scan-states")
-    most, levels, now = own.agg(F.max("_o")).first()[0] or 0, [], own
-    while True:
-        up = now.groupBy(*keys, F.floor(F.col("_o") / fan).alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_o", "_s"))).alias("_m"))
+    return rows.join(states_before(rows, keys, order, state, compose, identity, out, fan), [*keys, order])
+
+
+def states_before(rows: DataFrame, keys: list[str], order: str, state: Column, compose: Callable[[Column, Column], Column], identity: Column, out: str, fan: int = 64) -> DataFrame:
+    """Only the keys, ``order`` and ``out`` of ``prefix_scan``; ``rows`` are computed once."""
+    kind = rows.select(state.alias("_s")).schema["_s"].dataType.simpleString()
+    now, levels, most = rows.select(*keys, F.col(order).cast("bigint").alias("_o"), state.alias("_s")), [], 1
+    while most:
+        up = kept(now.groupBy(*keys, F.floor(F.col("_o") / fan).alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_o", "_s"))).alias("_m")), "scan-states")
         levels.append(up)
-        most //= fan
-        if not most:
-            break
+        most = up.agg(F.max("_g")).first()[0] or 0
         now = up.select(*keys, F.col("_g").alias("_o"), F.aggregate("_m", identity, lambda a, x: compose(a, x["_s"])).alias("_s"))
 
     def handed(members: Column, before: Column) -> Column:
@@ -33,12 +36,12 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: str, state: Column, com
         one = lambda s, x: F.struct(compose(s["a"], x["_s"]).alias("a"), F.concat(s["out"], F.array(F.struct(x["_o"].alias("_o"), s["a"].alias("_b")))).alias("out"))
         return F.explode(F.aggregate(members, start, one, lambda s: s["out"]))
 
-    kind = own.schema["_s"].dataType.simpleString()
     down = levels[-1].select(*keys, handed(F.col("_m"), identity).alias("_x")).select(*keys, "_x.*")
     for level in reversed(levels[:-1]):
-        got = level.join(down.withColumnRenamed("_o", "_g"), [*keys, "_g"])
+        # states take far more room than their files tell, so neither side is sent to every task
+        got = level.hint("merge").join(down.withColumnRenamed("_o", "_g"), [*keys, "_g"])
         down = got.select(*keys, handed(F.col("_m"), F.col("_b")).alias("_x")).select(*keys, "_x.*")
-    return rows.join(down.select(*keys, F.col("_o").alias(order), F.col("_b").alias(out)), [*keys, order])
+    return down.select(*keys, F.col("_o").alias(order), F.col("_b").alias(out))
 
 
 def adpcm_track(chunks: DataFrame, keys: list[str], order: str, codes: str, variant: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.functions import bits
-from filmloom.operators.bitstream import LUMA_CODES, read_codes, strict_end, strings, write_codes
+from filmloom.operators.bitstream import LUMA_CODES, code_bits, read_codes, strict_end, strings, write_codes
 from filmloom.plans.films import turns
 from filmloom.plans.registry import query
 from filmloom.sources.scratch import kept
@@ -19,12 +22,20 @@ c AS (SELECT *, ({strings(LUMA_CODES)})[symbol + 1] AS code, row_number() OVER (
 o AS (SELECT *, sum(len(code)) OVER (PARTITION BY conv_id ORDER BY place) - len(code) AS pos FROM c)"""
 
 
+def _six_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = b.column(2)
+        _, offsets, data = own.buffers()
+        low = np.frombuffer(data, np.uint8) & 63 if data else np.zeros(0, np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.Array.from_buffers(own.type, len(own), [None, offsets, pa.py_buffer(low)], offset=own.offset)], ["conv_id", "turn", "symbols"])
+
+
 def code_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, n, used_bits, payload): the low six bits of a conversation's bytes as one stream of codes."""
-    t = turns(spark, sf_dir).withColumn("symbols", F.transform(bits.byte_values(F.col("body")), lambda b: b.bitwiseAND(F.lit(63).cast("bigint"))))
+    t = turns(spark, sf_dir).select("conv_id", "turn", "body")
+    t = t.mapInArrow(_six_bits, t.withColumnRenamed("body", "symbols").schema)
     pieces = write_codes(t, ["conv_id"], "turn", "symbols", LUMA_CODES)
-    lengths = F.array(*[F.lit(n) for _, n in LUMA_CODES])
-    used = t.groupBy("conv_id").agg(F.sum(F.size("symbols")).cast("bigint").alias("n"), F.sum(F.aggregate("symbols", F.lit(0).cast("bigint"), lambda a, s: a + lengths[s.cast("int")])).alias("used_bits"))
+    used = code_bits(t, ["conv_id"], "turn", "symbols", LUMA_CODES).groupBy("conv_id").agg(F.sum("_n").alias("n"), F.sum("_bits").alias("used_bits"))
     return kept(pieces.groupBy("conv_id").agg(F.expr("listagg(body, X'') WITHIN GROUP (ORDER BY at)").alias("payload")).join(used, "conv_id"), "code-payloads")
 
 
@@ -47,19 +58,20 @@ SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, CAST(min(pos) - chunk * {8 * CHU
 )
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same streams read back in chunks of bytes, each from the place where the codes of the one before it end."""
-    p = code_payloads(spark, sf_dir)
-    cuts = F.transform(F.sequence(F.lit(0), F.octet_length("payload") - 1, F.lit(CHUNK)), lambda at: F.substring(F.col("payload"), at + 1, F.lit(CHUNK)))
-    c = p.select("conv_id", "n", F.posexplode(cuts).alias("chunk", "body")).withColumn("chunk", F.col("chunk").cast("bigint"))
-    r = read_codes(c, ["conv_id"], "chunk", "body", LUMA_CODES)
-    # padding may look like codes: symbols beyond the stream's number are cut
-    from filmloom.operators.scan import prefix_scan
-
-    add = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"))
-    r = prefix_scan(r, ["conv_id"], "chunk", F.struct(F.size("symbols").cast("bigint").alias("n")), add, F.struct(F.lit(0).cast("bigint").alias("n")), "before")
-    own = F.slice("symbols", F.lit(1), F.greatest(F.lit(0), F.least(F.size("symbols"), F.col("n") - F.col("before.n"))).cast("int"))
-    r = r.select("conv_id", "chunk", "skip", own.alias("s")).where(F.size("s") > 0)
-    placed = F.aggregate(F.transform("s", lambda v, k: v * (k + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return r.select("conv_id", "chunk", F.col("skip").cast("bigint").alias("skip"), F.size("s").cast("bigint").alias("n"), placed.alias("placed"))
+    part = lambda at, n: F.substring(F.col("payload"), at + 1, F.lit(n))
+    cuts = F.transform(F.sequence(F.lit(0), F.octet_length("payload") - 1, F.lit(CHUNK)), lambda at: F.struct(part(at, CHUNK).alias("body"), part(at + CHUNK, 2).alias("ahead")))
+    c = code_payloads(spark, sf_dir).select("conv_id", "used_bits", F.posexplode(cuts).alias("chunk", "x")).withColumn("chunk", F.col("chunk").cast("bigint"))
+    # padding may look like codes: none begins beyond the stream's bits
+    c = c.select("conv_id", "chunk", "x.body", "x.ahead", F.least(F.lit(8 * CHUNK), F.col("used_bits") - F.col("chunk") * 8 * CHUNK).alias("used"))
+
+    def placed(symbols: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum(counts)
+        nth = np.arange(1, len(symbols) + 1) - np.repeat(ends - counts, counts)
+        total = np.concatenate([[0], np.cumsum(symbols * nth)])
+        return [counts, total[ends] - total[ends - counts]]
+
+    r = read_codes(c, ["conv_id"], "chunk", "body", LUMA_CODES, "ahead", "used", (["n", "placed"], placed))
+    return r.where("n > 0").select("conv_id", "chunk", F.col("skip").cast("bigint").alias("skip"), "n", "placed")
 
 
 @query(

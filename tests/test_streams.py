@@ -112,6 +112,34 @@ def test_codes(spark):
         bitstream.strings([(0, 1), (0, 2), (3, 2)])
 
 
+def test_codes_of_bytes_end_with_the_stream(spark):
+    rng = random.Random(6)
+    own = bitstream.strings(bitstream.LUMA_CODES)
+    # chunks of very different sizes, empty ones and symbols of the longest codes
+    streams = {k: [bytes(rng.randrange(64) if k else rng.randrange(25, 41) for _ in range(rng.choice([0, 1, 2, 700]))) for _ in range(12)] for k in range(6)}
+    d = spark.createDataFrame([(k, n, bytearray(s)) for k, chunks in streams.items() for n, s in enumerate(chunks)], "k int, n long, s binary").repartition(3)
+    pieces, chunks, bits = bitstream.write_codes(d, ["k"], "n", "s", bitstream.LUMA_CODES).collect(), [], {}
+    for k, c in streams.items():
+        payload = b"".join(bytes(r["body"]) for r in sorted((r for r in pieces if r["k"] == k), key=lambda r: r["at"]))
+        bits[k] = sum(len(own[s]) for chunk in c for s in chunk)
+        assert len(payload) == -(-bits[k] // 8)
+        cuts = [0, *sorted(rng.sample(range(2, len(payload) - 2, 2), 9)), len(payload)]
+        chunks += [(k, n, payload[a:b], payload[b : b + 2], min(8 * (b - a), bits[k] - 8 * a)) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    c = spark.createDataFrame(chunks, "k int, n long, b binary, ahead binary, used long").repartition(3)
+    back = bitstream.read_codes(c, ["k"], "n", "b", bitstream.LUMA_CODES, "ahead", "used").collect()
+    told = bitstream.read_codes(c, ["k"], "n", "b", bitstream.LUMA_CODES, "ahead", "used", (["size"], lambda symbols, counts: [counts])).collect()
+    for k, chunk in streams.items():
+        rows = sorted((r for r in back if r["k"] == k), key=lambda r: r["n"])
+        assert [s for r in rows for s in r["symbols"]] == [s for x in chunk for s in x]
+        assert [len(r["symbols"]) for r in rows] == [r["size"] for r in sorted((r for r in told if r["k"] == k), key=lambda r: r["n"])]
+    # what the end leaves of a code is no symbol, though a code begins behind its first digit
+    whole = "".join(own[s] for s in (0, 0, 40))
+    left = whole[:8]
+    body = bytes(int(left[i : i + 8][::-1], 2) for i in range(0, len(left), 8))
+    rest = bitstream.read_codes(spark.createDataFrame([(1, 0, bytearray(body))], "k int, n long, b binary"), ["k"], "n", "b", bitstream.LUMA_CODES).first()
+    assert rest["symbols"] == [0, 0] and left.endswith("0011")
+
+
 def test_sync_points(spark):
     rng = random.Random(9)
     frames = {m: [rng.choice([10, 300, 2000, 900, 70_000 if m == 1 else 50]) for _ in range(200)] for m in range(3)}
