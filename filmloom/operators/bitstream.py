@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,23 @@ def strings(codes: list[tuple[int, int]]) -> list[str]:
     return out
 
 
-#: Bytes of chunks that are read at once; a longer chunk is read alone.
-AT_ONCE = 1 << 18
+#: Bytes of chunks that are read at once, and symbols that are written at once; a longer chunk is taken alone.
+AT_ONCE, WRITTEN_AT_ONCE = 1 << 18, 1 << 20
 
 
 def _fields(d: DataFrame, columns: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*[d.schema[c] for c in columns], *[T.StructField(n, kind) for n, kind in more]])
 
 
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in runs of at most about ``WRITTEN_AT_ONCE`` symbols: numbers made of them take many times their room."""
+    for b in batches:
+        length = pc.binary_length if pa.types.is_binary(b.column(column).type) or pa.types.is_large_binary(b.column(column).type) else pc.list_value_length
+        step = max(1, WRITTEN_AT_ONCE // (pc.max(length(b.column(column))).as_py() or 1))
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
+
+
 def _flat_symbols(column: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of a batch one behind the other, and where each chunk's begin. Raises a ValueError at one without a code."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
@@ -70,7 +80,7 @@ def code_bits(chunks: DataFrame, keys: list[str], order: str, symbols: str, code
     lengths, wide = np.array([n for _, n in codes]), len(keys) + 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _runs(batches, wide):
             values, offsets = _flat_symbols(b.column(wide), len(codes))
             ends = np.concatenate([[0], np.cumsum(lengths[values])])
             yield pa.RecordBatch.from_arrays([*b.columns[:wide], pa.array(np.diff(offsets).astype(np.int64)), pa.array(np.diff(ends[offsets]).astype(np.int64))], [*keys, order, "_n", "_bits"])
@@ -91,7 +101,7 @@ def write_codes(chunks: DataFrame, keys: list[str], order: str, symbols: str, co
     start = states_before(code_bits(chunks, keys, order, symbols, codes), keys, order, F.struct(F.col("_bits").alias("n")), add, F.struct(F.lit(0).cast("bigint").alias("n")), "_at")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _runs(batches, wide):
             values, offsets = _flat_symbols(b.column(wide), len(codes))
             at = np.asarray(b.column(wide + 1))
             ends = np.concatenate([[0], np.cumsum(lengths[values])])
